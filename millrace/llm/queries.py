@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_filter
+from . import cube_mix, line_dedup, url_filter
 
 QUERIES = {
+    "op1_cube_mix": cube_mix.op1_cube_mix,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }

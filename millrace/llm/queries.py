@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import cube_mix, line_dedup, url_filter
+from . import cube_mix, line_dedup, url_filter, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
     "op1_cube_mix": cube_mix.op1_cube_mix,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
+    "op5_warc": warc.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import WORD, read, saved
 
-WEIGHTS, MAX_REPEAT, BLOCK = (1.0, 2.0, 3.0), 3.0, 20_000
+WEIGHTS, MAX_REPEAT, BLOCK = (1.0, 2.0, 3.0), 3.0, 5_000
 
 
 def word_count(text: Column) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import cube_mix, line_dedup, url_filter, warc
+from . import cube_mix, decontaminate, line_dedup, url_filter, voronoi_knn, warc
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op9_voronoi_knn": voronoi_knn.op9_voronoi_knn,
     "op5_warc": warc.op5_warc,
     "op1_cube_mix": cube_mix.op1_cube_mix,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
+    "op9_voronoi_knn": voronoi_knn.ORACLE,
     "op5_warc": warc.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import cube_mix, decontaminate, line_dedup, url_filter, voronoi_knn, warc
+from . import cube_mix, decontaminate, line_dedup, order_minhash, url_filter, voronoi_knn, warc
 
 QUERIES = {
+    "op7_order_minhash": order_minhash.op7_order_minhash,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op9_voronoi_knn": voronoi_knn.op9_voronoi_knn,
     "op5_warc": warc.op5_warc,

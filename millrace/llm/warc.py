@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import read, saved, shared_dir
 
-ROLL_BYTES, MIN_REVISIT, SHARD_ROWS, MAX_SAMPLE = 64 << 20, 100, 20_000, 200_000
+ROLL_BYTES, MIN_REVISIT, SHARD_ROWS, MAX_SAMPLE = 64 << 20, 100, 5_000, 200_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = pa.schema([("name", pa.string()), ("temp", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, out: str, page_id: str = "page_id", url: st
     firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     refs = small.join(firsts, "digest").groupBy("page_id", "digest").agg(F.first("first").alias("first"))  # ids only; AQE splits a hot digest
     both = rows.withColumns({"first": F.lit(None).cast("long"), "kind": F.lit(1)}).unionByName(refs.select("page_id", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first", F.lit(0).alias("kind")))
-    dealt = both.withColumn("shard", shard_of("page_id")).repartition("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
+    dealt = both.withColumn("shard", shard_of("page_id")).repartition(len(cuts) + 2, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, known, seen = None, (None, None), None
@@ -207,7 +207,7 @@ def read_archives(manifest: DataFrame, out: str, with_payload: bool = False) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), PAGE, strict=True)], schema=PAGE)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, file string"
-    return manifest.select("name").repartition("name").mapInArrow(load, schema)
+    return manifest.select("name").repartition(max(1, manifest.count()), "name").mapInArrow(load, schema)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import cube_mix, decontaminate, kneser_ney, line_dedup, order_minhash, url_filter, voronoi_knn, warc
+from . import cube_mix, decontaminate, hmm_lm, kneser_ney, line_dedup, order_minhash, url_filter, voronoi_knn, warc
 
 QUERIES = {
+    "op6_hmm_lm": hmm_lm.op6_hmm_lm,
     "op2_kneser_ney": kneser_ney.op2_kneser_ney,
     "op7_order_minhash": order_minhash.op7_order_minhash,
     "op4_decontaminate": decontaminate.op4_decontaminate,

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, read, saved
+from .common import WORD, read, saved, text_key
 
 WEIGHTS, MAX_REPEAT, BLOCK = (1.0, 2.0, 3.0), 3.0, 5_000
 
@@ -147,7 +147,12 @@ def sampled(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: doc_id, source, size, source_size, target, copies and taken = copies * size."""
-    sizes = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    return mix_sizes(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), weights, max_repeat, block)
+
+
+def mix_sizes(units: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, block: int = BLOCK) -> DataFrame:
+    """The mix of units (doc_id, source, size)."""
+    sizes = saved(units, "sizes")
     sources = with_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, max_repeat)
     # a row per source against all documents: small against them, and AQE broadcasts it only below its size limit
     salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(16)).cast("int")
@@ -160,5 +165,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **kw) -> DataFrame:
+    """The rows of docs that the mix takes, with `copies` (how often each counts) and `size`. Rows equal in id, source and text share one decision."""
+    key = [F.col(doc_id).cast("long").alias("u"), F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))).alias("w"), *text_key(F.col(text))]
+    names = ["u", "w", "k1", "k2"]
+    units = docs.groupBy(*key).agg(F.first(word_count(F.col(text))).alias("size"))
+    taken = saved(mix_sizes(units.select(F.struct(*names).alias("doc_id"), F.col("w").alias("source"), "size"), **kw).filter("copies > 0").select("doc_id.*", "copies", "size"), "taken")
+    keyed = docs.withColumns({f"__{c}": k for c, k in zip(names, key, strict=True)})
+    taken = taken.withColumnsRenamed({c: f"__t{c}" for c in names} | {"copies": "__copies", "size": "__size"})
+    match = [F.col(f"__{c}").eqNullSafe(F.col(f"__t{c}")) for c in names]
+    out = keyed.join(taken, match)
+    rest = [c for c in docs.columns if c not in ("copies", "size")]
+    return out.select(*(F.col(f"`{c}`") for c in rest), F.col("__copies").alias("copies"), F.col("__size").alias("size"))
+
+
 def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

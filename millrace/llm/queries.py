@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from . import cube_mix, decontaminate, hmm_lm, kneser_ney, line_dedup, order_minhash, url_filter, voronoi_knn, warc
+from . import cube_mix, decontaminate, hmm_lm, kneser_ney, line_dedup, order_minhash, secret_crf, url_filter, voronoi_knn, warc
 
 QUERIES = {
-    "op6_hmm_lm": hmm_lm.op6_hmm_lm,
+    "op1_cube_mix": cube_mix.op1_cube_mix,
     "op2_kneser_ney": kneser_ney.op2_kneser_ney,
-    "op7_order_minhash": order_minhash.op7_order_minhash,
+    "op3_secret_crf": secret_crf.op3_secret_crf,
     "op4_decontaminate": decontaminate.op4_decontaminate,
-    "op9_voronoi_knn": voronoi_knn.op9_voronoi_knn,
     "op5_warc": warc.op5_warc,
-    "op1_cube_mix": cube_mix.op1_cube_mix,
+    "op6_hmm_lm": hmm_lm.op6_hmm_lm,
+    "op7_order_minhash": order_minhash.op7_order_minhash,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_voronoi_knn": voronoi_knn.op9_voronoi_knn,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
-    "op9_voronoi_knn": voronoi_knn.ORACLE,
     "op5_warc": warc.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op9_voronoi_knn": voronoi_knn.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }

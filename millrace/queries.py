@@ -1,4 +1,499 @@
-"""One function per query on the reference operators, with its SQL."""
+"""One query for each operator, over whole tables, with the same query as DuckDB SQL."""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import cells, dialect, names, pivot
+from .operators import hierarchy, integrity, nested, profile, reconcile, schemas, shards
+from .plans import migrate, sync
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- checksums and shards ---------------------------------------------------------------------------------------------
+
+
+def _field(v: str) -> str:
+    return f"coalesce(length({v})::VARCHAR || ':' || {v}, 'N')"
+
+
+def _text(c: str) -> str:
+    return f"rtrim({c}, ' ')"
+
+
+def _double(c: str) -> str:
+    return f"round({c}, 6)::DECIMAL(38,6)::VARCHAR"
+
+
+def _time(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _hash(*values: str) -> str:
+    return "('0x' || substr(md5(" + " || ".join(map(_field, values)) + "), 1, 15))::BIGINT"
+
+
+ORDER_HASH = _hash("o_orderkey::VARCHAR", "o_custkey::VARCHAR", _text("o_orderstatus"), _double("o_totalprice"), _time("o_orderdate"), _text("o_orderpriority"))
+CUSTOMER_HASH = _hash("c_custkey::VARCHAR", _text("c_name"), "c_nationkey::VARCHAR", _double("c_acctbal"), _text("c_mktsegment"))
+SUMS = "count(*) AS row_count, coalesce(bit_xor(h), 0) AS hash_xor, coalesce(sum(h % 2147483648), 0)::BIGINT AS hash_sum"
+CUTS = "(SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders)"
+
+
+def _shard(n: int) -> str:
+    step = f"((hi - lo + 1) // {n})"
+    return "CASE " + " ".join(f"WHEN o_orderkey < lo + {step} * {i} THEN {i - 1}" for i in range(1, n)) + f" ELSE {n - 1} END"
+
+
+def _order_cuts(orders: DataFrame, n: int) -> list[int]:
+    low, high = shards.key_bounds(orders, "o_orderkey").first()
+    return shards.cut_points(low, high, n)
+
+
+@query(f"SELECT {SUMS} FROM (SELECT {ORDER_HASH} AS h FROM orders)")
+def table_checksum_orders(spark, sf):
+    return reconcile.checksum(table(spark, sf, "orders"))
+
+
+@query(f"SELECT shard, {SUMS} FROM (SELECT {_shard(4)} AS shard, {ORDER_HASH} AS h FROM orders, {CUTS}) GROUP BY shard")
+def sharded_checksum_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    return reconcile.checksum(o, by=[shards.shard_index(F.col("o_orderkey"), _order_cuts(o, 4)).alias("shard")])
+
+
+@query(f"SELECT 'orders' AS name, {SUMS} FROM (SELECT {ORDER_HASH} AS h FROM orders)")
+def combined_checksum_orders(spark, sf):
+    return reconcile.combine_checksums(sharded_checksum_orders(spark, sf).withColumn("name", F.lit("orders")), ["name"])
+
+
+@query(f"SELECT shard, count(*) AS row_count, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT *, {_shard(8)} AS shard FROM orders, {CUTS}) GROUP BY shard")
+def shard_assignment_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy(shards.shard_index(F.col("o_orderkey"), _order_cuts(o, 8)).alias("shard")).agg(F.count("*").alias("row_count"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+@query("SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders")
+def key_bounds_orders(spark, sf):
+    return shards.key_bounds(table(spark, sf, "orders"), "o_orderkey")
+
+
+@query("SELECT count(*) AS row_count FROM lineitem")
+def count_lineitem(spark, sf):
+    return table(spark, sf, "lineitem").agg(F.count("*").alias("row_count"))
+
+
+@query("SELECT (rn - 1) // 5000 AS batch, count(*) AS row_count, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1")
+def copy_batches_orders(spark, sf):
+    return shards.batches(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query("SELECT CASE WHEN o_orderdate < TIMESTAMP '1994-01-01' THEN 'p1993' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'p1995' ELSE 'pmax' END AS bucket, count(*) AS row_count FROM orders GROUP BY 1")
+def partition_buckets_orders(spark, sf):
+    stamp = lambda t: F.lit(t).cast("timestamp_ntz")
+    bounds = [shards.Bound("p1993", "1994-01-01"), shards.Bound("p1995", "1996-01-01"), shards.Bound("pmax")]
+    bounds = [shards.Bound(b.name, b.upper and stamp(b.upper)) for b in bounds]
+    return table(spark, sf, "orders").groupBy(shards.range_bucket(F.col("o_orderdate"), bounds).alias("bucket")).agg(F.count("*").alias("row_count"))
+
+
+@query("SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'make' WHEN c_mktsegment IN ('HOUSEHOLD') THEN 'home' ELSE 'rest' END AS bucket, count(*) AS row_count FROM customer GROUP BY 1")
+def list_buckets_customer(spark, sf):
+    bounds = [shards.Bound("make", values=("BUILDING", "MACHINERY")), shards.Bound("home", values=("HOUSEHOLD",)), shards.Bound("rest", default=True)]
+    return table(spark, sf, "customer").groupBy(shards.list_bucket(F.col("c_mktsegment"), bounds).alias("bucket")).agg(F.count("*").alias("row_count"))
+
+
+# --- integrity --------------------------------------------------------------------------------------------------------
+
+CUSTOMER_FK = integrity.ForeignKey("orders_customer", ["o_custkey"], ["c_custkey"])
+FKS = [
+    ("lineitem", "orders", ["l_orderkey"], ["o_orderkey"]), ("lineitem", "part", ["l_partkey"], ["p_partkey"]), ("lineitem", "supplier", ["l_suppkey"], ["s_suppkey"]),
+    ("orders", "customer", ["o_custkey"], ["c_custkey"]), ("customer", "nation", ["c_nationkey"], ["n_nationkey"]), ("nation", "region", ["n_regionkey"], ["r_regionkey"]),
+]
+
+
+def _parents(spark, sf):
+    return table(spark, sf, "customer").filter("c_custkey % 7 <> 0")
+
+
+@query("SELECT * FROM orders o WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey % 7 <> 0 AND c.c_custkey = o.o_custkey)")
+def fk_orphans_orders_customer(spark, sf):
+    return integrity.orphans(table(spark, sf, "orders"), _parents(spark, sf), CUSTOMER_FK)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}_{p}' AS fk, (SELECT count(*) FROM {c} WHERE {ck[0]} IS NOT NULL AND {ck[0]} NOT IN (SELECT {pk[0]} FROM {p})) AS orphan_rows, (SELECT count(*) FROM {c}) AS child_rows, (SELECT count(*) FROM {p}) AS parent_rows, false AS parent_looks_empty" for c, p, ck, pk in FKS))
+def fk_diagnose_all(spark, sf):
+    found = [integrity.diagnose(table(spark, sf, c), table(spark, sf, p), integrity.ForeignKey(f"{c}_{p}", ck, pk)) for c, p, ck, pk in FKS]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query("SELECT o.* REPLACE (CASE WHEN c_custkey IS NULL THEN NULL ELSE o_custkey END AS o_custkey) FROM orders o LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) ON c_custkey = o_custkey")
+def repair_null_orphans(spark, sf):
+    return integrity.repair(table(spark, sf, "orders"), _parents(spark, sf), CUSTOMER_FK, "null_orphans")[0]
+
+
+@query("SELECT * FROM orders WHERE o_custkey IS NULL OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+def repair_delete_orphans(spark, sf):
+    return integrity.repair(table(spark, sf, "orders"), _parents(spark, sf), CUSTOMER_FK, "delete_orphans")[0]
+
+
+@query("SELECT 'orders_customer' AS fk, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)) AS rows_changed, 'delete_orphans' AS policy")
+def repair_report(spark, sf):
+    return integrity.repair(table(spark, sf, "orders"), _parents(spark, sf), CUSTOMER_FK, "delete_orphans")[1].select("fk", "rows_changed", "policy")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys_lineitem(spark, sf):
+    return reconcile.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT p_partkey, p_size, p_brand FROM (SELECT * REPLACE (nullif(p_size, 10) AS p_size) FROM part) WHERE NOT (p_size <= 40)")
+def check_violations_part(spark, sf):
+    part = table(spark, sf, "part").withColumn("p_size", F.nullif("p_size", F.lit(10)))
+    return integrity.check_violations(part, "(p_size <= 40)").select("p_partkey", "p_size", "p_brand")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus IN ('F', 'O'))")
+def check_list_orders(spark, sf):
+    return integrity.check_violations(table(spark, sf, "orders"), "o_orderstatus IN ('F', 'O')").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def labels_missing_documents(spark, sf):
+    return reconcile.keys_missing(table(spark, sf, "documents").select("doc_id", "lang", "source"), table(spark, sf, "labels"), ["doc_id"])
+
+
+# --- synchronisation --------------------------------------------------------------------------------------------------
+
+SOURCE = """
+SELECT * REPLACE (CASE WHEN c_custkey % 10 = 3 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal) FROM customer WHERE c_custkey % 10 <> 5
+UNION ALL SELECT * REPLACE (c_custkey + 1000000000 AS c_custkey) FROM customer WHERE c_custkey % 10 = 7"""
+
+
+def _changed(spark, sf):
+    c = table(spark, sf, "customer")
+    kept_rows = c.filter("c_custkey % 10 <> 5").withColumn("c_acctbal", F.when(F.col("c_custkey") % 10 == 3, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    return kept_rows.unionByName(c.filter("c_custkey % 10 = 7").withColumn("c_custkey", F.col("c_custkey") + 1_000_000_000))
+
+
+@query(f"""WITH s AS (SELECT *, {CUSTOMER_HASH} AS h FROM ({SOURCE})), t AS (SELECT *, {CUSTOMER_HASH} AS h FROM customer)
+SELECT coalesce(s.c_custkey, t.c_custkey) AS c_custkey, CASE WHEN t.h IS NULL THEN 'insert' WHEN s.h IS NULL THEN 'delete' ELSE 'update' END AS action
+FROM s FULL JOIN t ON s.c_custkey = t.c_custkey WHERE s.h IS DISTINCT FROM t.h""")
+def sync_diff_customer(spark, sf):
+    return reconcile.diff(_changed(spark, sf), table(spark, sf, "customer"), ["c_custkey"])
+
+
+@query(SOURCE)
+def sync_apply_customer(spark, sf):
+    return reconcile.apply_diff(_changed(spark, sf), table(spark, sf, "customer"), ["c_custkey"])
+
+
+@query(f"SELECT * FROM ({SOURCE}) UNION ALL SELECT * FROM customer WHERE c_custkey % 10 = 5")
+def upsert_customer(spark, sf):
+    return reconcile.upsert(table(spark, sf, "customer"), _changed(spark, sf), ["c_custkey"])
+
+
+@query(f"SELECT * FROM customer t WHERE NOT EXISTS (SELECT 1 FROM ({SOURCE}) s WHERE s.c_custkey = t.c_custkey)")
+def sync_deletes_customer(spark, sf):
+    return reconcile.keys_missing(table(spark, sf, "customer"), _changed(spark, sf), ["c_custkey"])
+
+
+@query("SELECT o.* FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
+def select_by_keys_orders(spark, sf):
+    wanted = table(spark, sf, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return reconcile.select_by_keys(table(spark, sf, "orders"), wanted, ["o_orderkey"])
+
+
+@query("SELECT o.* FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
+def delete_by_keys_orders(spark, sf):
+    gone = table(spark, sf, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return reconcile.delete_by_keys(table(spark, sf, "orders"), gone, ["o_orderkey"])
+
+
+@query("SELECT count(*) FILTER (true) AS matched FROM (SELECT rpad(c_mktsegment, 20, ' ') AS k FROM customer) a JOIN (SELECT DISTINCT c_mktsegment AS k FROM customer) b ON rtrim(a.k, ' ') = b.k")
+def padded_keys_customer(spark, sf):
+    c = table(spark, sf, "customer")
+    padded = c.select(F.rpad("c_mktsegment", 20, " ").alias("k"))
+    return reconcile.select_by_keys(padded, c.select(F.col("c_mktsegment").alias("k")).distinct(), ["k"]).agg(F.count("*").alias("matched"))
+
+
+MARK = "2024-01-15 00:00:00"
+
+
+@query(f"SELECT * FROM events WHERE ts >= TIMESTAMP '{MARK}'")
+def incremental_events_since_mark(spark, sf):
+    return reconcile.since(table(spark, sf, "events"), "ts", MARK)
+
+
+@query("SELECT regexp_replace(strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f'), '\\.000000$', '') AS mark FROM events")
+def watermark_events(spark, sf):
+    return reconcile.next_mark(table(spark, sf, "events"), "ts")
+
+
+@query("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_per_key_events(spark, sf):
+    return reconcile.latest(table(spark, sf, "events"), ["user_id"], F.col("ts"), F.col("event_id"))
+
+
+@query(f"SELECT action, count(*) AS row_count FROM ({ORACLES['sync_diff_customer']}) GROUP BY 1")
+def sync_totals_customer(spark, sf):
+    c = table(spark, sf, "customer")
+    return sync.sync(_changed(spark, sf), c, sync.plan_sync(c.schema, ["c_custkey"]))[1]
+
+
+@query("SELECT 'insert' AS action, count(*) AS row_count FROM events WHERE event_id % 4 = 0 AND ts >= (SELECT median(ts) FROM events) UNION ALL SELECT 'delete', count(*) FROM events WHERE event_id % 9 = 0 AND event_id % 4 <> 0 ")
+def sync_timestamp_events(spark, sf):
+    e = table(spark, sf, "events")
+    mark = str(e.agg(F.expr("percentile(unix_micros(cast(ts as timestamp)), 0.5)").cast("long").alias("m")).select(F.expr("cast(timestamp_micros(m) as timestamp_ntz)").cast("string")).first()[0])
+    source = e.filter("not (event_id % 9 = 0 and event_id % 4 <> 0)").withColumnRenamed("ts", "updated_at")
+    target = e.filter("event_id % 4 <> 0").withColumnRenamed("ts", "updated_at")
+    return sync.sync(source, target, sync.plan_sync(source.schema, ["event_id"]), mark)[1]
+
+
+@query(f"WITH s AS (SELECT {SUMS} FROM (SELECT {CUSTOMER_HASH} AS h FROM customer)), t AS (SELECT {SUMS} FROM (SELECT {CUSTOMER_HASH} AS h FROM ({SOURCE}))) SELECT s.row_count AS source_row_count, t.row_count AS target_row_count, s.row_count = t.row_count AS same_count, s = t AS same_content FROM s, t")
+def validate_customer(spark, sf):
+    return reconcile.validate(table(spark, sf, "customer"), _changed(spark, sf)).select("source_row_count", "target_row_count", "same_count", "same_content")
+
+
+@query("SELECT 'customer' AS \"table\", (SELECT count(*) FROM customer) AS source_rows, 0::BIGINT AS rows_before, false AS target_exists, 'the target does not exist' AS warnings")
+def dry_run_customer(spark, sf):
+    return migrate.dry_run(table(spark, sf, "customer"), None, "customer")
+
+
+# --- nested data ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id, pos) AS id, vec_id, value FROM (SELECT vec_id, unnest(embedding) AS value, generate_subscripts(embedding, 1) AS pos FROM embeddings)")
+def unwind_embeddings(spark, sf):
+    return nested.child_table(table(spark, sf, "embeddings"), "embedding", "vec_id", "id")
+
+
+@query("SELECT event_id, event_type, (props->>'k')::BIGINT AS \"props.k\" FROM events")
+def flatten_events_props(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", F.from_json("props", "struct<k: bigint>").alias("props"))
+    return nested.flatten(e)
+
+
+@query("SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, conv_id, turn, role, length(text) AS chars FROM conversations")
+def conversations_child_table(spark, sf):
+    docs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.char_length("text").cast("long").alias("chars")))).alias("turns"))
+    return nested.child_table(docs, "turns", "conv_id", "id")
+
+
+@query("""WITH k AS (SELECT event_type, CASE WHEN event_id % 11 = 0 THEN 'null' WHEN event_id % 13 = 0 THEN 'string' WHEN (props->>'k')::BIGINT % 2 = 0 THEN 'int' ELSE 'double' END AS kind FROM events),
+c AS (SELECT event_type, kind, count(*) AS n FROM k GROUP BY ALL)
+SELECT event_type, arg_min(kind, (-n, kind)) FILTER (kind <> 'null') AS dominant, sum(n)::BIGINT AS docs, coalesce(sum(n) FILTER (kind = 'null'), 0)::BIGINT AS absent, count(*) FILTER (kind <> 'null') AS kinds FROM c GROUP BY 1""")
+def observed_kinds_events(spark, sf):
+    k = F.get_json_object("props", "$.k")
+    value = F.when(F.col("event_id") % 11 == 0, "null").when(F.col("event_id") % 13 == 0, '"x"').when(k.cast("long") % 2 == 0, k).otherwise(F.concat(k, F.lit(".5")))
+    return nested.observed(table(spark, sf, "events"), nested.kind_of(value), ["event_type"])
+
+
+# --- untyped cells ----------------------------------------------------------------------------------------------------
+
+CELLS = """SELECT p_partkey,
+  CASE WHEN p_partkey % 25 = 0 THEN 'N/A' ELSE p_size::VARCHAR END AS size, '0' || p_size::VARCHAR AS zip, p_size::VARCHAR AS whole,
+  CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE p_size::VARCHAR || '.5' END AS amount, CASE WHEN p_partkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS flag,
+  CASE WHEN p_partkey % 2 = 0 THEN '2024-3-7' ELSE '2024-03-07 09:30' END AS day, CASE WHEN p_partkey % 2 = 0 THEN '' END AS nothing FROM part"""
+
+
+def _cells(spark, sf):
+    even, size = F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")
+    return table(spark, sf, "part").select(
+        "p_partkey", F.when(F.col("p_partkey") % 25 == 0, "N/A").otherwise(size).alias("size"), F.concat(F.lit("0"), size).alias("zip"), size.alias("whole"), F.when(even, size).otherwise(F.concat(size, F.lit(".5"))).alias("amount"),
+        F.when(even, "Yes").otherwise("no").alias("flag"), F.when(even, "2024-3-7").otherwise("2024-03-07 09:30").alias("day"), F.when(even, "").alias("nothing"),
+    )
+
+
+@query(f"""WITH c AS ({CELLS}) SELECT * FROM (VALUES ('size', 'string', true), ('zip', 'string', false), ('whole', 'int', false), ('amount', 'float', false), ('flag', 'bool', false), ('day', 'datetime', false), ('nothing', 'null', false)) v("column", kind, conflict)
+JOIN (SELECT unnest(['size', 'zip', 'whole', 'amount', 'flag', 'day', 'nothing']) AS "column", unnest([max(length(size)), max(length(zip)), max(length(whole)), max(length(amount)), max(length(flag)), max(length(day)), max(length(nothing))])::INT AS widest FROM c) USING ("column")""")
+def infer_types_text(spark, sf):
+    return cells.infer(_cells(spark, sf).drop("p_partkey")).select("column", "kind", "conflict", "widest")
+
+
+@query(f"SELECT p_partkey, TRY_CAST(size AS DOUBLE) AS value, CASE WHEN TRY_CAST(size AS DECIMAL(38,10)) IS NULL THEN size END AS bad FROM ({CELLS})")
+def coerce_numeric_text(spark, sf):
+    return _cells(spark, sf).select("p_partkey", cells.coerce(F.col("size"), "numeric").alias("c")).select("p_partkey", F.col("c.value").cast("double").alias("value"), "c.bad")
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN TIMESTAMP '2024-03-07' ELSE TIMESTAMP '2024-03-07 09:30:00' END AS day, p_partkey % 2 = 0 AS flag FROM ({CELLS})")
+def coerce_dates_text(spark, sf):
+    return _cells(spark, sf).select("p_partkey", cells.coerce(F.col("day"), "datetime")["value"].alias("day"), cells.coerce(F.col("flag"), "bool")["value"].alias("flag"))
+
+
+@query("""WITH n AS (SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' #' || p_partkey, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM part)
+SELECT p_partkey, substr(CASE WHEN s = '' THEN 'column' WHEN regexp_matches(s, '^[0-9]') THEN '_' || s ELSE s END, 1, 30) AS name FROM n""")
+def sanitize_names_part(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", names.sanitized(F.concat("p_name", F.lit(" #"), "p_partkey"), limit=30).alias("name"))
+
+
+# --- hierarchy --------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE t(n_nationkey, n_name, parent, level) AS (
+  SELECT n_nationkey, n_name, NULL::BIGINT, 1 FROM nation WHERE n_nationkey = 0
+  UNION ALL SELECT n.n_nationkey, n.n_name, ((n.n_nationkey - 1) // 3)::BIGINT, t.level + 1 FROM nation n JOIN t ON (n.n_nationkey - 1) // 3 = t.n_nationkey WHERE n.n_nationkey > 0)
+SELECT * FROM t""")
+def hierarchy_nation(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") > 0, F.expr("(n_nationkey - 1) div 3")).cast("long").alias("parent"))
+    return hierarchy.connect_by(n, "n_nationkey", "parent", "parent IS NULL")
+
+
+# --- profiles, schemas, runs ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT unnest(['p_partkey', 'p_size']) AS "column", unnest([count(p_partkey), count(nullif(p_size, 10))]) AS present, unnest([count(*) - count(p_partkey), count(*) - count(nullif(p_size, 10))]) AS absent, unnest([false, count(*) > count(nullif(p_size, 10))]) AS nullable FROM part""")
+def nullability_part(spark, sf):
+    return profile.nullability(table(spark, sf, "part").select("p_partkey", F.nullif("p_size", F.lit(10)).alias("p_size")))
+
+
+@query("""SELECT unnest(['p_name', 'p_type']) AS "column", unnest([max(length(p_name)), max(length(p_type))])::INT AS widest, unnest([max(length(regexp_replace(p_name, '[^0-9]', '', 'g'))), max(length(regexp_replace(p_type, '[^0-9]', '', 'g')))])::INT AS digits FROM part""")
+def widths_part(spark, sf):
+    return profile.widths(table(spark, sf, "part"), ["p_name", "p_type"])
+
+
+@query("SELECT doc_id, substr(text, 1, 200) AS text, lang FROM documents ORDER BY doc_id LIMIT 25")
+def quality_sample_documents(spark, sf):
+    return profile.sample(table(spark, sf, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+
+
+@query("""SELECT event_type, count(*) AS runs, round(avg(CASE WHEN value < 1 THEN 1 ELSE 0 END), 6) AS error_rate, round(arg_max(user_id / (1 + event_id % 7), event_id), 6) AS last_rate FROM events GROUP BY 1""")
+def throughput_metrics(spark, sf):
+    e = table(spark, sf, "events")
+    out = profile.throughput(e, ["event_type"], F.col("user_id"), 1 + F.col("event_id") % 7, "event_id", F.col("value") < 1)
+    return out.select("event_type", "runs", F.round("error_rate", 6).alias("error_rate"), F.round("last_rate", 6).alias("last_rate"))
+
+
+@query("SELECT doc_id, " + " + ".join(f"{w} * len(regexp_extract_all(text, '(?i){p}'))" for p, w in {"the": 1, r"\band\b": 2, "[0-9]+": 3}.items()) + " AS score FROM documents")
+def complexity_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", profile.complexity(F.col("text"), {"the": 1, r"\band\b": 2, "[0-9]+": 3}).cast("long").alias("score"))
+
+
+ISSUES = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'view' WHEN 2 THEN 'sequence' ELSE 'routine' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN 'error' WHEN o_orderkey % 3 = 0 THEN 'warning' ELSE 'info' END AS severity, o_orderkey % 9 AS score FROM orders"
+
+
+@query(f"""WITH o AS (SELECT *, CASE severity WHEN 'error' THEN 'MANUAL' WHEN 'warning' THEN 'AUTOMATIC_WITH_WARNINGS' ELSE 'AUTOMATIC' END AS status FROM ({ISSUES}))
+SELECT kind, count(*) AS objects, count(*) FILTER (status = 'AUTOMATIC') AS automatic, count(*) FILTER (status = 'MANUAL') AS manual, round(100 * count(*) FILTER (status = 'AUTOMATIC') / count(*), 1) AS automatic_percent,
+  round(sum(CASE WHEN status = 'AUTOMATIC' THEN 0 WHEN kind = 'table' THEN 0.25 WHEN kind = 'view' THEN 0.5 WHEN kind = 'sequence' THEN 0.1 WHEN status = 'MANUAL' THEN CASE WHEN score > 4 THEN 4.0 ELSE 1.0 END ELSE 0 END), 2)::DOUBLE AS hours FROM o GROUP BY 1""")
+def assessment_objects(spark, sf):
+    k = F.col("o_orderkey")
+    objects = table(spark, sf, "orders").select(k.alias("id"), F.element_at(F.array(*map(F.lit, ("table", "view", "sequence", "routine"))), (k % 4 + 1).cast("int")).alias("kind"), F.when(k % 5 == 0, "error").when(k % 3 == 0, "warning").otherwise("info").alias("severity"), (k % 9).alias("score"))
+    return profile.assessment(objects.join(profile.status(objects, "id"), "id"))
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'source_only' ELSE 'both' END AS \"where\" FROM nation UNION ALL SELECT r_name, 'target_only' FROM region WHERE upper(r_name) NOT IN (SELECT upper(n_name) FROM nation)")
+def schema_diff_names(spark, sf):
+    n = table(spark, sf, "nation")
+    there = n.filter("n_nationkey % 3 <> 0").select(F.lower("n_name").alias("name")).unionByName(table(spark, sf, "region").select(F.col("r_name").alias("name")))
+    return schemas.name_diff(n.select(F.col("n_name").alias("name")), there)
+
+
+@query("SELECT unnest(['c_acctbal', 'c_mktsegment']) AS missing")
+def shape_check_customer(spark, sf):
+    c = table(spark, sf, "customer")
+    return spark.createDataFrame([(x,) for x in schemas.missing_columns(c, c.select(F.col("c_custkey").alias("C_CUSTKEY"), "c_name", "c_nationkey"))], "missing string")
+
+
+@query("SELECT * FROM (VALUES ('region', 0), ('part', 0), ('supplier', 0), ('nation', 1), ('customer', 2), ('orders', 3), ('lineitem', 4)) v(name, wave)")
+def dependency_waves(spark, sf):
+    parents = {}
+    for c, p, *_ in FKS:
+        parents.setdefault(c, []).append(p)
+    found = schemas.waves(["lineitem", "orders", "customer", "nation", "region", "part", "supplier"], parents)
+    return spark.createDataFrame([(t, i) for i, w in enumerate(found) for t in w], "name string, wave int")
+
+
+@query("SELECT * FROM (VALUES ('NUMBER(4)', 'smallint'), ('NUMBER(9)', 'int'), ('NUMBER(18)', 'bigint'), ('NUMBER(20)', 'decimal(20,0)'), ('NUMBER(10,2)', 'decimal(10,2)'), ('NUMBER', 'decimal(38,10)'), ('VARCHAR2(30)', 'string'), ('DATE', 'timestamp_ntz'), ('TIMESTAMP(6)', 'timestamp_ntz'), ('TIMESTAMP WITH TIME ZONE', 'timestamp'), ('BLOB', 'binary'), ('BOOLEAN', 'boolean'), ('BINARY_FLOAT', 'float')) v(pivot_type, spark_type)")
+def pivot_types(spark, sf):
+    some = ["NUMBER(4)", "NUMBER(9)", "NUMBER(18)", "NUMBER(20)", "NUMBER(10,2)", "NUMBER", "VARCHAR2(30)", "DATE", "TIMESTAMP(6)", "TIMESTAMP WITH TIME ZONE", "BLOB", "BOOLEAN", "BINARY_FLOAT"]
+    return spark.createDataFrame([(p, pivot.to_spark(p)[0].simpleString()) for p in some], "pivot_type string, spark_type string")
+
+
+# --- functions of other dialects ----------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, coalesce(s, -1) AS nvl, CASE WHEN s IS NOT NULL THEN 'set' ELSE 'unset' END AS nvl2, CASE WHEN s IS NOT DISTINCT FROM 1 THEN 'one' WHEN s IS NULL THEN 'none' ELSE 'other' END AS decoded, CASE WHEN s > 25 THEN 'big' ELSE 'small' END AS iif, coalesce(s, 0) AS isnull
+FROM (SELECT p_partkey, nullif(p_size, 10) AS s FROM part)""")
+def dialect_nulls(spark, sf):
+    s = F.nullif("p_size", F.lit(10))
+    return table(spark, sf, "part").select(
+        "p_partkey", F.nvl(s, F.lit(-1)).alias("nvl"), F.nvl2(s, F.lit("set"), F.lit("unset")).alias("nvl2"), dialect.decode(s, F.lit(1), F.lit("one"), F.lit(None), F.lit("none"), F.lit("other")).alias("decoded"),
+        F.when(s > 25, "big").otherwise("small").alias("iif"), F.coalesce(s, F.lit(0)).alias("isnull"),
+    )
+
+
+@query("""SELECT n_nationkey, instr(n_name, 'A') AS at, CASE WHEN instr(substr(n_name, 3), 'A') > 0 THEN instr(substr(n_name, 3), 'A') + 2 ELSE 0 END AS at3, length(n_name) AS len, n_name || '' || n_nationkey AS joined,
+  substr(n_name, 1, 1) || '**' || substr(n_name, 4) AS stuffed, ['a', 'b', 'c'][(n_nationkey % 4)::INT + 1] AS chosen, substr(n_name, 2, 3) AS part, strlen(n_name) AS bytes, power(n_nationkey, 2) AS square FROM nation""")
+def dialect_strings(spark, sf):
+    n = F.col("n_name")
+    return table(spark, sf, "nation").select(
+        "n_nationkey", dialect.instr(n, F.lit("A")).alias("at"), dialect.instr(n, F.lit("A"), 3).alias("at3"), dialect.length(F.concat(n, F.lit("  "))).alias("len"), dialect.concat(n, F.lit(None), F.col("n_nationkey")).alias("joined"),
+        dialect.stuff(n, 2, 2, F.lit("**")).alias("stuffed"), dialect.choose(F.col("n_nationkey") % 4 + 1, F.lit("a"), F.lit("b"), F.lit("c")).alias("chosen"), dialect.lob_substr(n, 3, 2).alias("part"), F.octet_length(n).alias("bytes"), F.pow("n_nationkey", F.lit(2)).alias("square"),
+    )
+
+
+@query("SELECT p_partkey, regexp_matches(p_type, '^[A-Z]+ ') AS liked, regexp_replace(p_type, '[AEIOU]', '_', 'g') AS replaced, nullif(regexp_extract(p_name, '[0-9]+'), '') AS found, len(regexp_extract_all(p_type, 'A')) AS counted FROM part")
+def dialect_regexp(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.regexp_like("p_type", F.lit("^[A-Z]+ ")).alias("liked"), F.regexp_replace("p_type", "[AEIOU]", "_").alias("replaced"), F.regexp_substr("p_name", F.lit("[0-9]+")).alias("found"), F.regexp_count("p_type", F.lit("A")).cast("long").alias("counted"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN d = last_day(d) THEN last_day((d + INTERVAL 1 MONTH)::DATE) ELSE (d + INTERVAL 1 MONTH)::DATE END::VARCHAR AS next_month, last_day(d)::VARCHAR AS month_end, date_trunc('year', o_orderdate)::TIMESTAMP AS year_start, date_trunc('month', o_orderdate)::TIMESTAMP AS month_start,
+  date_diff('year', o_orderdate, TIMESTAMP '2000-01-01') AS years, date_diff('month', o_orderdate, TIMESTAMP '2000-01-01') AS months, date_diff('quarter', o_orderdate, TIMESTAMP '2000-01-01') AS quarters, date_diff('day', o_orderdate, TIMESTAMP '2000-01-01') AS days, date_diff('hour', o_orderdate, TIMESTAMP '2000-01-01') AS hours,
+  o_orderdate + INTERVAL 3 DAY AS later, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS shown, extract('month' FROM o_orderdate) AS month FROM (SELECT *, o_orderdate::DATE AS d FROM orders)""")
+def dialect_dates(spark, sf):
+    t, day, end = F.col("o_orderdate"), F.col("o_orderdate").cast("date"), F.lit("2000-01-01").cast("timestamp_ntz")
+    diffs = [dialect.date_diff(p, t, end).cast("long").alias(p + "s") for p in ("year", "month", "quarter", "day", "hour")]
+    return table(spark, sf, "orders").select(
+        "o_orderkey", dialect.add_months(day, 1).cast("string").alias("next_month"), F.last_day(day).cast("string").alias("month_end"), F.date_trunc("year", t).cast("timestamp_ntz").alias("year_start"), F.date_trunc("month", t).cast("timestamp_ntz").alias("month_start"), *diffs,
+        dialect.date_add("dd", 3, t).cast("timestamp_ntz").alias("later"), dialect.to_char(t, "YYYY-MM-DD HH24:MI").alias("shown"), dialect.date_part("mm", t).cast("long").alias("month"),
+    )
+
+
+@query("SELECT o_orderkey, o_totalprice::BIGINT AS whole, sign(o_totalprice) * floor(abs(o_totalprice) * 10) / 10 AS cut, TRY_CAST(o_orderstatus AS INT) AS number, strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS day FROM orders")
+def dialect_conversions(spark, sf):
+    p = F.col("o_totalprice")
+    return table(spark, sf, "orders").select("o_orderkey", F.rint(p).cast("long").alias("whole"), dialect.trunc_number(p, 1).alias("cut"), F.col("o_orderstatus").try_cast("int").alias("number"), dialect.to_date(dialect.to_char(F.col("o_orderdate"), "DD/MM/YYYY"), "DD/MM/YYYY").alias("day"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) AS keys FROM nation GROUP BY 1")
+def dialect_listagg(spark, sf):
+    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name)").alias("names"), F.array_join(F.sort_array(F.array_agg("n_nationkey")), ",").alias("keys"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def dialect_top_n(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+@query("SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'unknown') AS segment, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END, 0) AS balance FROM customer")
+def default_values_customer(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("unknown")).alias("segment"), F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")), F.lit(0.0)).alias("balance"))
+
+
+@query("SELECT n_nationkey, 100 + 5 * (row_number() OVER (ORDER BY n_name) - 1) AS seq FROM nation")
+def sequence_nation(spark, sf):
+    return shards.numbered(table(spark, sf, "nation").select("n_nationkey", "n_name"), ["n_name"]).select("n_nationkey", (100 + 5 * (F.col("row_no") - 1)).alias("seq"))
+
+
+@query("SELECT * FROM (VALUES ('last_updated', true), ('modified_on', true), ('ts_changed', true), ('created', false)) v(name, chosen)")
+def change_columns(spark, sf):
+    names_ = ["last_updated", "modified_on", "ts_changed", "created"]
+    one = spark.createDataFrame([], "x int")
+    return spark.createDataFrame([(n, sync.change_column(one.select(F.lit(None).cast("timestamp").alias(n)).schema) == n) for n in names_], "name string, chosen boolean")
+
 
-QUERIES = {}
-ORACLES = {}

@@ -49,7 +49,7 @@ def migrate(source: DataFrame, path: str, table: str, convert: Mapping[str, Colu
 def migrate_schema(spark: SparkSession, tables: Iterable[str], references: Mapping[str, Iterable[str]], read: Callable[[str], DataFrame], path: Callable[[str], str], at_once: int = 4) -> list[Moved]:
     """Moves tables, parents first; those of a wave at once, as Spark jobs side by side. One that fails stops no other."""
 
-    @inheritable_thread_target
+    @inheritable_thread_target(spark)
     def one(table: str) -> Moved:
         try:
             return migrate(read(table), path(table), table)

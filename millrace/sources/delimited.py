@@ -15,15 +15,18 @@ MAX_FILES = 50
 COERCION = {"int": "int", "float": "float", "decimal": "numeric", "bool": "bool", "date": "date", "datetime": "datetime"}
 
 
-def read_text(spark: SparkSession, paths: str | Sequence[str], header: bool = True) -> DataFrame:
-    """Cells as text. Short rows are padded, long ones cut, blank rows skipped, a byte order mark eaten; tabs part .tsv."""
+def read_text(spark: SparkSession, paths: str | Sequence[str], header: bool = True, line_breaks: bool = False) -> DataFrame:
+    """Cells as text. Short rows are padded, long ones cut, blank rows skipped, a byte order mark eaten; tabs part .tsv.
+
+    line_breaks allows them within quoted cells; Spark then cannot split a file among tasks.
+    """
     files = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     if len(files) > MAX_FILES:
         raise ValueError(f"{len(files)} files; {MAX_FILES} at most")
     kinds = {f.lower().endswith(".tsv") for f in files}
     if len(kinds) > 1:
         raise ValueError("comma and tab files cannot be read together")
-    raw = spark.read.option("header", header).option("sep", "\t" if kinds == {True} else ",").option("quote", '"').option("escape", '"').option("multiLine", True).csv(files)
+    raw = spark.read.option("header", header).option("sep", "\t" if kinds == {True} else ",").option("quote", '"').option("escape", '"').option("multiLine", line_breaks).csv(files)
     named = raw.toDF(*headers(raw.columns))
     return named.filter(F.coalesce(*(F.when(F.trim(F.col(f"`{c}`")) != "", True) for c in named.columns)))
 

@@ -10,8 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+#: Marks around an identifier by engine.
+QUOTES = {"spark": "``", "mysql": "``", "sqlserver": "[]", "oracle": '""', "postgresql": '""', "db2": '""'}
+
+
+def quoted(name: str, engine: str = "spark") -> str:
+    left, right = QUOTES[engine]
+    return left + name.replace(right, 2 * right) + right
 
 
 def sanitized(name: Column, fallback: str = "column", limit: int = 63) -> Column:

@@ -57,6 +57,13 @@ FROM = {
         (r"tinyint", "NUMBER(3)"), (r"smallint", "NUMBER(5)"), (r"int", "NUMBER(10)"), (r"bigint", "NUMBER(19)"), (r"(?:decimal|numeric)\((\d+),\s*(\d+)\)", r"NUMBER(\1,\2)"), (r"money", "NUMBER(19,4)"), (r"smallmoney", "NUMBER(10,4)"), (r"bit", "BOOLEAN"), (r"float.*", "BINARY_DOUBLE"), (r"real", "BINARY_FLOAT"),
         (r"n?varchar\(max\)|n?text|xml|sql_variant|hierarchyid", "CLOB"), (r"n?varchar\((\d+)\)", r"VARCHAR2(\1)"), (r"n?char\((\d+)\)", r"CHAR(\1)"), (r"uniqueidentifier", "VARCHAR2(36)"), (r"rowversion|timestamp", "RAW(8)"), (r"varbinary.*|binary.*|image", "BLOB"), (r"datetimeoffset.*", "TIMESTAMP WITH TIME ZONE"), (r"datetime.*|smalldatetime", "TIMESTAMP(6)"), (r"date", "DATE"),
     ],
+    "db2": [
+        (r"smallint", "NUMBER(5)"), (r"int|integer", "NUMBER(10)"), (r"bigint", "NUMBER(19)"), (r"(?:decimal|numeric|dec)\((\d+),\s*(\d+)\)", r"NUMBER(\1,\2)"), (r"decfloat.*", "NUMBER"), (r"real", "BINARY_FLOAT"), (r"double(?: precision)?|float", "BINARY_DOUBLE"), (r"(?:char|character|graphic)\((\d+)\).*", r"CHAR(\1)"),
+        (r"(?:varchar|vargraphic)\((\d+)\).*", r"VARCHAR2(\1)"), (r"dbclob.*|clob.*", "CLOB"), (r"(?:var)?binary\((\d+)\)", r"RAW(\1)"), (r"blob.*", "BLOB"), (r"date", "DATE"), (r"timestamp.*", "TIMESTAMP"), (r"time", "VARCHAR2(20)"), (r"boolean", "BOOLEAN"), (r"xml", "XMLTYPE"), (r"rowid", "ROWID"),
+    ],
+    "mongodb": [
+        (r"string\(([1-9]\d{0,2}|[1-3]\d{3}|4000)\)", r"VARCHAR2(\1)"), (r"string.*", "CLOB"), (r"int", "NUMBER(9)"), (r"long", "NUMBER(19)"), (r"double", "BINARY_DOUBLE"), (r"decimal", "NUMBER(38,10)"), (r"bool", "BOOLEAN"), (r"date", "TIMESTAMP"), (r"objectid", "ROWID"), (r"bindata", "BLOB"), (r"null", "VARCHAR2(4000)"),
+    ],
     "spreadsheet": [(r"int\(([1-9])\)", "NUMBER(9)"), (r"int\((1[0-8])\)", "NUMBER(18)"), (r"int.*", "NUMBER(38)"), (r"float", "BINARY_DOUBLE"), (r"decimal", "NUMBER(38,10)"), (r"bool", "BOOLEAN"), (r"date", "DATE"), (r"datetime", "TIMESTAMP(6)"), (r"time", "VARCHAR2(8)"), (r"null|string.*", "VARCHAR2(4000)")],
 }
 
@@ -70,3 +77,28 @@ def from_engine(engine: str, declared: str) -> tuple[str, str | None]:
         if m := re.fullmatch(pattern, text):
             return m.expand(pivot), "unsigned is dropped" if unsigned else None
     return "CLOB", f"unknown type {declared}"
+
+
+#: Types of the targets: (up to 4, 9 and 18 digits, other numbers, bare number, text of n, long text, binary, time, zoned time, double, float, boolean). Fixed values.
+TO = {
+    "postgresql": ("SMALLINT", "INTEGER", "BIGINT", "NUMERIC", "NUMERIC", "VARCHAR({})", "TEXT", "BYTEA", "TIMESTAMP", "TIMESTAMPTZ", "DOUBLE PRECISION", "REAL", "BOOLEAN"),
+    "mysql": ("SMALLINT", "INT", "BIGINT", "DECIMAL", "DECIMAL(65,30)", "VARCHAR({})", "LONGTEXT", "LONGBLOB", "DATETIME(6)", "DATETIME(6)", "DOUBLE", "FLOAT", "TINYINT(1)"),
+    "sqlserver": ("SMALLINT", "INT", "BIGINT", "DECIMAL", "DECIMAL(38,10)", "NVARCHAR({})", "NVARCHAR(MAX)", "VARBINARY(MAX)", "DATETIME2", "DATETIMEOFFSET", "FLOAT", "REAL", "BIT"),
+    "db2": ("SMALLINT", "INTEGER", "BIGINT", "DECIMAL", "DECIMAL(31,9)", "VARCHAR({})", "CLOB", "BLOB", "TIMESTAMP", "TIMESTAMP", "DOUBLE", "REAL", "BOOLEAN"),
+    "oracle": ("NUMBER(4)", "NUMBER(9)", "NUMBER(18)", "NUMBER", "NUMBER", "VARCHAR2({})", "CLOB", "BLOB", "TIMESTAMP(6)", "TIMESTAMP WITH TIME ZONE", "BINARY_DOUBLE", "BINARY_FLOAT", "BOOLEAN"),
+}
+
+
+def to_engine(engine: str, pivot: str) -> tuple[str, str | None]:
+    """(the type of a target engine for a pivot type, a remark where something is lost)."""
+    small, medium, large, number, bare, text, long_text, binary, stamp, zoned, double, single, boolean = TO[engine]
+    kind, remark = to_spark(pivot)
+    m = TYPE.match(" ".join(pivot.upper().split()))
+    if isinstance(kind, T.DecimalType):
+        if not m or m[2] in (None, "*"):
+            return bare, "no precision"
+        return f"{number}({m[2]},{m[3] or 0})", remark
+    if isinstance(kind, T.StringType) and m and m[2] and m[1] not in ("CLOB", "NCLOB"):
+        return text.format(m[2]), remark
+    plain = {T.ShortType: small, T.IntegerType: medium, T.LongType: large, T.StringType: long_text, T.BinaryType: binary, T.TimestampNTZType: stamp, T.TimestampType: zoned, T.DoubleType: double, T.FloatType: single, T.BooleanType: boolean}
+    return plain.get(type(kind), long_text), remark if type(kind) in plain else f"{pivot} becomes text"

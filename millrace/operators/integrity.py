@@ -72,6 +72,12 @@ def repair(child: DataFrame, parent: DataFrame, fk: ForeignKey, policy: str = "n
     return {"null_orphans": null_orphans, "delete_orphans": delete_orphans}.get(policy, lambda c, *_: c)(child, parent, fk), report
 
 
+def aligned(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
+    """child with its key columns in the types of the parent's; a value that does not fit becomes null."""
+    kinds = {f.name: f.dataType for f in parent.schema}
+    return child.withColumns({c: F.col(c).try_cast(kinds[p]) for c, p in zip(fk.child, fk.parent, strict=True)})
+
+
 #: One column against a number or a list of literals, in one pair of parentheses at most.
 CHECK = re.compile(r"^\s*(\()?\s*(\w+)\s*(?:(>=|<=|>|<)\s*(-?[\d.]+)|in\s*\(([^()]*)\))\s*(?(1)\))\s*$", re.IGNORECASE)
 

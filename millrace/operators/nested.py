@@ -70,3 +70,8 @@ def observed(df: DataFrame, kind: Column, by: Sequence[str] = ()) -> DataFrame:
 def json_leaf(col: Column, kind: T.DataType) -> Column:
     """A leaf as a portable value: nested rests become JSON text, binary stays."""
     return F.to_json(col) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else col
+
+
+def path_value(json: Column, *path: str) -> Column:
+    """The value at a path of a JSON text; null if any step is missing."""
+    return F.get_json_object(json, "$" + "".join(f"['{p}']" for p in path))

@@ -34,8 +34,11 @@ def throughput(runs: DataFrame, by: Sequence[str], rows: Column, seconds: Column
     return runs.groupBy(*by).agg(F.count("*").alias("runs"), (F.sum(failed.cast("int")) / F.count("*")).alias("error_rate"), F.max_by(rate, F.col(at)).alias("last_rate"))
 
 
-#: Weight of each construct that makes a routine harder to move. Fixed values.
-MARKERS = {r"\bCURSOR\b": 2, r"\bLOOP\b": 1, r"\bEXCEPTION\b": 2, r"\bEXECUTE IMMEDIATE\b": 3, r"\bBULK COLLECT\b": 2, r"\bFORALL\b": 2, r"\bCONNECT BY\b": 3, r"\bPRAGMA\b": 2, r"\bDBMS_\w+": 3, r"\bUTL_\w+": 3, r"\bGOTO\b": 3, r"\bREF CURSOR\b": 2, r"\bPIPE ROW\b": 3, r"\bMERGE\b": 1}
+#: The weight of each construct that makes a routine harder to move.
+MARKERS = {
+    r"\bDBMS_[A-Z_]+": 3, r"\bUTL_[A-Z_]+": 3, "%ROWTYPE": 1, "%TYPE": 1, r"\bPRAGMA\b": 2, r"\bBULK COLLECT\b": 2, r"\bFORALL\b": 2, r"\bAUTONOMOUS_TRANSACTION\b": 3,
+    r"\bCONNECT BY\b": 3, r"\bMERGE\b": 1, r"\bCURSOR\b": 1, r"\bEXCEPTION\b": 1, r"\bPACKAGE\b": 2, r"\bGOTO\b": 1,
+}
 
 
 def complexity(text: Column, markers: dict[str, int] = MARKERS) -> Column:

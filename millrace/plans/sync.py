@@ -12,9 +12,15 @@ from pyspark.sql import types as T
 
 from ..operators.reconcile import apply_diff, diff, keys_missing, next_mark, since, upsert
 
-#: Names of columns that hold the time of the last change, best first. Fixed values.
-CHANGE_NAMES = [r"^(last_?)?(updated|modified|changed)(_?(at|on|date|time|ts|timestamp))?$", r"^last_?(update|modification|change)(_?(date|time|ts|timestamp))?$", r"^(update|modify|modification|change)_?(date|time|ts|timestamp)$", r"^row_?(updated|modified|version_?time)$", r"^(sys|etl|dw)_?(updated|modified|update|modify)(_?(at|on|date|time|ts))?$"]
-LOOSE = r"updat|modif|chang"
+#: Names of columns that hold the time of the last change, the most trusted first.
+CHANGE_NAMES = [
+    r"^(last_)?updated?(_at|_on|_date|_time|_ts)?$",
+    r"^(last_)?modified?(_at|_on|_date|_time|_ts)?$",
+    r"^(date|time)_(updated|modified|changed)$",
+    r"^(last_)?changed(_at|_on)?$",
+    r"^row_version$|^rowversion$|^version_ts$",
+]
+LOOSE = "updat|modif|chang"
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells, dialect, names, pivot
 from .operators import hierarchy, integrity, nested, profile, reconcile, schemas, shards
-from .plans import migrate, sync
+from .plans import migrate, resume, sync
+from .session import folder
+from .streaming import feed
 
 QUERIES, ORACLES = {}, {}
 
@@ -490,10 +493,52 @@ def sequence_nation(spark, sf):
     return shards.numbered(table(spark, sf, "nation").select("n_nationkey", "n_name"), ["n_name"]).select("n_nationkey", (100 + 5 * (F.col("row_no") - 1)).alias("seq"))
 
 
-@query("SELECT * FROM (VALUES ('last_updated', true), ('modified_on', true), ('ts_changed', true), ('created', false)) v(name, chosen)")
+@query("SELECT * FROM (VALUES ('last_updated', true), ('modified_on', true), ('ts_changed', true), ('row_version', true), ('created', false)) v(name, chosen)")
 def change_columns(spark, sf):
-    names_ = ["last_updated", "modified_on", "ts_changed", "created"]
+    names_ = ["last_updated", "modified_on", "ts_changed", "row_version", "created"]
     one = spark.createDataFrame([], "x int")
     return spark.createDataFrame([(n, sync.change_column(one.select(F.lit(None).cast("timestamp").alias(n)).schema) == n) for n in names_], "name string, chosen boolean")
 
 
+
+
+# --- change feeds and keys ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT event_id % 500 AS id, event_type AS v, event_id % 10 = 0 AS gone, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id DESC) AS rn FROM events)
+SELECT id, v FROM l WHERE rn = 1 AND NOT gone""")
+def change_feed_events(spark, sf):
+    e = table(spark, sf, "events")
+    row = F.struct((F.col("event_id") % 500).alias("id"), F.col("event_type").alias("v"))
+    op = F.when(F.col("event_id") % 10 == 0, "d").otherwise("u")
+    messages = e.select(F.to_json(F.struct(F.when(op == "d", row).alias("before"), F.when(op != "d", row).alias("after"), op.alias("op"), F.col("event_id").alias("ts_ms"))).alias("value"))
+    changes = feed.captured(messages, "id bigint, v string")
+    return feed.apply_changes(changes.select("id", "v").limit(0), changes, ["id"], [F.col("ts")], "op")
+
+
+@query("SELECT date_diff('second', max(ts), TIMESTAMP '2030-01-01') AS lag_seconds FROM events")
+def feed_lag_events(spark, sf):
+    return feed.lag(table(spark, sf, "events"), "ts", F.lit("2030-01-01").cast("timestamp"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+def aligned_keys_orders(spark, sf):
+    text = table(spark, sf, "orders").filter("o_custkey % 3 = 0").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
+    parents = _parents(spark, sf)
+    return integrity.orphans(integrity.aligned(text, parents, CUSTOMER_FK), parents, CUSTOMER_FK)
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k, NULL::VARCHAR AS missing FROM events")
+def json_paths_events(spark, sf):
+    return table(spark, sf, "events").select("event_id", nested.path_value(F.col("props"), "k").cast("long").alias("k"), nested.path_value(F.col("props"), "k", "x").alias("missing"))
+
+
+@query(f"SELECT {SUMS} FROM (SELECT {ORDER_HASH} AS h FROM orders)")
+def resumable_copy_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    low, high = shards.key_bounds(o, "o_orderkey").first()
+    path = f"{folder(spark)}/copy-{uuid.uuid4().hex}"
+    cut = shards.shards_of(low, high, 3)
+    resume.copy_shards(o, "o_orderkey", cut[:2], path)
+    whole = resume.combined(resume.copy_shards(o, "o_orderkey", cut, path))
+    return spark.createDataFrame([tuple(whole.values())], "row_count long, hash_xor long, hash_sum long")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import quoted
+from ..functions.pivot import to_engine
 from ..operators.schemas import missing_columns
 from ..operators.shards import Shard
 from .delimited import read_text
@@ -38,6 +39,19 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return df.select(*columns) if columns else df
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, engine: str, types: dict[str, str] | None = None, **options: str) -> None:
+    """Adds df to a table of a database, in batches; types are pivot types of columns, for a table that is made."""
+    given = {c: to_engine(engine, t)[0] for c, t in (types or {}).items()}
+    properties = {"batchsize": str(FETCH)} | ({"createTableColumnTypes": ", ".join(f"{quoted(c, engine)} {t}" for c, t in given.items())} if given else {}) | options
+    df.write.jdbc(url, table, mode="append", properties=properties)
+
+
+def tables_of(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """The catalog's tables and columns, a row for each column."""
+    rows = [(t.name, c.name, c.dataType, c.nullable, c.isPartition) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(t.name, database)]
+    return spark.createDataFrame(rows, "table string, column string, type string, nullable boolean, is_partition boolean")
+
+
 def append(df: DataFrame, path: str, kind: str = "parquet") -> int:
     """Adds the rows of df to a table and returns how many rows it held before. Appending does not replace them."""
     spark = df.sparkSession

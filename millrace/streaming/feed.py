@@ -7,6 +7,7 @@ is part of the snapshot's commit. Applying a batch again changes nothing, so a r
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,19 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], or
     return upsert(delete_by_keys(target, gone, keys), last.filter(F.col(op) != delete), keys)
 
 
+def captured(messages: DataFrame, row: str, value: str = "value") -> DataFrame:
+    """Change messages (JSON with before, after, op and ts_ms) as rows: the row's columns, op (i, u or d) and ts."""
+    m = F.from_json(F.col(value).cast("string"), f"before struct<{row}>, after struct<{row}>, op string, ts_ms bigint")
+    parts = messages.select(m.alias("m")).filter("m.op is not null").select(F.when(F.col("m.op") == "d", F.col("m.before")).otherwise(F.col("m.after")).alias("r"), "m.op", "m.ts_ms")
+    return parts.select("r.*", F.when(F.col("op") == "d", "d").when(F.col("op") == "u", "u").otherwise("i").alias("op"), F.timestamp_millis("ts_ms").cast("timestamp_ntz").alias("ts"))
+
+
+def lag(df: DataFrame, change: str, now: Column | None = None) -> DataFrame:
+    """One row: seconds since the last change; null, which is not zero, without changes."""
+    at = F.unix_seconds((now if now is not None else F.current_timestamp()).cast("timestamp"))
+    return df.agg((at - F.unix_seconds(F.max(change).cast("timestamp"))).alias("lag_seconds"))
+
+
 class Snapshots:
     """Versions of a table under one folder; a version counts once its pointer is written."""
 
@@ -71,9 +85,19 @@ def run_feed(stream: DataFrame, snapshots: Snapshots, keys: Sequence[str], chang
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def deduplicated(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
+def deduplicated(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     """Each key once within the delay, in bounded state. Late data is an addition of this library."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def wait_until_drained(query: StreamingQuery, rows: int = 0, seconds: float = 3600, poll: float = 1.0) -> bool:
+    """Waits until a trigger reads no more than so many rows; false if that takes too long or the query ends."""
+    end = time.monotonic() + seconds
+    while time.monotonic() < end and query.isActive:
+        if drained(query, rows):
+            return True
+        time.sleep(poll)
+    return drained(query, rows)
 
 
 def drained(query: StreamingQuery, rows: int = 0) -> bool:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import cells, dialect, names, pivot
 from millrace.functions.canonical import row_hash
 from millrace.operators import hierarchy, integrity, nested, profile, reconcile, schemas, shards
-from millrace.plans import migrate, sync
+from millrace.plans import migrate, resume, sync
 from millrace.sources import delimited, tables
 from millrace.streaming import feed
 
@@ -175,6 +175,34 @@ def test_pivot_types():
     assert pivot.from_engine("sqlserver", "nvarchar(max)")[0] == "CLOB" and pivot.from_engine("postgresql", "hstore")[1]
 
 
+def test_target_types():
+    assert pivot.to_engine("postgresql", "NUMBER(9)")[0] == "INTEGER" and pivot.to_engine("mysql", "NUMBER(12,2)")[0] == "DECIMAL(12,2)"
+    assert pivot.to_engine("sqlserver", "VARCHAR2(30)")[0] == "NVARCHAR(30)" and pivot.to_engine("db2", "CLOB")[0] == "CLOB" and pivot.to_engine("postgresql", "NUMBER") == ("NUMERIC", "no precision")
+    assert pivot.from_engine("db2", "decimal(9,2)")[0] == "NUMBER(9,2)" and pivot.from_engine("mongodb", "objectId")[0] == "ROWID"
+    assert names.quoted("a]b", "sqlserver") == "[a]]b]"
+
+
+def test_copies_go_on_where_they_stopped(spark, tmp_path):
+    df = spark.range(100).withColumn("v", F.col("id") * 2)
+    cut = shards.shards_of(0, 99, 4)
+    resume.copy_shards(df, "id", cut[:2], str(tmp_path / "c"))
+    first = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "c").rglob("part-*") if "shard=0" in str(p)}
+    whole = resume.combined(resume.copy_shards(df, "id", cut, str(tmp_path / "c")))
+    assert first == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "c").rglob("part-*") if "shard=0" in str(p)}
+    assert whole == one(reconcile.checksum(df))
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("Connection reset by peer")
+        return 7
+
+    assert resume.retried(flaky, sleep=lambda _: None) == 7
+    with pytest.raises(ValueError):
+        resume.retried(lambda: (_ for _ in ()).throw(ValueError("wrong type")), sleep=lambda _: None)
+
+
 def test_dialect_dates(spark):
     def v(c):
         return spark.range(1).select(c).first()[0]
@@ -204,7 +232,7 @@ def test_schemas_and_profiles(spark):
     assert schemas.subset(["a", "b"], {"b": ["a"]}, ["B"]) == (["b"], [("b", "a")])
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert {r.column: r.nullable for r in profile.nullability(df).collect()} == {"a": False, "b": True}
-    text = spark.createDataFrame([("begin loop cursor x; execute immediate y",), (None,)], "t string")
+    text = spark.createDataFrame([("package p cursor x; dbms_output.put r%rowtype",), (None,)], "t string")
     assert [r[0] for r in text.select(profile.complexity(F.col("t"))).collect()] == [6, 0]
 
 

@@ -233,7 +233,7 @@ def test_schemas_and_profiles(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert {r.column: r.nullable for r in profile.nullability(df).collect()} == {"a": False, "b": True}
     text = spark.createDataFrame([("package p cursor x; dbms_output.put r%rowtype",), (None,)], "t string")
-    assert [r[0] for r in text.select(profile.complexity(F.col("t"))).collect()] == [6, 0]
+    assert [r[0] for r in text.select(profile.complexity(F.col("t"))).collect()] == [7, 0]
 
 
 def test_delimited_files(spark, tmp_path):

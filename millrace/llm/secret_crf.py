@@ -3,8 +3,9 @@
 The field tags each word as the begin of a secret, inside one, or outside. A word's score adds up features of its own
 (shape, length, share of digits, entropy, key words, delimiters), those of the words before and after it, and features of
 the file (share of words with symbols, length, line breaks), plus one weight per pair of neighbouring tags. It learns from a
-bounded sample: windows around the base matches of ``sample`` documents with candidates, and windows of ``sample`` others;
-each task runs gradient steps on its windows, and the weights of all tasks are averaged, for ``rounds`` rounds.
+bounded sample: of about ``pool`` documents chosen by their ids' hashes, windows around the base matches of ``sample`` with
+candidates, and windows of ``sample`` others; each task runs gradient steps on its windows, and the weights of all tasks are
+averaged, for ``rounds`` rounds.
 
 Viterbi decoding is exact over the whole text: where "outside" leads by more than changed neighbours could cost, the best
 path must be outside, so the text falls into independent stretches, and only those that may hold a secret are decoded.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, read, saved
@@ -39,7 +40,7 @@ KINDS = ("assign", "access", "hex", "crf")
 CANDIDATE = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
-DIM, SAMPLE, AROUND, ROUNDS, RATE, MAX_TYPES = 4096, 1_500, 25, 4, 0.1, 300_000
+DIM, SAMPLE, AROUND, ROUNDS, RATE, MAX_TYPES, MAX_LOOKS, POOL = 4096, 1_500, 25, 4, 0.1, 300_000, 50_000, 40_000
 OUT, BEGIN, INSIDE = range(3)
 
 
@@ -87,21 +88,37 @@ def file_features(words: int, symbols: int, lines: int) -> list[int]:
 SYMBOL = re.compile(rb"[=|*&%$#{}<>]")
 
 
+#: Letters and digits by class, other ASCII as it is.
+CLASSES = bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 else 48 if 48 <= c < 58 else c if c < 128 else 117 for c in range(256))
+KEYWORD = re.compile(rb"pass|secret|token|key|auth|bearer|credential", re.IGNORECASE)
+LONG = 16
+
+
 class Types:
-    """Scores of each distinct word as itself (0), as the one before (1) and the one after (2)."""
+    """Scores of words as themselves (0), as the one before (1) and the one after (2); short words of the same look share a row."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.of, self.scores, self.symbol = weights, {}, [], []
+        self.weights, self.of, self.looks, self.scores, self.symbol, self.array = weights, {}, {}, [], [], None
 
     def __getitem__(self, word: bytes) -> int:
         found = self.of.get(word)
         if found is None:
-            found = self.of[word] = len(self.scores)
-            names = features(word)
-            self.scores.append([self.weights[[slot(p + n) for n in names]].sum(0) for p in ("", "-", "+")])
-            self.symbol.append(SYMBOL.search(word) is not None)
+            look = word if len(word) >= LONG or KEYWORD.search(word) else word.translate(CLASSES)
+            found = self.looks.get(look)
+            if found is None:
+                found = self.looks[look] = len(self.scores)
+                names = features(word)
+                self.scores.append([self.weights[[slot(p + n) for n in names]].sum(0) for p in ("", "-", "+")])
+                self.symbol.append(SYMBOL.search(word) is not None)
+                self.array = None
+            self.of[word] = found
         return found
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.array is None:
+            self.array = np.array(self.scores, float).reshape(-1, 3, 3), np.array(self.symbol, bool)
+        return self.array
+
 
 def viterbi(score: np.ndarray, move: np.ndarray, after: int = OUT) -> list[int]:
     """The best tags of a stretch between words outside."""
@@ -188,12 +205,16 @@ def epoch(data: list[tuple], weights: np.ndarray, move: np.ndarray, square: np.n
         move += 0.02 * rate * m
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, pool: int = POOL) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights (features x tags) and moves (tag x tag). docs: (id, text)."""
-    order = [F.xxhash64("id", "text"), "id"]
-    hit = docs.filter(F.col("text").rlike(CANDIDATE)).orderBy(*order).limit(sample)
-    rest = docs.filter(~F.col("text").rlike(CANDIDATE)).orderBy(*order).limit(sample)
-    kept = saved(hit.unionByName(rest), "secrets").repartition(6, F.xxhash64("id", "text"))
+    def part(name: str, n: float, of: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(name)), F.lit(1 << 30)) < int(min(1.0, n / max(1, of)) * (1 << 30))
+
+    total = docs.count()
+    seen = docs.filter(part("pool", pool, total) & F.col("text").isNotNull()).select("id", "text", F.col("text").rlike(CANDIDATE).alias("hit"))
+    kept = saved(seen.filter(F.col("hit") | part("rest", sample, min(pool, total))), "secrets")
+    hits = kept.filter("hit").count()
+    kept = kept.filter(~F.col("hit") | part("hit", sample, hits)).select("id", "text").repartition(6, F.xxhash64("id", "text")).sortWithinPartitions("id", "text")
     weights, move = np.zeros((DIM, 3)), np.zeros((3, 3))
     for turn in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((weights, move))
@@ -239,11 +260,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: in
         types = Types(weights)
         for batch in batches:
             for start, texts in chunks(batch):
-                if len(types.scores) > MAX_TYPES:
+                if len(types.of) > MAX_TYPES or len(types.scores) > MAX_LOOKS:
                     types = Types(weights)
                 words = [(t or b"").split() for t in texts]
                 ids = [np.fromiter(map(types.__getitem__, w), np.int32, len(w)) for w in words] if move is not None else []
-                scores, symbol, rows = np.array(types.scores, float), np.array(types.symbol, bool), []
+                (scores, symbol), rows = types.arrays(), []
                 for i, t in enumerate(texts):
                     base = base_spans(t or b"")
                     spans, met = list(base), set()

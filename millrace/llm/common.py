@@ -53,6 +53,14 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 20, row
         yield start, out
 
 
+def chosen(df: DataFrame, n: int, *cols: str, total: int | None = None) -> DataFrame:
+    """n rows of df by the hash of some columns: a filter leaves about 2 n of them, so no task hands on n rows of its own."""
+    total = df.count() if total is None else total
+    if total > 4 * n:
+        df = df.filter(F.pmod(F.xxhash64(*cols, F.lit("chosen")), F.lit(1 << 30)) < max(1, int((2 * n + 100) / total * (1 << 30))))
+    return df.orderBy(F.xxhash64(*cols), *cols).limit(n)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of each node of edges (a, b); the label is the smallest node of the component."""
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")

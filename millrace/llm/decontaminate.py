@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, text_key
+from .common import chunks, read, saved, text_key
 
 WIDTH, MIN_LITERALS, MIN_COVER, MAX_WINDOWS = 8, 5, 0.3, 4_000_000
-CHUNK, MAX_TYPES = 1 << 20, 300_000
+MAX_TYPES = 300_000
 #: Units that count as such after a number.
 UNITS = "% mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years dollars euros cents usd eur mph kmh degrees meters metres miles feet inches grams kilograms liters litres".split()
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
@@ -96,19 +96,6 @@ def windows(owner: np.ndarray, kind: np.ndarray, code: np.ndarray, width: int, l
     return at, h[at]
 
 
-def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK) -> Iterator[tuple[int, list[bytes | None]]]:
-    """(first row, texts as bytes) in pieces of about `size` bytes."""
-    column, start, held, out = batch.column(text).cast(pa.binary()), 0, 0, []
-    for i, x in enumerate(column):
-        out.append(x.as_py())
-        held += len(out[-1] or b"")
-        if held >= size or len(out) >= 2000:
-            yield start, out
-            start, held, out = i + 1, 0, []
-    if out:
-        yield start, out
-
-
 HITS = "id long, k1 long, k2 long, hash long, template string, pos int, slots array<string>, words int"
 
 
@@ -122,7 +109,7 @@ def template_windows(df: DataFrame, widths: list[int] | None, wanted: np.ndarray
             probe[(wanted >> np.uint64(42)).astype(np.int64)] = True
         for batch in batches:
             keys = [batch.column(c) for c in ("id", "k1", "k2")]
-            for start, texts in chunks(batch, "text"):
+            for start, texts in chunks(batch):
                 if len(types.word) > MAX_TYPES:
                     types = Types()
                 owner, ids, kind, code = canonical(texts, types)

@@ -171,7 +171,7 @@ def test_urls_against_brute_force(spark):
     hosts = ["com", "a.com", "example.com", "x.example.com", "notexample.com", "net", "Example.NET", "b.org", "org", "ORG", "é.org", ""]
     urls = [f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/7', '/en/71?x', '/de/8#y', '/de/', '/es/1', '?q=/en/', '#/en/'])}" for _ in range(300)]
     urls += [None, "", "no scheme", "://", "a://b://c/en/", "http://x.com/en/\n://y"]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string").drop("host")
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
     for r in url_filter.judge(pages, rules).collect():
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(urls[r["page_id"]], url_filter.RULES), urls[r["page_id"]]

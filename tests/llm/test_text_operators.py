@@ -49,6 +49,7 @@ def test_lines_against_brute_force(spark, rng):
         want.add((i, "\n".join(x for x in parts if x not in gone) if cut else t, len(gone) if cut else 0))
     assert got == want
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+    assert line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("x"))).columns.count("n_lines") == 1
 
 
 def test_lines_near_the_limit_are_counted_exactly(spark):

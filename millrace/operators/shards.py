@@ -68,7 +68,7 @@ def shard_index(key: Column, cuts: Sequence[int]) -> Column:
     return F.when(key.isNull(), 0).otherwise(out)
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "row_no") -> DataFrame:
     """df with row numbers from 1 by `order`, without one task for all rows: numbers within ranges plus the ranges' offsets."""
     own = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
     offsets, before = [], 0

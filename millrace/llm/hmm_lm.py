@@ -1,7 +1,7 @@
 """A hidden Markov language model: Baum-Welch over all training documents, exact scaled forward scores for all documents.
 
-Words are those of the text with A-Z lowered, and an end token closes each text. The ``head`` most frequent words (a bounded
-number) are symbols of their own; all other words share a tail class, which a state emits as one symbol and which is then
+Words are those of the text with A-Z lowered, and an end token closes each text. The most frequent words (``head`` at most)
+are symbols of their own; all other words share a tail class, which a state emits as one symbol and which is then
 split by the words' smoothed training counts. These counts stay a table: words of the tail meet it in a join, and the sum of
 their logarithms is added to the forward recursion's result, so nothing is cut off. Two such symbols are the tail of plain
 words and that of words with other bytes than a-z, so that a state may tell them apart.
@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, read, saved
+from .common import chosen, chunks, read, saved
 
 STATES, HEAD, TURNS, SAMPLE_TURNS, SAMPLE_DOCS = 8, 65_536, 2, 8, 2_000
 MIX, BLOCK, FLUSH = 0.02, 2_048, 400_000
-LANES = 1_000_000  # tokens worked on at a time
+LANES = 250_000  # tokens worked on at a time
 
 
 def tail_class(word: bytes) -> int:
@@ -198,6 +198,17 @@ def word_counts(keyed: DataFrame) -> DataFrame:
     return keyed.filter("not held_out").select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_words(counts: DataFrame, head: int) -> list:
+    """The words whose counts are above the lowest limit that leaves at most `head` of them; limits are 64 to a power of two."""
+    step = F.floor(F.log2("c") * 64).cast("int")
+    room, least = head, None
+    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # 64 rows for each power of two
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["s"]
+    return [] if least is None else sorted(counts.filter(step >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, base double, symbols array<int>, tail array<struct<w: binary, k: int, n: int>>"
 
 
@@ -210,7 +221,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states:
     words, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = keyed.filter("not held_out").count()
     n, v = words + ends, v + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()  # head words at most
+    top = head_words(counts, head)
     place, count = {bytes(r["word"]): i for i, r in enumerate(top)}, np.array([r["c"] for r in top] + [ends], float)
     end, tail0 = len(top), len(top) + 1
     whole = {r["k"]: (r["c"], r["v"]) for r in counts.groupBy(kind.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
@@ -247,8 +258,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states:
 
     coded = saved(keyed.mapInArrow(encode, ENCODED), "coded")
     train = coded.filter("not held_out").select("symbols")
-    start = coded.filter("not held_out").select("rid", "symbols").orderBy(F.xxhash64("rid"), "rid").limit(sample_docs)
-    sample = saved(start.select("symbols"), "sample").repartition(8)
+    sample = saved(chosen(coded.filter("not held_out").select("rid", "symbols"), sample_docs, "rid", total=ends).select("symbols"), "sample").repartition(8)
     model = first_guess([np.array(r["symbols"], np.int32) for r in sample.limit(400).collect()], share, states)
     for corpus, times in ((sample, sample_turns), (train, turns)):
         for _ in range(times):

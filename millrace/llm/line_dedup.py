@@ -8,7 +8,7 @@ Defined results: a null text has no lines and stays null; a null site is a site
 cutting spaces at both ends, and those under ``min_chars`` are never boilerplate; every copy of a boilerplate line goes,
 but a document that would lose more than ``max_share`` of its characters keeps all its lines (it is a copy of a whole
 document, which near-dedup handles). Repeated rows are treated alike; an empty table gives an empty table; further
-columns pass through unread.
+columns pass through unread, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import read, text_key
 
-MIN_SITES, MIN_CHARS, MAX_SHARE, LOG_K = 5, 16, 0.5, 10
+MIN_SITES, MIN_CHARS, MAX_SHARE, LOG_K, SALT = 5, 16, 0.5, 10, 32
 
 
 def _lines(text: Column) -> Column:
@@ -31,12 +31,13 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_s
     """(k1, k2) of each line that stands on min_sites sites or more."""
     where = F.when(F.col(site).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(site).cast("string"))).alias("site")
     lines = docs.select(where, F.explode(_lines(F.col(text))).alias("line")).filter(F.char_length("line") >= min_chars).select("site", *text_key(F.col("line")))
+    lines = lines.groupBy("k1", "k2", "site").agg(F.lit(1).alias("one"))  # combined before the shuffle: a line comes once a site and task
     spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", F.lit(log_k)).alias("sketch"), F.min("site").alias("low"), F.max("site").alias("high"))
     slack = 4 * 1.04 / math.sqrt(2**log_k)
     rated = spread.filter((F.col("low") != F.col("high")) | F.lit(min_sites <= 1)).select("k1", "k2", F.hll_sketch_estimate("sketch").alias("sites"))
     far = rated.filter(F.col("sites") > min_sites * (1 + slack)).select("k1", "k2")
     near = rated.filter(F.col("sites").between(min_sites * (1 - slack) - 1, min_sites * (1 + slack))).select("k1", "k2")
-    exact = lines.join(near, ["k1", "k2"], "left_semi").groupBy("k1", "k2", "site").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("sites"))
+    exact = lines.join(near, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("sites"))
     return far.unionByName(exact.filter(F.col("sites") >= min_sites).select("k1", "k2"))
 
 
@@ -45,7 +46,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", site: str = "source", t
     bad = boilerplate(docs, site, text, min_sites, min_chars)
     own = [F.col(doc_id).alias("__id"), *(c.alias(f"__{n}") for c, n in zip(text_key(F.col(text)), ("a", "b"), strict=True))]
     lines = docs.select(*own, F.posexplode(_lines(F.col(text))).alias("pos", "line")).filter(F.char_length("line") >= min_chars)
-    hits = lines.select("__id", "__a", "__b", "pos", *text_key(F.col("line"))).join(bad, ["k1", "k2"], "left_semi")
+    salted = bad.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # a line that most documents hold is dealt to SALT tasks
+    hits = lines.select("__id", "__a", "__b", "pos", *text_key(F.col("line"))).withColumn("s", F.pmod(F.xxhash64("__id", "pos"), F.lit(SALT)).cast("int")).join(salted, ["k1", "k2", "s"], "left_semi")
     hits = hits.groupBy("__id", "__a", "__b").agg(F.collect_set("pos").alias("__hit"))
     keyed = docs.withColumns({"__a": F.xxhash64(F.lit(1), F.col(text)), "__b": F.xxhash64(F.lit(2), F.col(text))}).alias("d")
     h = hits.withColumnsRenamed({"__a": "__ha", "__b": "__hb"})
@@ -54,7 +56,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", site: str = "source", t
     gone = F.aggregate(F.col("__hit"), F.lit(0), lambda n, i: n + F.char_length(F.element_at(parts, i + 1)))
     cut = F.col("__hit").isNotNull() & (gone <= max_share * F.char_length(F.col(f"d.{text}")))
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__hit"), i)), "\n")
-    out = [F.when(cut, left).otherwise(F.col(f"d.{text}")).alias(text) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
+    out = [F.when(cut, left).otherwise(F.col(f"d.{text}")).alias(text) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*out, F.coalesce(F.size(parts).cast("long"), F.lit(0)).alias("n_lines"), F.when(cut, F.size("__hit")).otherwise(0).cast("long").alias("n_removed"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shards import numbered
 from .common import WORD, read, saved, text_key
 
 WEIGHTS, MAX_REPEAT, BLOCK = (1.0, 2.0, 3.0), 3.0, 5_000
@@ -36,22 +37,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranked(df: DataFrame, by: str) -> DataFrame:
-    """df with `rank` (from 0, nulls last) without a single task for all rows: ranks within ranges, and the ranges' offsets."""
-    spread = saved(df.repartitionByRange(F.col(by).asc_nulls_last()).sortWithinPartitions(F.col(by).asc_nulls_last()).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
-    before = 0
-    offsets = []
-    for r in spread.groupBy("__p").count().orderBy("__p").collect():  # a row for each range
-        offsets.append((r["__p"], before))
-        before += r["count"]
-    off = spread.sparkSession.createDataFrame(offsets, "__p int, __before long")
-    return spread.join(F.broadcast(off), "__p").withColumn("rank", F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
-
-
 def with_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """sources (source, source_size, docs) with their target: weights by rank, all sizes shared out, max_repeat times a size at most."""
     cap = F.col("source_size") * F.lit(float(max_repeat))
-    weighed = saved(ranked(sources, "source").withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))), "sources")
+    weighed = saved(numbered(sources, [F.col("source").asc_nulls_last()], "rank").withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))), "sources")
     total, level = weighed.agg(F.sum("source_size")).first()[0] or 0, 0.0
     if total:
         while True:  # one step for each set of sources that reach their cap; the level only rises

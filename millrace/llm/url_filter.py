@@ -11,7 +11,8 @@ advice to split them by host hash.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; a url that fits none is
 allowed, since the cascade holds listed keys only. The longest rule wins (host, then path). Repeated rows are judged
-alike; an empty table gives an empty table.
+alike; an empty table gives an empty table; further columns pass through, but for host, path, rule and verdict, which are
+replaced.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, saved
+from .common import chosen, read, saved
 
 SCALE, K, PIVOTS, BLOCK, QUERIES, QUERY_PART = 1024, 10, 64, 8192, 512, 16_384
 
@@ -65,12 +65,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
     """(query_id, rank, vec_id, score). vectors and queries: (vec_id long, v array<long>) of one length."""
     spark = vectors.sparkSession
     data = saved(vectors, "vectors")
-    chosen = data.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(4 * pivots).collect()
+    sample = chosen(data.select("vec_id", "v"), 4 * pivots, "vec_id").collect()
     out_schema = "query_id long, rank int, vec_id long, score long"
-    if not chosen:
+    if not sample:
         return spark.createDataFrame([], out_schema)
     centre, taken = [], set()
-    for r in chosen:
+    for r in sample:
         if tuple(r["v"]) not in taken and len(centre) < pivots:
             taken.add(tuple(r["v"]))
             centre.append(r["v"])

@@ -6,7 +6,7 @@ takes for listed, level 3 the listed keys that level 2 takes for false positives
 cascade was built over the whole universe, its answer is exact for every probe, and no row is joined with a list.
 One cascade holds all rules, a second one those that allow.
 
-The filters travel as arrays of 64-bit words in the plan. ``MAX_WORDS`` bounds their size; longer lists are refused with
+The filters are arrays of 64-bit words, read as scalar subqueries. ``MAX_WORDS`` bounds their size; longer lists are refused with
 advice to split them by host hash.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; a url that fits none is
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import read, saved
 
@@ -66,8 +65,8 @@ def cascade(listed: DataFrame, others: DataFrame) -> list[tuple[Column, int]]:
         if n > MAX_WORDS:
             raise ValueError(f"{count} listed keys need {n} words; over {MAX_WORDS}, split the list by a hash of the host")
         bits = enc.groupBy(_word(F.col("key"), n, level).alias("w")).agg(F.bit_or(_mask(F.col("key"), level)).alias("b"))
-        got = spark.range(n).select(F.col("id").cast("int").alias("w")).join(bits, "w", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("words")).first()
-        words = F.lit(got["words"]).cast(T.ArrayType(T.LongType()))
+        got = spark.range(n).select(F.col("id").cast("int").alias("w")).join(bits, "w", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("words"))
+        words = saved(got, "level").scalar()  # a scalar subquery: the array stays in the JVM
         levels.append((words, n))
         enc, alt = saved(alt.filter(_test(F.col("key"), level, words, n)), "cascade"), enc
     if len(levels) == MAX_LEVELS:
@@ -83,11 +82,10 @@ def contains(key: Column, levels: list[tuple[Column, int]]) -> Column:
     return out
 
 
-def _probes(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """(host suffix, path prefix) of each shape, longest first."""
+def _cuts(host: Column, path: Column, shapes: list[tuple[int, int]]) -> list[Column]:
+    """(host suffix, path prefix) for each shape, longest first; null where the url is too short."""
     labels = F.split(host, "\\.", -1)
-    cut = [F.when((F.size(labels) >= n) & (F.char_length(path) >= p) & (host != ""), F.struct(F.array_join(F.slice(labels, -n, n), ".").alias("host"), F.substring(path, 1, p).alias("path"))) for n, p in shapes]
-    return F.filter(F.array(*cut), lambda x: x.isNotNull())
+    return [F.when((F.size(labels) >= n) & (F.char_length(path) >= p) & (host != ""), F.struct(F.array_join(F.slice(labels, -n, n), ".").alias("host"), F.substring(path, 1, p).alias("path"))) for n, p in shapes]
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
@@ -97,14 +95,15 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     parts = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if not shapes:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    probed = parts.select(F.explode(_probes(F.col("host"), F.col("path"), shapes)).alias("x")).select(key_of(F.col("x.host"), F.col("x.path")).alias("key"))
+    probed = parts.select(F.explode(F.array_compact(F.array(*_cuts(F.col("host"), F.col("path"), shapes)))).alias("x")).select(key_of(F.col("x.host"), F.col("x.path")).alias("key"))
     universe = probed.groupBy("key").agg(F.lit(1).alias("one"))
     keyed = rules.groupBy(key_of(F.col("host"), F.col("path")).alias("key")).agg(F.max(F.col("verdict") == "allow").alias("allow"))
     split = saved(universe.join(keyed, "key", "left").select("key", F.col("allow")), "universe")
     listed, others = split.filter(F.col("allow").isNotNull()).select("key"), split.filter(F.col("allow").isNull()).select("key")
     allowed, blocked = split.filter("allow").select("key"), split.filter("not allow").select("key")
     member, allow = cascade(listed, others), cascade(allowed, blocked.unionByName(others))
-    hit = F.get(F.filter(_probes(F.col("host"), F.col("path"), shapes), lambda x: contains(key_of(x["host"], x["path"]), member)), F.lit(0))
+    cuts = _cuts(F.col("host"), F.col("path"), shapes)
+    hit = F.coalesce(*(F.when(x.isNotNull() & contains(key_of(x["host"], x["path"]), member), x) for x in cuts))
     out = parts.withColumn("__hit", hit)
     ok = contains(key_of(F.col("__hit.host"), F.col("__hit.path")), allow)
     return out.withColumns({"rule": F.concat(F.col("__hit.host"), F.col("__hit.path")), "verdict": F.when(F.col("__hit").isNull() | ok, "allow").otherwise("block")}).drop("__hit")

@@ -30,9 +30,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, shared_dir
+from .common import chosen, read, saved, shared_dir
 
-ROLL_BYTES, MIN_REVISIT, SHARD_ROWS, MAX_SAMPLE = 64 << 20, 100, 5_000, 200_000
+ROLL_BYTES, MIN_REVISIT, SHARD_ROWS, MAX_SAMPLE, NULL_SHARDS = 64 << 20, 100, 5_000, 200_000, 16
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = pa.schema([("name", pa.string()), ("temp", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
@@ -99,7 +99,7 @@ def cuts_of(pages: DataFrame, page_id: str, shard_rows: int) -> np.ndarray:
     shards = max(1, -(-n // shard_rows))
     if shards == 1:
         return np.zeros(0, np.int64)
-    sample = pages.select(page_id).filter(F.col(page_id).isNotNull()).orderBy(F.xxhash64(page_id), page_id).limit(min(20 * shards, MAX_SAMPLE))
+    sample = chosen(pages.select(page_id).filter(F.col(page_id).isNotNull()), min(20 * shards, MAX_SAMPLE), page_id, total=n)
     ids = np.sort(np.array([r[0] for r in sample.collect()], np.int64))
     return np.unique(ids[np.linspace(0, len(ids), shards, endpoint=False).astype(int)[1:]]) if len(ids) else ids
 
@@ -113,13 +113,13 @@ def write_archives(pages: DataFrame, out: str, page_id: str = "page_id", url: st
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), len(cuts) + 1, np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="right")).astype("int32"))
+        return pd.Series(np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="right").astype("int32"))
 
     small = saved(rows.filter(F.octet_length("payload") >= min_revisit).select("page_id", "digest"), "digests")
     firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     refs = small.join(firsts, "digest").groupBy("page_id", "digest").agg(F.first("first").alias("first"))  # ids only; AQE splits a hot digest
     both = rows.withColumns({"first": F.lit(None).cast("long"), "kind": F.lit(1)}).unionByName(refs.select("page_id", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first", F.lit(0).alias("kind")))
-    dealt = both.withColumn("shard", shard_of("page_id")).repartition(len(cuts) + 2, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
+    dealt = both.withColumn("shard", F.when(F.col("page_id").isNull(), len(cuts) + 1 + F.pmod(F.xxhash64("digest"), F.lit(NULL_SHARDS)).cast("int")).otherwise(shard_of("page_id"))).repartitionById(len(cuts) + 1 + NULL_SHARDS, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, known, seen = None, (None, None), None

@@ -36,7 +36,7 @@ from .common import chosen, chunks, read, saved
 
 STATES, HEAD, TURNS, SAMPLE_TURNS, SAMPLE_DOCS = 8, 65_536, 2, 8, 2_000
 MIX, BLOCK, FLUSH = 0.02, 2_048, 400_000
-LANES = 250_000  # tokens worked on at a time
+LANES = 500_000  # tokens worked on at a time
 
 
 def tail_class(word: bytes) -> int:

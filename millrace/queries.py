@@ -445,8 +445,8 @@ def dialect_nulls(spark, sf):
 def dialect_strings(spark, sf):
     n = F.col("n_name")
     return table(spark, sf, "nation").select(
-        "n_nationkey", dialect.instr(n, F.lit("A")).alias("at"), dialect.instr(n, F.lit("A"), 3).alias("at3"), dialect.length(F.concat(n, F.lit("  "))).alias("len"), dialect.concat(n, F.lit(None), F.col("n_nationkey")).alias("joined"),
-        dialect.stuff(n, 2, 2, F.lit("**")).alias("stuffed"), dialect.choose(F.col("n_nationkey") % 4 + 1, F.lit("a"), F.lit("b"), F.lit("c")).alias("chosen"), dialect.lob_substr(n, 3, 2).alias("part"), F.octet_length(n).alias("bytes"), F.pow("n_nationkey", F.lit(2)).alias("square"),
+        "n_nationkey", dialect.instr(n, F.lit("A")).cast("long").alias("at"), dialect.instr(n, F.lit("A"), 3).cast("long").alias("at3"), dialect.length(F.concat(n, F.lit("  "))).cast("long").alias("len"), dialect.concat(n, F.lit(None), F.col("n_nationkey")).alias("joined"),
+        dialect.stuff(n, 2, 2, F.lit("**")).alias("stuffed"), dialect.choose(F.col("n_nationkey") % 4 + 1, F.lit("a"), F.lit("b"), F.lit("c")).alias("chosen"), dialect.lob_substr(n, 3, 2).alias("part"), F.octet_length(n).cast("long").alias("bytes"), F.pow("n_nationkey", F.lit(2)).alias("square"),
     )
 
 

@@ -21,7 +21,6 @@ equal share; an empty table gives an empty table; further columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass

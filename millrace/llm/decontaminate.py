@@ -145,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     bench = saved(template_windows(items, None, None, min_literals, width), "items")
     count = bench.count()
     widths = sorted(r[0] for r in bench.select(F.least("words", F.lit(width)).alias("w")).distinct().collect()) or [width]
-    wanted = np.unique(np.array([r[0] for r in bench.select("hash").distinct().collect()], np.int64).view(np.uint64)) if count <= max_windows else None
+    wanted = np.unique(bench.select("hash").distinct().toArrow()["hash"].to_numpy().astype(np.int64).view(np.uint64)) if count <= max_windows else None
     of = bench.groupBy("id", "k1", "k2").agg(F.countDistinct("pos").alias("of")).withColumnsRenamed({"id": "item_id", "k1": "i1", "k2": "i2"})
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), *text_key(F.col(text)), F.col(text).alias("text"))
     hits = saved(template_windows(keyed, widths, wanted, min_literals, width), "hits").withColumnsRenamed({"id": "doc_id", "slots": "d_slots"}).drop("words")

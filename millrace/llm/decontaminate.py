@@ -19,6 +19,7 @@ further columns pass through.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ class Types:
     """What is known of each distinct word, filled as words appear."""
 
     def __init__(self):
-        self.of, self.kind, self.code, self.ends, self.word = {}, [], [], [], []
+        self.of, self.kind, self.code, self.ends, self.word = {}, array("b"), array("Q"), array("b"), []
 
     def __getitem__(self, raw: bytes) -> int:
         found = self.of.get(raw)

@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
 
 Sizes for the last stage are those of the texts that arrive there. Its `copies` says how often the mix takes a document;
-documents that it does not take are gone.
+documents that it does not take are gone. Further columns pass through; one named copies is replaced.
 """
 
 from __future__ import annotations
@@ -12,27 +12,27 @@ from pyspark.sql import functions as F
 from millrace.llm import cube_mix, decontaminate, kneser_ney, line_dedup, order_minhash
 from millrace.llm.common import read, saved
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kneser_ney.keep_good(docs, read(spark, sf_dir, "labels")).select(*COLUMNS)
+    return kneser_ney.keep_good(docs, read(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    out = line_dedup.dedup_lines(docs)
+    out = out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return order_minhash.keep_one(docs).select(*COLUMNS)
+    return order_minhash.keep_one(docs).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cube_mix.mixed(docs).select(*COLUMNS, "copies")
+    return cube_mix.mixed(docs).select(*(c for c in docs.columns if c != "copies"), "copies")
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontaminate", benchmark), ("mix", mix)]

@@ -34,7 +34,7 @@ def by_id(rows):
 
 def test_columns_and_whole_run(spark, stages):
     for rows in stages[:-1]:
-        assert list(rows[0].asDict()) == corpus_pipeline.COLUMNS
+        assert list(rows[0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, stages[-1]))
 
 
@@ -120,3 +120,19 @@ def test_mix(stages):
         taken[r["source"]] += r["copies"] * len(r["text"].encode().split())
     want = targets(dict(size))
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in size)
+
+
+def test_hard_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, further columns; then empty tables."""
+    from pyspark.sql import functions as F
+
+    some = read(spark, SF, "documents").limit(40)
+    null = some.limit(3).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in some.schema))
+    docs = some.unionByName(some.limit(5)).unionByName(null).unionByName(some.limit(2).withColumn("text", F.lit(""))).withColumns({"copies": F.lit("x"), "size": F.lit(1), "k1": F.lit(2), "label": F.lit("y")})
+    for name in ("documents", "labels", "benchmark"):
+        (docs if name == "documents" else read(spark, SF, name)).write.parquet(f"{tmp_path}/a/{name}.parquet")
+        (docs if name == "documents" else read(spark, SF, name)).limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert set(out.columns) == set(docs.columns) and out.count() > 0
+    assert out.groupBy("doc_id", "text").count().filter("count > 1").count() == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0

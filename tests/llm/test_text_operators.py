@@ -229,3 +229,14 @@ def test_probabilities_sum_to_one(spark):
         rest = back.get(ctx, 1) * back.get(ctx[1:], 1) * (back[""] if len(ctx) > 1 else 1) * unseen
         assert abs(total + rest - 1) < 1e-6
     assert docs.select(F.lit(1)).count() == 1
+
+
+def test_classifier_rejects_repeats_and_takes_limits_from_both_kinds_of_labels(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 80), "xx", "a") for i in range(300)] + [(1000 + i, f"{rng.choice(['kalo', 'mite', 'ranu'])} " * 300, "xx", "a") for i in range(80)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)] + [(1000 + i, 0, 0) for i in range(70)], "doc_id long, quality int, toxic int")
+    ids = {r["doc_id"] for r in kneser_ney.keep_good(docs, labels).collect()}
+    assert not ids & set(range(1000, 1080)) and len(ids & set(range(300))) >= 280
+    a, b = ({r["id"]: round(r["fresh"], 9) for r in kneser_ney.figures(docs, labels, max_grams=n)[0].collect()} for n in (10**6, 0))
+    assert a == b

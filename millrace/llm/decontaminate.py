@@ -3,9 +3,9 @@
 Words lose the punctuation at their ends and their case; those with a digit become the placeholder <n>, units after a
 number <u>, capitalised words (not all capitals) within a sentence <p>. Windows of ``width`` such words (at least ``min_literals`` of them no
 placeholders) are hash-joined with those of the benchmark, on hash and template. The windows of a document and an item at
-one offset form an alignment; it counts if its slots are consistent: each value of the item's maps to one value of the
-document's and the other way round. So changed numbers, names and units are caught, and chance hits of a template that is
-mostly slots are not. A document leaks an item if the counted windows cover ``min_cover`` of the item's.
+one offset form an alignment; its windows count if their slots are consistent: each value of the item's in them has one
+value of the document's in the whole alignment, though two of the item's may share one. Windows that hold a contradicted value
+do not count, the others of the alignment do. So changed numbers, names and units are caught. A document leaks an item if the counted windows cover ``min_cover`` of the item's.
 
 The benchmark's window hashes go to the tasks as a filter while there are at most ``MAX_WINDOWS``; beyond that every
 window of the documents takes part in the join.
@@ -153,8 +153,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     its = bench.select(F.col("id").alias("item_id"), F.col("k1").alias("i1"), F.col("k2").alias("i2"), "hash", "template", F.col("pos").alias("at"), "slots")
     met = hits.join(its, ["hash", "template"]).withColumn("offset", F.col("pos") - F.col("at"))
     group = ["doc_id", "k1", "k2", "item_id", "i1", "i2"]
-    lines = met.groupBy(*group, "offset").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "d_slots")))).alias("pairs"))
-    sound = lines.filter((F.size(F.array_distinct(F.col("pairs.slots"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.d_slots"))) == F.size("pairs")))
+    met = met.withColumn("pairs", F.arrays_zip("slots", "d_slots"))
+    lines = met.groupBy(*group, "offset").agg(F.collect_set(F.struct("at", "slots")).alias("wins"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    values = F.col("pairs.slots")
+    torn = F.when(F.size(F.array_distinct(values)) < F.size("pairs"), F.filter(F.array_distinct(values), lambda v: F.size(F.filter("pairs", lambda p: p["slots"] == v)) > 1)).otherwise(F.array().cast("array<string>"))
+    sound = lines.withColumn("torn", torn).select(*group, F.transform(F.filter("wins", lambda w: ~F.arrays_overlap(w["slots"], F.col("torn"))), lambda w: w["at"]).alias("at"))
     matched = sound.groupBy(*group).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"))
     return matched.join(of, [matched[c].eqNullSafe(of[c]) for c in ("item_id", "i1", "i2")]).filter(F.col("matched") >= min_cover * F.col("of")).select("doc_id", "k1", "k2", matched["item_id"], F.col("matched").cast("long").alias("matched"), F.col("of").cast("long").alias("of"))
 

@@ -240,3 +240,15 @@ def test_classifier_rejects_repeats_and_takes_limits_from_both_kinds_of_labels(s
     assert not ids & set(range(1000, 1080)) and len(ids & set(range(300))) >= 280
     a, b = ({r["id"]: round(r["fresh"], 9) for r in kneser_ney.figures(docs, labels, max_grams=n)[0].collect()} for n in (10**6, 0))
     assert a == b
+
+
+def test_one_torn_slot_drops_its_windows_only_and_values_may_meet(spark, rng):
+    item = f"a fast train takes 60 km on the old coast line {' '.join(f'plain{a}{b}' for a in 'abcdef' for b in 'ghijk')} and then it goes on for 60 km until the last stop of all"
+    torn = item.replace("takes 60", "takes 75").replace("for 60", "for 90")
+    two = "one box holds 3 red balls and the other box has 5 blue ones so how many of them are in both"
+    met = two.replace("3", "4").replace("5", "4")
+    bench = spark.createDataFrame([(1, item), (2, two)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["of"]) for r in decontaminate.leaks(frame(spark, [(1, item, "en", "a"), (2, torn, "en", "a"), (3, met, "en", "a")]), bench).collect()}
+    assert got[1, 1][0] == got[1, 1][1] and got[3, 2][0] == got[3, 2][1]
+    windows = [item.split()[i : i + 8] for i in range(len(item.split()) - 7)]
+    assert got[2, 1][0] == sum("60" not in w for w in windows) < got[1, 1][0]

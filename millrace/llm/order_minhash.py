@@ -5,12 +5,15 @@ A sketch takes the two labelled shingles with the smallest hashes and keeps them
 Texts that share a band are candidates, and a banded alignment verifies them: common labelled shingles whose offsets differ
 by no more than an accepted pair allows are chained in order, and chain / (a + b - chain) must reach ``threshold``.
 
-Equal word sequences are one node, so copies never form pairs. A bucket's nodes are compared with its head, the node whose
-buckets are largest, which of an original and its edited copies is the original. Then the nodes of buckets of at most
-``SMALL`` are compared wherever they are not yet in one component. In larger buckets the nodes outside the head's component
-meet ``KIN`` others of that component, chosen anew by each bucket, and turns follow with ``LEADERS`` nodes outside against
-all nodes outside theirs, as long as one tested pair in a hundred (``YIELD``) is a link. So no large bucket emits all its pairs, and it is a join that can be split, not a task. Classes are connected
-components, so a link that no turn tests is lost only if nothing else connects its ends.
+Equal word sequences are one node, so copies never form pairs. A bucket's nodes are first compared with its head, the node
+whose buckets are largest, which of an original and its edited copies is the original; links make components. Then every
+pair of a bucket whose ends still lie in two components is tested, bucket by bucket, so no link between candidates is lost:
+in buckets of at most ``SMALL`` nodes as rows of pairs, in larger ones block against block. There the nodes outside the
+component that is the bucket's largest meet all its nodes of a size that a link allows (classes of sizes in steps of the
+threshold), first ``KIN`` of that component as pairs, then blocks of at most ``PART`` nodes or ``PART_WORDS`` words: a task
+gets two blocks, counts common shingles through an inverted index of one of them, aligns only pairs that share enough, and
+returns a spanning set of links. So no large bucket emits its pairs, no task grows with the bucket, and the largest
+component, such as thousands of edited copies of one text, is never compared with itself.
 
 Defined results: a row for each row of the input. Null texts and those without words are classes of their own; a text with
 fewer than K words is one shingle; class_id is the smallest doc_id of the class (null if all are null); repeated rows are
@@ -19,11 +22,13 @@ members like others; an empty table gives an empty table; further columns are no
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +38,10 @@ from pyspark.sql.window import Window
 from .common import chunks, components, read, saved, text_key
 
 K, BANDS, SKETCHES, THRESHOLD = 5, 16, 2, 0.8
-MAX_WORDS, BLOCK, SMALL, LEADERS, KIN, YIELD = 400_000, 16_384, 32, 4, 4, 0.01
+MAX_WORDS, BLOCK, SMALL, KIN, PART, PART_WORDS, SALT_ROWS = 400_000, 16_384, 32, 4, 256, 1_000_000, 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(7).integers(1, 2**63, BANDS * SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SKETCH = "rid long, doc_id long, k1 long, k2 long, n1 long, n2 long, bands array<long>, words binary"
+SKETCH = "rid long, doc_id {}, k1 long, k2 long, n1 long, n2 long, bands array<long>, words binary"
 
 
 class Hashes(dict):
@@ -118,8 +123,8 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
                     yield pa.RecordBatch.from_arrays([cols[0], part.column("doc_id"), part.column("k1"), part.column("k2"), *cols[1:]], names=["rid", "doc_id", "k1", "k2", "n1", "n2", "bands", "words"])
 
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text"))
-    return saved(keyed.mapInArrow(run, SKETCH), "sketches")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text"))
+    return saved(keyed.mapInArrow(run, SKETCH.format(docs.schema[doc_id].dataType.simpleString())), "sketches")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -160,14 +165,74 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def met_in_blocks(left: list[tuple], right: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Links (a, b) between two blocks of (node, label, outside, words) that join all labels which links between them join."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    mine = [shingles(np.frombuffer(w, np.uint32)) for *_, w in left]
+    sizes = np.array([len(x) for x in mine])
+    tokens, owner = np.concatenate(mine), np.repeat(np.arange(len(mine)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    owner = owner[order]
+    known, first, times = np.unique(tokens[order], return_index=True, return_counts=True)
+    out = []
+    for node, label, outside, w in right:
+        s = shingles(np.frombuffer(w, np.uint32))
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        at = at[known[at] == s]
+        n = times[at]
+        place = np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else at
+        common = np.bincount(owner[place], minlength=len(mine))
+        for i in np.flatnonzero(common >= threshold / (1 + threshold) * (sizes + len(s)) - 1e-9).tolist():
+            other, mark, *_ = left[i]
+            if (outside and other >= node) or root(mark) == root(label):
+                continue  # two nodes outside meet once
+            if similarity(mine[i], s, threshold) >= threshold:
+                parent[root(mark)] = root(label)
+                out.append((min(node, other), max(node, other)))
+    return out
+
+
+def blocked(nodes: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of large buckets between nodes outside and all others. nodes: (band, h, node, label, outside)."""
+    cell = ["band", "h", "c"]
+    sized = nodes.join(words.select(F.col("rid").alias("node"), F.octet_length("words").alias("bytes")), "node").withColumn("c", F.floor(F.log(F.greatest(F.col("bytes") / 4 - (K - 1), F.lit(1.0))) / F.lit(-1.0001 * math.log(threshold))))
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("bytes") / F.lit(4 * PART_WORDS))).cast("int")
+    left = sized.filter("outside").select(*cell, "node", "label", "outside")
+    right = sized.select("band", "h", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "node", "label", "outside", "bytes")
+    lefts = sized.filter("outside").groupBy(*cell).agg(parts.alias("n"))
+    rights = right.join(lefts.select(*cell), cell, "left_semi").groupBy(*cell).agg(parts.alias("m"))
+    cells = saved(lefts.join(rights, cell), "cells")
+    row = F.xxhash64("node", F.lit("block"))
+    dealt_left = left.join(cells, cell).select(*cell, "node", "label", "outside", F.pmod(row, "n").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    dealt_right = right.drop("bytes").join(cells, cell).select(*cell, "node", "label", "outside", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.pmod(row, "m").cast("int").alias("j"))
+    both = dealt_left.withColumn("mine", F.lit(True)).unionByName(dealt_right.withColumn("mine", F.lit(False)))
+
+    def solve(rows: pa.Table) -> pa.Table:
+        one, other = (list(zip(*(rows.filter(side)[c].to_pylist() for c in ("node", "label", "outside", "words")), strict=True)) for side in (rows["mine"], pc.invert(rows["mine"])))
+        with np.errstate(over="ignore"):
+            links = met_in_blocks(one, other, threshold) if one and other else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return both.join(words.withColumnRenamed("rid", "node"), "node").groupBy(*cell, "i", "j").applyInArrow(solve, "a long, b long")
+
+
 def linked(buckets: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:
     """Verified links (a, b). buckets: (band, h, node, n, w), n nodes to a bucket, w the sizes of the node's buckets together."""
     key = ["band", "h"]
     if buckets.isEmpty():
         return None
     pair = [F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")]
-    heads = buckets.groupBy(*key).agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("head"))
-    tested = saved(buckets.join(heads, key).filter("node <> head").select(*pair).distinct(), "pairs")
+    # a large bucket is dealt to n / SALT_ROWS tasks
+    spread = F.floor((F.col("n") - 1) / SALT_ROWS).cast("int")
+    heads = buckets.groupBy(*key).agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("head"), F.first("n").alias("n")).withColumn("s", F.explode(F.sequence(F.lit(0), spread))).drop("n")
+    headed = saved(buckets.withColumn("s", F.pmod(F.xxhash64("node"), spread + 1).cast("int")).join(heads, [*key, "s"]).drop("s"), "headed")
+    tested = saved(headed.filter("node <> head").select(*pair).distinct(), "pairs")
     links = saved(verified(tested, words, threshold), "links")
     labels = components(links)
 
@@ -175,9 +240,9 @@ def linked(buckets: DataFrame, words: DataFrame, threshold: float) -> DataFrame
         """Nodes and heads with the labels of their components: one table that all comparisons read."""
         own, of = labels.select("node", F.col("label").alias("l")), labels.select(F.col("node").alias("head"), F.col("label").alias("m"))
         met = df.join(own, "node", "left").join(of, "head", "left")
-        return saved(met.select(*key, "node", "head", "n", "w", F.coalesce("l", "node").alias("label"), F.coalesce("m", "head").alias("head_label")), "tagged")
+        return saved(met.select(*key, "node", "head", "n", F.coalesce("l", "node").alias("label"), F.coalesce("m", "head").alias("head_label")), "tagged")
 
-    nodes = tagged(buckets.join(heads, key))
+    nodes = tagged(headed)
     few, many = nodes.filter(F.col("n").between(3, SMALL)), nodes.filter(F.col("n") > SMALL)
     other = few.select(*key, F.col("node").alias("b"), F.col("label").alias("l"))
     pairs = few.join(other, [few["band"] == other["band"], few["h"] == other["h"], F.col("node") < F.col("b"), F.col("label") != F.col("l")]).select(F.col("node").alias("a"), "b")
@@ -185,20 +250,17 @@ def linked(buckets: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     order = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("node", "band"), "node"))
     kin = many.filter("label = head_label and node <> head").withColumn("i", order).filter(F.col("i") <= KIN).select(*key, F.col("node").alias("head"))
     pairs = pairs.unionByName(rest.drop("head").join(kin, key).select(*pair))
-    while True:
-        turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("w"), "node"))
-        lead = saved(rest.withColumn("i", turn).filter(F.col("i") <= LEADERS).select(*key, F.col("node").alias("head"), F.col("label").alias("l")), "leaders")
-        led = many.drop("head").join(lead, key).filter(F.col("label") != F.col("l")).select(*pair)
-        new = saved((led if pairs is None else pairs.unionByName(led)).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = saved(verified(new, words, threshold), "links")
-        tried, gained = new.count(), found.count()
-        tested, links, pairs = tested.unionByName(new), links.unionByName(found), None
-        if gained < YIELD * tried or lead.isEmpty():
-            return links
-        labels = components(links)
-        many = tagged(many.drop("label", "head_label"))
-        gone = lead.select(*key, F.col("head").alias("node")).join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("label")).distinct()
-        rest = many.join(rest.select(*key, "node"), [*key, "node"], "left_semi").join(gone, [*key, "label"], "left_anti")
+    new = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(saved(verified(new, words, threshold), "links"))
+    labels = components(links)
+    many = tagged(many.drop("label", "head_label")).select(*key, "node", "n", "label")
+    # outside: not of the component that holds most of the bucket
+    sizes = many.groupBy(*key, "label").agg(F.count("*").alias("k"))
+    most = sizes.groupBy(*key).agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("apart"), F.sum("k").alias("n")).filter("apart > 1")
+    most = most.withColumn("s", F.explode(F.sequence(F.lit(0), spread))).drop("n", "apart")
+    many = many.withColumn("s", F.pmod(F.xxhash64("node"), spread + 1).cast("int"))
+    still = saved(many.join(most, [*key, "s"]).select(*key, "node", "label", (F.col("label") != F.col("most")).alias("outside")), "open")
+    return links if still.isEmpty() else links.unionByName(saved(blocked(still, words, threshold), "links"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -228,7 +290,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     kept = kept.select(F.col("x.doc_id").alias("__id"), F.col("x.k1").alias("__a"), F.col("x.k2").alias("__b"))
     a, b = text_key(F.col(text))
     keyed = docs.withColumns({"__1": a, "__2": b})
-    match = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__a")) & (F.col("__2") == F.col("__b"))
+    match = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__a")) & (F.col("__2") == F.col("__b"))
     return keyed.join(kept, match, "left_semi").dropDuplicates([doc_id, "__1", "__2"]).drop("__1", "__2")
 
 

@@ -135,6 +135,57 @@ def test_a_large_group_of_edited_copies_is_one_class(spark, rng):
     assert got == {0}
 
 
+def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
+    """Two large families over one long passage, and small ones: every pair of a bucket is tested, also with small blocks."""
+    rng = random.Random(12)
+    passage, rows = words(rng, 150).split(), []
+    for family in range(60):
+        own = words(rng, 25).split()
+        for k in range(40 if family < 2 else 1 + family % 3):
+            t = [*own, *passage]
+            for at in rng.sample(range(len(t)), 1 + k % 4):
+                t[at] = f"e{family}x{k}"
+            rows.append((len(rows), " ".join(t), "en", "a"))
+    monkeypatch.setattr(order_minhash, "PART", 16)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(frame(spark, rows)).collect()}
+    bags = [order_minhash.shingles(np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint32)) for _, t, *_ in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and order_minhash.similarity(bags[a], bags[b]) >= 0.8:
+                label = [label[b] if x == label[a] else x for x in label]
+    assert len(set(label)) > 20
+    assert len({(label[i], got[i]) for i in range(len(rows))}) == len(set(label)) == len(set(got.values()))
+
+
+def test_blocks_join_what_links_join():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**32, 200, dtype=np.uint32)
+    nodes = []
+    for i in range(40):
+        w = base.copy()
+        w[rng.choice(200, 1 + i % 8, replace=False)] = rng.integers(0, 2**32, 1 + i % 8, dtype=np.uint32)
+        nodes.append((i, i, True, w.tobytes()))
+    with np.errstate(over="ignore"):
+        bags = [order_minhash.shingles(np.frombuffer(n[3], np.uint32)) for n in nodes]
+        links = order_minhash.met_in_blocks(nodes[:20], nodes, 0.8)
+        want = {(a, b) for a in range(20) for b in range(a + 1, 40) if order_minhash.similarity(bags[a], bags[b]) >= 0.8}
+
+    def joined(pairs):
+        label = list(range(40))
+        for a, b in pairs:
+            label = [label[b] if x == label[a] else x for x in label]
+        return [label.index(x) for x in label]
+
+    assert joined(links) == joined(want) and set(links) <= want
+
+
+def test_text_ids_stay_text(spark):
+    docs = spark.createDataFrame([("a", "one two three four five six"), ("b", "one two three four five six"), (None, None)], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["class_id"] or "") for r in order_minhash.classes(docs).collect()) == [("", ""), ("a", "a"), ("b", "a")]
+    assert order_minhash.keep_one(docs).count() == 2
+
+
 def test_similarity_and_shingles():
     w = np.arange(100, dtype=np.uint32)
     a = order_minhash.shingles(w)

@@ -1,14 +1,18 @@
 """Line dedup by distinct-site spread, in DataFrame functions only.
 
-A line is boilerplate if it stands on at least ``min_sites`` different sites. Each line hash gets a HyperLogLog sketch
-of its sites (merged by partial aggregation, so a line held by a third of all rows is no hot key); where the estimate is
-clearly over or under the limit it decides, and lines near the limit get an exact distinct count.
+A line is a candidate if it stands on at least ``min_sites`` different sites and in as many different texts, so copies of
+one text spread nothing. Each line hash gets two HyperLogLog sketches, of its sites and of its texts, taken straight from
+the lines and merged by partial aggregation, so a line held by a third of all rows is no hot key. Where both estimates are
+clearly over the limit, or one is clearly under it, they decide; lines near it get exact distinct counts.
+
+Edited copies of a text spread its lines too, but those are for near-dedup: a candidate of which over half of the documents
+that hold it consist of candidates by more than a third of their characters is no boilerplate. All other candidates are,
+and every copy of them goes from every document, whatever its share.
 
 Defined results: a null text has no lines and stays null; a null site is a site of its own; lines are compared after
-cutting spaces at both ends, and those under ``min_chars`` are never boilerplate; every copy of a boilerplate line goes,
-but a document that would lose more than ``max_share`` of its characters keeps all its lines (it is a copy of a whole
-document, which near-dedup handles). Repeated rows are treated alike; an empty table gives an empty table; further
-columns pass through unread, but for n_lines and n_removed, which are replaced.
+cutting spaces at both ends, and those under ``min_chars`` (blank ones) are never boilerplate; a document of boilerplate
+only becomes an empty text; repeated rows are treated alike; a very long text is cut in time proportional to its lines; an
+empty table gives an empty table; further columns pass through unread, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,46 +22,64 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_key
+from .common import read, saved, text_key
 
-MIN_SITES, MIN_CHARS, MAX_SHARE, LOG_K, SALT = 5, 16, 0.5, 10, 32
+MIN_SITES, MIN_CHARS, LOG_K, SALT = 5, 1, 10, 32
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
+    return F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.trim(x).alias("line"), F.char_length(x).alias("chars")))
+
 
+def _salted(lines: DataFrame) -> DataFrame:
+    """Lines to be joined, dealt to SALT tasks a line, so that one which most documents hold is not one task."""
+    return lines.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
-def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, log_k: int = LOG_K) -> DataFrame:
-    """(k1, k2) of each line that stands on min_sites sites or more."""
+
+def candidates(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, log_k: int = LOG_K) -> DataFrame:
+    """(k1, k2) of each line on min_sites sites and in min_sites texts, or more."""
     where = F.when(F.col(site).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(site).cast("string"))).alias("site")
-    lines = docs.select(where, F.explode(_lines(F.col(text))).alias("line")).filter(F.char_length("line") >= min_chars).select("site", *text_key(F.col("line")))
-    lines = lines.groupBy("k1", "k2", "site").agg(F.lit(1).alias("one"))  # combined before the shuffle: a line comes once a site and task
-    spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", F.lit(log_k)).alias("sketch"), F.min("site").alias("low"), F.max("site").alias("high"))
+    lines = docs.select(where, F.xxhash64(text).alias("text"), F.explode(_lines(F.col(text))).alias("x")).filter(F.char_length("x.line") >= min_chars).select("site", "text", *text_key(F.col("x.line")))
+    spread = lines.groupBy("k1", "k2").agg(*(F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(log_k))).alias(n) for c, n in (("site", "sites"), ("text", "texts"))))
     slack = 4 * 1.04 / math.sqrt(2**log_k)
-    rated = spread.filter((F.col("low") != F.col("high")) | F.lit(min_sites <= 1)).select("k1", "k2", F.hll_sketch_estimate("sketch").alias("sites"))
-    far = rated.filter(F.col("sites") > min_sites * (1 + slack)).select("k1", "k2")
-    near = rated.filter(F.col("sites").between(min_sites * (1 - slack) - 1, min_sites * (1 + slack))).select("k1", "k2")
-    exact = lines.join(near, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("sites"))
-    return far.unionByName(exact.filter(F.col("sites") >= min_sites).select("k1", "k2"))
+    least = F.least("sites", "texts")
+    rated = saved(spread.filter(least >= min_sites * (1 - slack) - 1).select("k1", "k2", (least > min_sites * (1 + slack)).alias("far")), "rated")
+    near = _salted(rated.filter("not far").select("k1", "k2"))
+    met = lines.withColumn("s", F.pmod(F.xxhash64("text", "site"), F.lit(SALT)).cast("int")).join(near, ["k1", "k2", "s"], "left_semi")
+    counted = [met.groupBy("k1", "k2", c).agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("k1", "k2") for c in ("site", "text")]
+    return rated.filter("far").select("k1", "k2").unionByName(counted[0].join(counted[1], ["k1", "k2"], "left_semi"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE) -> DataFrame:
-    """docs with boilerplate lines cut from the text, and the columns n_lines and n_removed (long)."""
-    bad = boilerplate(docs, site, text, min_sites, min_chars)
+def marked(docs: DataFrame, doc_id: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(__id, __a, __b, hit): positions of the boilerplate lines, in order, of each document with any."""
     own = [F.col(doc_id).alias("__id"), *(c.alias(f"__{n}") for c, n in zip(text_key(F.col(text)), ("a", "b"), strict=True))]
-    lines = docs.select(*own, F.posexplode(_lines(F.col(text))).alias("pos", "line")).filter(F.char_length("line") >= min_chars)
-    salted = bad.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # a line that most documents hold is dealt to SALT tasks
-    hits = lines.select("__id", "__a", "__b", "pos", *text_key(F.col("line"))).withColumn("s", F.pmod(F.xxhash64("__id", "pos"), F.lit(SALT)).cast("int")).join(salted, ["k1", "k2", "s"], "left_semi")
-    hits = hits.groupBy("__id", "__a", "__b").agg(F.collect_set("pos").alias("__hit"))
-    keyed = docs.withColumns({"__a": F.xxhash64(F.lit(1), F.col(text)), "__b": F.xxhash64(F.lit(2), F.col(text))}).alias("d")
-    h = hits.withColumnsRenamed({"__a": "__ha", "__b": "__hb"})
-    joined = keyed.join(h, F.col(f"d.{doc_id}").eqNullSafe(F.col("__id")) & (F.col("__a") == F.col("__ha")) & (F.col("__b") == F.col("__hb")), "left")
-    parts = F.split(F.col(f"d.{text}"), "\n", -1)
-    gone = F.aggregate(F.col("__hit"), F.lit(0), lambda n, i: n + F.char_length(F.element_at(parts, i + 1)))
-    cut = F.col("__hit").isNotNull() & (gone <= max_share * F.char_length(F.col(f"d.{text}")))
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__hit"), i)), "\n")
-    out = [F.when(cut, left).otherwise(F.col(f"d.{text}")).alias(text) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*out, F.coalesce(F.size(parts).cast("long"), F.lit(0)).alias("n_lines"), F.when(cut, F.size("__hit")).otherwise(0).cast("long").alias("n_removed"))
+    lines = docs.select(*own, F.char_length(text).alias("total"), F.posexplode(_lines(F.col(text))).alias("pos", "x")).filter(F.char_length("x.line") >= min_chars)
+    lines = lines.select("__id", "__a", "__b", "total", "pos", "x.chars", *text_key(F.col("x.line"))).withColumn("s", F.pmod(F.xxhash64("__id", "__a", "pos"), F.lit(SALT)).cast("int"))
+    met = lines.join(_salted(candidates(docs, site, text, min_sites, min_chars)), ["k1", "k2", "s"], "left_semi")
+    held = met.groupBy("__id", "__a", "__b").agg(F.collect_set(F.struct("pos", "chars", "k1", "k2")).alias("hits"), F.first("total").alias("total"), F.count("*").alias("n"))
+    share = F.aggregate("hits", F.lit(0), lambda n, x: n + x["chars"])
+    # rows that repeat an id and a text are one here, so each counts as often as it stands
+    rows = (F.col("n") / F.size("hits")).cast("long")
+    held = saved(held.select("__id", "__a", "__b", "hits", (share * 3 > F.col("total")).alias("whole"), rows.alias("rows")), "hits")
+    hits = held.select("__id", "__a", "__b", "whole", "rows", F.explode("hits").alias("x")).select("__id", "__a", "__b", "whole", "rows", "x.pos", "x.k1", "x.k2")
+    docs_of = hits.select("k1", "k2", "whole", "rows", "__id", "__a", "__b").distinct()
+    bad = docs_of.groupBy("k1", "k2").agg(F.sum("rows").alias("n"), F.sum(F.when(F.col("whole"), F.col("rows")).otherwise(0)).alias("w")).filter("2 * w <= n").select("k1", "k2")
+    left = hits.withColumn("s", F.pmod(F.xxhash64("__id", "__a", "pos"), F.lit(SALT)).cast("int")).join(_salted(bad), ["k1", "k2", "s"], "left_semi")
+    return left.groupBy("__id", "__a", "__b").agg(F.array_sort(F.collect_set("pos")).alias("hit"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with boilerplate lines cut from the text, and the columns n_lines and n_removed (long)."""
+    hits = marked(docs, doc_id, site, text, min_sites, min_chars).withColumnsRenamed({"__a": "__ha", "__b": "__hb", "hit": "__hit"})
+    a, b = text_key(F.col(text))
+    keyed = docs.withColumns({"__a": a, "__b": b}).alias("d")
+    joined = keyed.join(hits, F.col(f"d.{doc_id}").eqNullSafe(F.col("__id")) & (F.col("__a") == F.col("__ha")) & (F.col("__b") == F.col("__hb")), "left")
+    parts, n = F.split(F.col(f"d.{text}"), "\n", -1), F.size("__hit")
+    first = lambda i: F.when(i == 0, 0).otherwise(F.get("__hit", i - 1) + 1)
+    runs = F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(parts, first(i) + 1, F.when(i == n, F.size(parts)).otherwise(F.get("__hit", i)) - first(i)))
+    cut = F.col("__hit").isNotNull()
+    out = [F.when(cut, F.array_join(F.flatten(runs), "\n")).otherwise(F.col(f"d.{text}")).alias(text) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*out, F.coalesce(F.size(parts).cast("long"), F.lit(0)).alias("n_lines"), F.when(cut, n).otherwise(0).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,15 +90,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-bad AS (
+candidates AS (
   SELECT trim(raw, ' ') AS line FROM lines WHERE length(trim(raw, ' ')) >= {MIN_CHARS}
-  GROUP BY 1 HAVING count(DISTINCT coalesce('s' || source, 'n')) >= {MIN_SITES}),
+  GROUP BY 1 HAVING count(DISTINCT coalesce('s' || source, 'n')) >= {MIN_SITES} AND count(DISTINCT text) >= {MIN_SITES}),
+hits AS (
+  SELECT doc_id, line, pos, 3 * sum(length(raw)) OVER (PARTITION BY doc_id) > length(text) AS whole
+  FROM lines JOIN candidates ON line = trim(raw, ' ')),
+bad AS (
+  SELECT line FROM (SELECT DISTINCT doc_id, line, whole FROM hits) GROUP BY line HAVING 2 * count(*) FILTER (whole) <= count(*)),
 marked AS (SELECT l.*, b.line IS NOT NULL AS hit FROM lines l LEFT JOIN bad b ON b.line = trim(l.raw, ' ')),
 docs AS (
-  SELECT doc_id, count(*) AS n, count(*) FILTER (hit) AS h, coalesce(sum(length(raw)) FILTER (hit), 0) AS gone,
-         any_value(length(text)) AS chars, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT hit) AS kept, any_value(text) AS text
+  SELECT doc_id, count(*) AS n, count(*) FILTER (hit) AS h, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT hit) AS kept
   FROM marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, CASE WHEN gone <= {MAX_SHARE} * chars THEN h ELSE 0 END::BIGINT AS n_removed,
-       md5(CASE WHEN h > 0 AND gone <= {MAX_SHARE} * chars THEN coalesce(kept, '') ELSE o.text END) AS text_md5
+SELECT o.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(h, 0)::BIGINT AS n_removed,
+       md5(CASE WHEN h > 0 THEN coalesce(kept, '') ELSE o.text END) AS text_md5
 FROM documents o LEFT JOIN docs d USING (doc_id)
 """

@@ -32,21 +32,31 @@ def test_lines_against_brute_force(spark, rng):
     few = "this line stands on few sites only"
     rows = [(i, f"{words(rng, 12)}\n  {shared} \n{few if i < 3 else words(rng, 8)}\n{words(rng, 9)}", "en", f"s{i % 9}") for i in range(40)]
     rows += [(100, None, None, None), (101, "", "en", "s1"), (102, shared, "en", None), (103, shared, "en", None), (None, f"{shared}\n{words(rng, 30)}", "en", "s2"), (0, *rows[0][1:])]
+    rows += [(200 + i, f"Ok.\n{words(rng, 8)}\nOk.", "en", f"s{i}") for i in range(7)]  # short lines go too
+    copied = [words(rng, 15) for _ in range(12)]
+    rows += [(300 + i, "\n".join(x if j != i % 12 else f"edit{i} {x}" for j, x in enumerate(copied)), "en", f"s{i % 9}") for i in range(30)]
+    rows += [(400 + i, f"{words(rng, 400)}\n{shared}" if i else "\n".join([shared, words(rng, 4)] * 2000), "en", f"s{i % 9}") for i in range(3)]  # a very long text
     docs = frame(spark, rows)
     got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()}
     assert line_dedup.dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
-    sites = defaultdict(set)
+    sites, texts = defaultdict(set), defaultdict(set)
     for _, t, _, s in rows:
         for x in (t or "").split("\n"):
             sites[x.strip(" ")].add(s)
-    bad = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES and len(x) >= line_dedup.MIN_CHARS}
-    assert bad == {shared}
+            texts[x.strip(" ")].add(t)
+    spread = {x for x in sites if x and min(len(sites[x]), len(texts[x])) >= line_dedup.MIN_SITES}
+    whole = defaultdict(list)
+    for _, t, _, _ in rows:
+        held = [x for x in (t or "").split("\n") if x.strip(" ") in spread]
+        for x in {x.strip(" ") for x in held}:
+            whole[x].append(3 * sum(map(len, held)) > len(t))
+    bad = {x for x in spread if 2 * sum(whole[x]) <= len(whole[x])}
+    assert bad == {shared, "Ok."} and len(spread) > 10  # the lines of the edited copies are spread, but stay
     want = set()
     for i, t, _, _ in rows:
         parts = (t or "").split("\n")
         gone = [x for x in parts if x.strip(" ") in bad]
-        cut = gone and sum(map(len, gone)) <= line_dedup.MAX_SHARE * len(t)
-        want.add((i, "\n".join(x for x in parts if x not in gone) if cut else t, len(gone) if cut else 0))
+        want.add((i, "\n".join(x for x in parts if x.strip(" ") not in bad) if gone else t, len(gone)))
     assert got == want
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
     assert line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("x"))).columns.count("n_lines") == 1
@@ -54,7 +64,7 @@ def test_lines_against_brute_force(spark, rng):
 
 def test_lines_near_the_limit_are_counted_exactly(spark):
     rows = [(100 * n + i, f"a line of exactly {n} sites here\n{'pad ' * 30}{n} {i}", "en", f"s{i}") for n in (3, 4, 5, 6, 40) for i in range(n)]
-    bad = line_dedup.boilerplate(frame(spark, rows)).count()
+    bad = line_dedup.candidates(frame(spark, rows)).count()
     assert bad == 3
 
 

@@ -177,6 +177,12 @@ def test_urls_against_brute_force(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(urls[r["page_id"]], url_filter.RULES), urls[r["page_id"]]
     assert url_filter.judge(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+    twice = url_filter.judge(pages.union(pages), rules).groupBy("page_id", "host", "path", "rule", "verdict").count()
+    assert {r["count"] for r in twice.collect()} == {2}
+    rows = [(0, "http://x.a.com/p/q"), (1, "http://a.com/p"), (2, "http://x.a.com/"), (3, "http://" + "y." * 3000 + "a.com/" + "p" * 50_000)]
+    even = spark.createDataFrame([("block", "a.com", "/p"), ("allow", "x.a.com", "/p"), ("block", "b.com", "/p")], rules.schema)  # ties in path length
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), even).collect()}
+    assert got == {0: ("x.a.com/p", "allow"), 1: ("a.com/p", "block"), 2: (None, "allow"), 3: ("a.com/p", "block")}
 
 
 def test_cascade_is_exact(spark):
@@ -184,7 +190,19 @@ def test_cascade_is_exact(spark):
     others = spark.range(3000, 40_000).select(F.concat(F.lit("k"), "id").alias("key"))
     levels = url_filter.cascade(listed, others)
     assert len(levels) > 1
-    hit = url_filter.contains(F.col("key"), levels)
+    hit = url_filter.contains(F.col("key"), [levels])
+    assert listed.filter(~hit).count() == 0 and others.filter(hit).count() == 0
+    parts = url_filter.cascades(listed, others, max_words=200)
+    hit = url_filter.contains(F.col("key"), parts)
+    assert len(parts) > 2 and listed.filter(~hit).count() == 0 and others.filter(hit).count() == 0
+
+
+def test_cascade_does_not_grow_with_the_universe(spark):
+    listed = spark.range(5).select(F.concat(F.lit("k"), "id").alias("key"))
+    others = spark.range(5, 400_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    levels = url_filter.cascade(listed, others)
+    assert sum(x.n for x in levels) < 50
+    hit = url_filter.contains(F.col("key"), [levels])
     assert listed.filter(~hit).count() == 0 and others.filter(hit).count() == 0
 
 

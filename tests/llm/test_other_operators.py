@@ -206,21 +206,43 @@ def test_cascade_does_not_grow_with_the_universe(spark):
     assert listed.filter(~hit).count() == 0 and others.filter(hit).count() == 0
 
 
-@pytest.mark.parametrize("block", [8192, 50])
-def test_top_k_against_brute_force(spark, block):
+@pytest.mark.parametrize("block,query_part", [(8192, 16_384), (50, 3)])
+def test_top_k_against_brute_force(spark, block, query_part):
     g = np.random.default_rng(3)
     x = g.normal(size=(400, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, [0.5] * 8) for i in range(150)] + [(2000, None), (2001, []), (2002, [1.0] * 7), (2003, [float("nan")] * 8), (2004, [math.inf] + [0.0] * 7), (2005, [None] + [0.0] * 7), (None, [1.0] * 8), (2006, [1e6] * 8), (2007, [-1e-9] * 8)]
+    rows += [(3000 + i, v.tolist()) for i, v in enumerate(g.normal(size=(51, 3)))] + [(3100, [2.0]), (3101, [3.0]), (3102, [0.0] * 8)]  # other lengths, zeros
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
     vectors = voronoi_knn.whole_vectors(df, "vec_id", "embedding")
-    got = sorted(map(tuple, voronoi_knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), pivots=6, block=block).collect()))
-    fine = {i: [math.floor(1024 * e) for e in v] for i, v in rows if i is not None and v and len(v) == 8 and all(e is not None and math.isfinite(e) for e in v)}
+    got = sorted(map(tuple, voronoi_knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), pivots=6, block=block, query_part=query_part).collect()))
+    fine = {i: [math.floor(1024 * e) for e in v] for i, v in rows if i is not None and v and all(e is not None and math.isfinite(e) for e in v)}
     want = []
     for q in fine:
         if q % 50 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q))[:10]
+            best = sorted(((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q])))[:10]
             want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
     assert voronoi_knn.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
     few = vectors.filter("vec_id in (0, 1, 2)")
     assert voronoi_knn.top_k(few, few).count() == 6
+
+
+def test_top_k_scores_few_pairs_of_clustered_vectors(spark):
+    g = np.random.default_rng(8)
+    centres = g.normal(size=(20, 16)) * 10
+    x = np.round((centres[g.integers(0, 20, 3000)] + 0.2 * g.normal(size=(3000, 16))) * 1024).astype(int)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    seen = spark.sparkContext.accumulator(0)
+    got = sorted(map(tuple, voronoi_knn.top_k(vectors, vectors.filter("vec_id % 20 = 0"), scored=seen).collect()))
+    s = x[::20] @ x.T
+    s[np.arange(150), np.arange(0, 3000, 20)] = -(2**62)
+    want = [(20 * q, n, int(i), int(s[q, i])) for q in range(150) for n, i in enumerate(np.lexsort((np.arange(3000), -s[q]))[:10], 1)]
+    assert got == want
+    assert 0 < seen.value < 0.2 * 150 * 3000
+
+
+def test_top_k_of_repeated_rows_and_long_vectors(spark):
+    rows = [(i % 5, [i % 5, 1]) for i in range(40)] + [(100, [1] * 20_000), (101, [2] * 20_000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in voronoi_knn.top_k(vectors, vectors.filter("vec_id in (0, 100)")).collect()}
+    assert [got[0, n] for n in range(1, 11)] == [(1, 1)] * 8 + [(2, 1)] * 2 and got[100, 1] == (101, 40_000) and (100, 2) not in got and len(got) == 11

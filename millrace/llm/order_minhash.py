@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 from .common import chunks, components, read, saved, text_key
 
 K, BANDS, SKETCHES, THRESHOLD = 5, 16, 2, 0.8
-MAX_WORDS, BLOCK, SMALL, KIN, PART, PART_WORDS, SALT_ROWS = 400_000, 16_384, 32, 4, 256, 1_000_000, 512
+MAX_WORDS, BLOCK, SMALL, KIN, PART, PART_WORDS, SALT_ROWS, SALTS = 400_000, 16_384, 32, 4, 256, 1_000_000, 512, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(7).integers(1, 2**63, BANDS * SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH = "rid long, doc_id {}, k1 long, k2 long, n1 long, n2 long, bands array<long>, words binary"
@@ -206,11 +206,13 @@ def blocked(nodes: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     left = sized.filter("outside").select(*cell, "node", "label", "outside")
     right = sized.select("band", "h", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "node", "label", "outside", "bytes")
     lefts = sized.filter("outside").groupBy(*cell).agg(parts.alias("n"))
-    rights = right.join(lefts.select(*cell), cell, "left_semi").groupBy(*cell).agg(parts.alias("m"))
-    cells = saved(lefts.join(rights, cell), "cells")
     row = F.xxhash64("node", F.lit("block"))
-    dealt_left = left.join(cells, cell).select(*cell, "node", "label", "outside", F.pmod(row, "n").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-    dealt_right = right.drop("bytes").join(cells, cell).select(*cell, "node", "label", "outside", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.pmod(row, "m").cast("int").alias("j"))
+    salt, salts = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left, right = left.withColumn("s", salt), right.withColumn("s", salt)
+    rights = right.join(lefts.select(*cell, salts.alias("s")), [*cell, "s"], "left_semi").groupBy(*cell).agg(parts.alias("m"))
+    cells = saved(lefts.join(rights, cell), "cells").withColumn("s", salts)
+    dealt_left = left.join(cells, [*cell, "s"]).select(*cell, "node", "label", "outside", F.pmod(row, "n").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    dealt_right = right.drop("bytes").join(cells, [*cell, "s"]).select(*cell, "node", "label", "outside", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.pmod(row, "m").cast("int").alias("j"))
     both = dealt_left.withColumn("mine", F.lit(True)).unionByName(dealt_right.withColumn("mine", F.lit(False)))
 
     def solve(rows: pa.Table) -> pa.Table:

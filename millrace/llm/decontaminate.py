@@ -7,13 +7,17 @@ one offset form an alignment; its windows count if their slots are consistent: e
 value of the document's in the whole alignment, though two of the item's may share one. Windows that hold a contradicted value
 do not count, the others of the alignment do. So changed numbers, names and units are caught. A document leaks an item if the counted windows cover ``min_cover`` of the item's.
 
+A window with fewer than ``min_literals`` plain words says too little as a template, so it is matched by its exact words,
+values included; so arithmetic and very short items are found where they are copied. Where at least half of an item's windows
+are templates, their cover alone suffices.
+
 The benchmark's window hashes go to the tasks as a filter while there are at most ``MAX_WINDOWS``; beyond that every
 window of the documents takes part in the join.
 
 Defined results: null and empty texts leak nothing, as items they match nothing; items shorter than the width are one
-window of their own length, and those with fewer than min_literals plain words are not checked; rows are told apart by id
-and text, so a null or repeated id is no trouble and repeated rows are treated alike; empty tables give empty results;
-further columns pass through.
+window of their own length, and those of fewer than ``MIN_WORDS`` words are not checked, since any text may hold them; rows
+are told apart by id and text, so a null or repeated id is no trouble and repeated rows are treated alike; a very long text
+is read whole, and what it repeats counts once; empty tables give empty results; further columns pass through.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, read, saved, text_key
 
-WIDTH, MIN_LITERALS, MIN_COVER, MAX_WINDOWS = 8, 5, 0.3, 4_000_000
-MAX_TYPES = 300_000
+WIDTH, MIN_LITERALS, MIN_WORDS, MIN_COVER, MAX_WINDOWS = 8, 5, 3, 0.3, 4_000_000
+MAX_TYPES, EXACT = 300_000, "="  # the latter begins a window of exact words; words never begin with it
 #: Units that count as such after a number.
 UNITS = "% mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years dollars euros cents usd eur mph kmh degrees meters metres miles feet inches grams kilograms liters litres".split()
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
@@ -60,8 +64,8 @@ class Types:
         return found
 
 
-def canonical(texts: list[bytes | None], types: Types) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of the texts, without empty ones: text number, type number, kind and code."""
+def canonical(texts: list[bytes | None], types: Types) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of the texts, without empty ones: text number, type number, kind, code and code of the exact word."""
     ids, counts = [], []
     for t in texts:
         words = t.split() if t else []
@@ -76,28 +80,38 @@ def canonical(texts: list[bytes | None], types: Types) -> tuple[np.ndarray, np.n
     after = np.zeros(len(ids), bool)
     after[1:] = (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])
     kind = np.where((kind == NAME) & starts | (kind == UNIT) & ~after, LITERAL, kind)
-    code = np.array(types.code, np.uint64)[ids]
+    exact = np.array(types.code, np.uint64)[ids]
+    code = exact.copy()
     for k in MARK:
         code[kind == k] = np.uint64(k)
-    return owner, ids, kind, code
+    return owner, ids, kind, code, exact
 
 
-def windows(owner: np.ndarray, kind: np.ndarray, code: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows within one text that have enough literals."""
-    n = len(code) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(width))
+def rolled(code: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows that begin at some places."""
+    h = np.full(len(at), np.uint64(width))
     with np.errstate(over="ignore"):
         for j in range(width):
-            h = (h ^ code[j : j + n]) * PRIME
+            h = (h ^ code[at + j]) * PRIME
             h ^= h >> np.uint64(29)
+    return h
+
+
+def windows(owner: np.ndarray, kind: np.ndarray, code: np.ndarray, exact: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the windows within one text, and whether each is a template or stands for its exact words."""
+    n = len(code) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero((owner[:n] == owner[width - 1 :]) & (plain[width:] - plain[:n] >= least))
-    return at, h[at]
+    at = np.flatnonzero(owner[:n] == owner[width - 1 :])
+    form = plain[at + width] - plain[at] >= least
+    h = np.empty(len(at), np.uint64)
+    h[form] = rolled(code, at[form], width)
+    h[~form] = ~rolled(exact, at[~form], width)
+    return at, h, form
 
 
-HITS = "id long, k1 long, k2 long, hash long, template string, pos int, slots array<string>, words int"
+HITS = "id {}, k1 long, k2 long, hash long, template string, pos int, slots array<string>, words int"
 
 
 def template_windows(df: DataFrame, widths: list[int] | None, wanted: np.ndarray | None, least: int, width: int = WIDTH) -> DataFrame:
@@ -113,60 +127,62 @@ def template_windows(df: DataFrame, widths: list[int] | None, wanted: np.ndarray
             for start, texts in chunks(batch):
                 if len(types.word) > MAX_TYPES:
                     types = Types()
-                owner, ids, kind, code = canonical(texts, types)
+                owner, ids, kind, code, exact = canonical(texts, types)
                 length = np.bincount(owner, minlength=len(texts))
                 first = np.concatenate([[0], np.cumsum(length)])
                 rows = []
-                for w in widths or sorted({int(min(width, n)) for n in length if n >= least}):
-                    at, h = windows(owner, kind, code, w, least)
+                for w in widths or sorted({int(min(width, n)) for n in length if n >= MIN_WORDS}):
+                    at, h, form = windows(owner, kind, code, exact, w, least)
                     if widths is None:
                         fits = np.minimum(length[owner[at]], width) == w
-                        at, h = at[fits], h[fits]
+                        at, h, form = at[fits], h[fits], form[fits]
                     if wanted is not None and len(wanted):
                         near = np.flatnonzero(probe[(h >> np.uint64(42)).astype(np.int64)])
                         place = np.minimum(np.searchsorted(wanted, h[near]), len(wanted) - 1)
                         near = near[wanted[place] == h[near]]
-                        at, h = at[near], h[near]
-                    for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        ks, ws = kind[i : i + w].tolist(), [types.word[t] for t in ids[i : i + w].tolist()]
+                        at, h, form = at[near], h[near], form[near]
+                    for i, x, shaped in zip(at.tolist(), h.view(np.int64).tolist(), form.tolist(), strict=True):
+                        ks, ws = kind[i : i + w].tolist() if shaped else [LITERAL] * w, [types.word[t] for t in ids[i : i + w].tolist()]
                         d = int(owner[i])
-                        rows.append((d + start, x, " ".join(MARK.get(k, v) for k, v in zip(ks, ws, strict=True)), i - int(first[d]), [f"{MARK[k]}{v}" for k, v in zip(ks, ws, strict=True) if k in MARK], int(length[d])))
+                        rows.append((d + start, x, ("" if shaped else EXACT) + " ".join(MARK.get(k, v) for k, v in zip(ks, ws, strict=True)), i - int(first[d]), [f"{MARK[k]}{v}" for k, v in zip(ks, ws, strict=True) if k in MARK], int(length[d])))
                 if rows:
                     who, *rest = zip(*rows, strict=True)
                     who = pa.array(who)
                     kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32())
                     yield pa.RecordBatch.from_arrays([k.take(who) for k in keys] + [pa.array(c, k) for c, k in zip(rest, kinds, strict=True)], names=["id", "k1", "k2", "hash", "template", "pos", "slots", "words"])
 
-    return df.mapInArrow(run, HITS)
+    return df.mapInArrow(run, HITS.format(df.schema["id"].dataType.simpleString()))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text", width: int = WIDTH, min_literals: int = MIN_LITERALS, min_cover: float = MIN_COVER, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """(doc_id, k1, k2, item_id, matched, of): documents, with the hashes of their texts, and the items that they leak."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), *text_key(F.col(item)), F.col(item).alias("text"))
+    items = benchmark.select(F.col(item_id).alias("id"), *text_key(F.col(item)), F.col(item).alias("text"))
     bench = saved(template_windows(items, None, None, min_literals, width), "items")
     count = bench.count()
     widths = sorted(r[0] for r in bench.select(F.least("words", F.lit(width)).alias("w")).distinct().collect()) or [width]
     wanted = np.unique(bench.select("hash").distinct().toArrow()["hash"].to_numpy().astype(np.int64).view(np.uint64)) if count <= max_windows else None
-    of = bench.groupBy("id", "k1", "k2").agg(F.countDistinct("pos").alias("of")).withColumnsRenamed({"id": "item_id", "k1": "i1", "k2": "i2"})
-    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), *text_key(F.col(text)), F.col(text).alias("text"))
+    shaped = ~F.col("template").startswith(EXACT)
+    of = bench.groupBy("id", "k1", "k2").agg(F.countDistinct("pos").alias("of"), F.countDistinct(F.when(shaped, F.col("pos"))).alias("of_shaped")).withColumnsRenamed({"id": "item_id", "k1": "i1", "k2": "i2"})
+    keyed = docs.select(F.col(doc_id).alias("id"), *text_key(F.col(text)), F.col(text).alias("text"))
     hits = saved(template_windows(keyed, widths, wanted, min_literals, width), "hits").withColumnsRenamed({"id": "doc_id", "slots": "d_slots"}).drop("words")
     its = bench.select(F.col("id").alias("item_id"), F.col("k1").alias("i1"), F.col("k2").alias("i2"), "hash", "template", F.col("pos").alias("at"), "slots")
     met = hits.join(its, ["hash", "template"]).withColumn("offset", F.col("pos") - F.col("at"))
     group = ["doc_id", "k1", "k2", "item_id", "i1", "i2"]
     met = met.withColumn("pairs", F.arrays_zip("slots", "d_slots"))
-    lines = met.groupBy(*group, "offset").agg(F.collect_set(F.struct("at", "slots")).alias("wins"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    lines = met.groupBy(*group, "offset").agg(F.collect_set(F.struct("at", "slots", shaped.alias("shaped"))).alias("wins"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     values = F.col("pairs.slots")
     torn = F.when(F.size(F.array_distinct(values)) < F.size("pairs"), F.filter(F.array_distinct(values), lambda v: F.size(F.filter("pairs", lambda p: p["slots"] == v)) > 1)).otherwise(F.array().cast("array<string>"))
-    sound = lines.withColumn("torn", torn).select(*group, F.transform(F.filter("wins", lambda w: ~F.arrays_overlap(w["slots"], F.col("torn"))), lambda w: w["at"]).alias("at"))
-    matched = sound.groupBy(*group).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"))
-    return matched.join(of, [matched[c].eqNullSafe(of[c]) for c in ("item_id", "i1", "i2")]).filter(F.col("matched") >= min_cover * F.col("of")).select("doc_id", "k1", "k2", matched["item_id"], F.col("matched").cast("long").alias("matched"), F.col("of").cast("long").alias("of"))
+    sound = lines.withColumn("torn", torn).select(*group, F.transform(F.filter("wins", lambda w: ~F.arrays_overlap(w["slots"], F.col("torn"))), lambda w: F.struct(w["at"].alias("at"), w["shaped"].alias("shaped"))).alias("x"))
+    matched = sound.select(*group, F.explode("x").alias("x")).groupBy(*group).agg(F.countDistinct("x.at").alias("matched"), F.countDistinct(F.when(F.col("x.shaped"), F.col("x.at"))).alias("shaped"))
+    covered = (F.col("matched") >= min_cover * F.col("of")) | ((2 * F.col("of_shaped") >= F.col("of")) & (F.col("shaped") >= min_cover * F.col("of_shaped")))
+    return matched.join(of, [matched[c].eqNullSafe(of[c]) for c in ("item_id", "i1", "i2")]).filter(covered).select("doc_id", "k1", "k2", matched["item_id"], F.col("matched").cast("long").alias("matched"), F.col("of").cast("long").alias("of"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """docs without the rows that leak an item."""
     bad = saved(leaks(docs, benchmark, doc_id, text, **kw).select(F.col("doc_id").alias("__id"), F.col("k1").alias("__a"), F.col("k2").alias("__b")).distinct(), "leaks")
     a, b = text_key(F.col(text))
-    return docs.withColumns({"__1": a, "__2": b}).join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__a")) & (F.col("__2") == F.col("__b")), "left_anti").drop("__1", "__2")
+    return docs.withColumns({"__1": a, "__2": b}).join(bad, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__a")) & (F.col("__2") == F.col("__b")), "left_anti").drop("__1", "__2")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,23 @@ bounded sample: of about ``pool`` documents chosen by their ids' hashes, windows
 candidates, and windows of ``sample`` others; each task runs gradient steps on its windows, and the weights of all tasks are
 averaged, for ``rounds`` rounds.
 
+So that it finds what the base patterns miss, each window with a base match is also learnt from a masked copy: the key word
+goes, or gives way to a plain word, or its delimiter becomes another; the value stays, becomes upper case, other characters
+of the same length, or too short for a base pattern. In such copies the value alone is the secret. A window without a base
+match that holds a word which might be one (``DOUBTFUL``) teaches nothing either way and is left out.
+
 Viterbi decoding is exact over the whole text: where "outside" leads by more than changed neighbours could cost, the best
 path must be outside, so the text falls into independent stretches, and only those that may hold a secret are decoded.
 
 Defined results: a null text is empty; base matches always stay, and a decoded span that meets one adds nothing; offsets are
 code points, end exclusive; repeated rows are scanned alike; without base matches to learn from no span is added; an empty
-table gives an empty table; further columns are not read.
+table gives an empty table; a very long text is scanned whole, in time proportional to its length; further columns are not
+read.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -64,8 +71,8 @@ def features(word: bytes) -> list[str]:
     core = word.strip(b"\"'`.,;:()[]{}<>|!?*&%$#")
     n = len(core)
     digits, uppers, lowers = sum(48 <= c < 58 for c in core), sum(65 <= c < 91 for c in core), sum(97 <= c < 123 for c in core)
-    shape = re.sub(rb"(.)\1+", rb"\1", bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 else 48 if 48 <= c < 58 else c if c < 128 else 117 for c in word[:24])).decode()
-    out = ["bias", f"shape={shape}" if len(shape) <= 6 else "shape=long", f"len={min(n, 48) // 4}", f"edge={word[:1].decode('latin1') if not word[:1].isalnum() else 'a'}"]
+    shape = re.sub(rb"(.)\1+", rb"\1", bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 else 48 if 48 <= c < 58 else c if c < 128 else 127 for c in word[:24])).decode()
+    out = ["bias", f"shape={shape}" if len(shape) <= 6 else "shape=long", f"len={min(n, 48) // 4}", f"edge={'a' if word[:1].isalnum() else 'u' if word[:1] > b'~' else word[:1].decode()}"]
     mix = (digits > 0) + (uppers > 0) + (lowers > 0)
     out += [f"mix={mix}", f"digits={round(4 * digits / n) if n else 0}", f"mix={mix}&len={min(n, 48) // 8}"]
     if n >= 16:
@@ -89,11 +96,16 @@ SYMBOL = re.compile(rb"[=|*&%$#{}<>]")
 
 
 #: Letters and digits by class, other ASCII as it is.
-CLASSES = bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 else 48 if 48 <= c < 58 else c if c < 128 else 117 for c in range(256))
+CLASSES = bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 else 48 if 48 <= c < 58 else c if c < 128 else 127 for c in range(256))
 KEYWORD = re.compile(rb"pass|secret|token|key|auth|bearer|credential", re.IGNORECASE)
 LONG = 16
 
 
+def look_of(word: bytes) -> bytes:
+    """What a word's features depend on: of long words and key words the word itself, of others the classes of its characters."""
+    return word if len(word) >= LONG or KEYWORD.search(word.translate(None, b"-_") if b"-" in word or b"_" in word else word) else word.translate(CLASSES)
+
+
 class Types:
     """Scores of words as themselves (0), as the one before (1) and the one after (2); short words of the same look share a row."""
 
@@ -103,11 +115,11 @@ class Types:
     def __getitem__(self, word: bytes) -> int:
         found = self.of.get(word)
         if found is None:
-            look = word if len(word) >= LONG or KEYWORD.search(word) else word.translate(CLASSES)
+            look = look_of(word)
             found = self.looks.get(look)
             if found is None:
                 found = self.looks[look] = len(self.scores)
-                names = features(word)
+                names = features(look)
                 self.scores.append([self.weights[[slot(p + n) for n in names]].sum(0) for p in ("", "-", "+")])
                 self.symbol.append(SYMBOL.search(word) is not None)
                 self.array = None
@@ -174,6 +186,33 @@ def windows(text: bytes, spans: list[tuple[int, int, int]], around: int = AROUND
             yield [w for _, _, w in at[lo : done + 1]], tags[lo : done + 1]
 
 
+VALUE = re.compile(rb"[A-Za-z0-9+/_.-]+")
+#: A long run of letters and digits, in quotes or not.
+DOUBTFUL = re.compile(rb"""["'`]?(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}["'`]?""")
+
+
+def masked(words: list[bytes], tags: list[int]) -> tuple[list[bytes], list[int]]:
+    """A window whose secrets have lost their cue, and maybe their form; which of the ways is up to the value's hash."""
+    out: list[tuple[bytes, int]] = []
+    plain = next((w for w, t in zip(words, tags, strict=True) if t == OUT and w.isalpha()), b"is")
+    i = 0
+    while i < len(words):
+        j = i + 1
+        if tags[i] == BEGIN:
+            while j < len(words) and tags[j] == INSIDE:
+                j += 1
+            value = max(VALUE.findall(max(words[i:j], key=len)), key=len, default=b"")
+            h = zlib.crc32(value)
+            cue = ([], [plain], [plain, b"->"], [words[i], b"->"])[h % 4] if j > i + 1 else []
+            other = base64.b64encode(hashlib.sha512(value).digest())[: len(value)]
+            value = (value, value.upper(), other, value[:20])[h // 4 % 4]
+            out += [(w, OUT) for w in cue] + [((b"%s", b'"%s"', b"'%s'")[h // 16 % 3] % value, BEGIN)]
+        else:
+            out.append((words[i], tags[i]))
+        i = j
+    return [w for w, _ in out], [t for _, t in out]
+
+
 def epoch(data: list[tuple], weights: np.ndarray, move: np.ndarray, square: np.ndarray, rate: float = RATE) -> None:
     """Gradient steps of the conditional likelihood over windows of (own features, file features, tags), in place."""
     for own, file, tags in data:
@@ -227,7 +266,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, pool: int
                         spans = base_spans(t or b"")
                         words = (t or b"").split()
                         file = file_features(len(words), sum(SYMBOL.search(x) is not None for x in words), (t or b"").count(b"\n"))
-                        for ws, tags in windows(t or b"", spans):
+                        some = [x for w in windows(t or b"", spans) for x in ((w, masked(*w)) if BEGIN in w[1] else () if any(map(DOUBTFUL.fullmatch, w[0])) else (w,))]
+                        for ws, tags in some:
                             fs = [known.setdefault(x, features(x)) for x in ws]
                             own = [np.array([slot(n) for n in f] + ([slot("-" + n) for n in fs[i - 1]] if i else []) + ([slot("+" + n) for n in fs[i + 1]] if i + 1 < len(fs) else [])) for i, f in enumerate(fs)]
                             data.append((own, file, np.array(tags)))
@@ -245,13 +285,36 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, pool: int
     return weights, move
 
 
+def overlapped(base: list[tuple[int, int, int]], found: list[tuple[int, int]]) -> tuple[set[int], list[tuple[int, int]]]:
+    """(places of the base spans that found ones meet, found ones that meet none). Spans of one kind are disjoint and in order."""
+    met, free = set(), np.full(len(found), True)
+    for kind in range(3):
+        mine = [i for i, b in enumerate(base) if b[2] == kind]
+        starts, ends = np.array([base[i][0] for i in mine]), np.array([base[i][1] for i in mine])
+        for n, (s, e) in enumerate(found if mine else ()):
+            lo, hi = int(np.searchsorted(ends, s, side="right")), int(np.searchsorted(starts, e))
+            if lo < hi:
+                free[n] = False
+                met.update(mine[lo:hi])
+    return met, [f for f, ok in zip(found, free.tolist(), strict=True) if ok]
+
+
+def code_points(text: bytes, places: set[int]) -> dict[int, int]:
+    out, before, n = {}, 0, 0
+    for x in sorted(places):
+        n += len(text[before:x].decode())
+        out[x] = n
+        before = x
+    return out
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """Of each row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf (spans that the field adds) and n_met (base matches it finds by itself)."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     model = train(keyed, sample, rounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -275,13 +338,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: in
                         score[:-1] += scores[x[1:], 2]
                         if found := tagged(score, move):
                             at = [(m.start(), m.end()) for m in WORD.finditer(t)]
-                            for a, b in found:
-                                s, e = at[a][0], at[b][1]
-                                hit = [i for i, (s2, e2, _) in enumerate(base) if s < e2 and e > s2]
-                                met.update(hit)
-                                if not hit:
-                                    spans.append((s, e, 3))
-                    points = {x: len(t[:x].decode()) for s in spans for x in s[:2]} if spans else {}
+                            met, free = overlapped(base, [(at[a][0], at[b][1]) for a, b in found])
+                            spans += [(s, e, 3) for s, e in free]
+                    points = code_points(t or b"", {x for s in spans for x in s[:2]})
                     spans = [(points[s], points[e], k) for s, e, k in spans]
                     own = joined([x for x in spans if x[2] < 3])
                     rows.append((*(sum(k == n for _, _, k in spans) for n in range(3)), hashlib.sha256(own.encode()).hexdigest(), joined(spans), sum(k == 3 for _, _, k in spans), len(met)))
@@ -289,7 +348,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: in
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf", "n_met"])
 
-    return keyed.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long, n_met long")
+    return keyed.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long, n_met long")
 
 
 def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,15 @@ def test_decontamination_catches_changed_slots_only_if_consistent(spark, rng):
     assert decontaminate.leaks(short, bench).count() == 1
 
 
+def test_short_and_slot_heavy_items_are_matched_exactly(spark, rng):
+    items = {1: "What is 17 + 25 ?", 2: "3 4 5 12 13 84 85 7 24 25 60 61", 3: "Paris 1889", 4: "Anna 3 Boris 4 Carla 5 Doris 6 Emil"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(i, f"{words(rng, 30)} {t} {words(rng, 30)}", "en", "a") for i, t in items.items()]
+    rows += [(11, f"{words(rng, 9)} What is 18 + 25 ?", "en", "a"), (12, "9 4 5 12 13 85 84 7 24 26 60 62", "en", "a"), (13, words(rng, 300), "en", "a"), (5, "very long " * 20_000 + items[1] + " again" * 9 + f" {items[1]}" * 500, "en", "a")]
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["of"]) for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 4), (5, 1)} and all(a == b for a, b in got.values())
+
+
 def brute_similarity(a, b):
     def bag(t):
         w = t.lower().split()
@@ -231,6 +240,40 @@ def test_base_secrets_against_brute_force_and_the_field_alone(spark, rng):
     assert all(r["spans"] == "" for r in plain)
 
 
+def test_the_field_finds_secrets_that_the_base_misses(spark):
+    """Held out: no base pattern matches any of them. Neighbours that look alike, such as card numbers, stay."""
+    rng = random.Random(21)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(150)]
+    rows = [(i, f"{words(rng, 30)} token = \"{h}\" {words(rng, 30)}", "en", "a") for i, h in enumerate(hexes)]
+    rows += [(i, f"{words(rng, 20)} {rng.randrange(10**15, 10**16)} {words(rng, 20)} NAME.{i}@mail.example.com {words(rng, 9)} {words(rng, 9).upper()}!! 10.0.{i % 7}.{i % 9} internationalisation_of_everything", "en", "a") for i in range(1000, 1200)]
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    makers = [lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(40)), lambda: "".join(rng.choice(b64) for _ in range(36)), lambda: "".join(rng.choice("0123456789abcdef") for _ in range(22))]
+    hidden = {i: makers[i % 3]() for i in range(2000, 2090)}
+    rows += [(i, f"{words(rng, 25)} {('the key is', 'pass ->', 'signed with')[i % 3]} \"{h}\" {words(rng, 25)}", "en", "a") for i, h in hidden.items()]
+    docs = frame(spark, rows)
+    by = {r["doc_id"]: r for r in secret_crf.scan(docs).collect()}
+    texts = {i: t for i, t, *_ in rows}
+    assert all(not secret_crf.base_spans(texts[i].encode()) for i in hidden)
+    found = 0
+    for i, h in hidden.items():
+        at = texts[i].index(h)
+        found += any(k == "crf" and int(a) <= at and int(b) >= at + len(h) for k, a, b in (x.split(":") for x in by[i]["spans"].split(",") if x))
+    assert found >= 0.8 * len(hidden)
+    assert sum(by[i]["n_crf"] for i in range(1000, 1200)) <= 4
+    again = {r["doc_id"]: r["spans"] for r in secret_crf.scan(docs.repartition(7)).collect()}
+    assert again == {i: r["spans"] for i, r in by.items()}
+
+
+def test_words_of_one_look_have_the_same_features():
+    rng = random.Random(22)
+    for _ in range(3000):
+        word = "".join(rng.choice("abKEYkey09-_=\"é.:ātoken") for _ in range(rng.randrange(1, 20))).encode()
+        assert secret_crf.features(word) == secret_crf.features(secret_crf.look_of(word))
+    assert secret_crf.look_of(b"k-ey") != secret_crf.look_of(b"b-cd")
+    assert secret_crf.code_points("aéb".encode(), {0, 1, 3, 4}) == {0: 0, 1: 1, 3: 2, 4: 3}
+    assert secret_crf.overlapped([(0, 5, 0), (3, 5, 2), (9, 12, 2)], [(4, 6), (6, 8), (11, 13)]) == ({0, 1, 2}, [(6, 8)])
+
+
 def test_viterbi_over_stretches_is_the_best_path_of_the_whole():
     g = np.random.default_rng(1)
     for _ in range(30):
@@ -274,6 +317,60 @@ def test_classifier_keeps_prose_and_rejects_junk(spark):
     assert a == b  # sent model and joins
 
 
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney over the characters of words, straight from the definition."""
+
+    def __init__(self, texts, order):
+        raw = Counter()
+        for t in texts:
+            for w in t.split():
+                s = f"{kneser_ney.BOS}{w}{kneser_ney.EOS}"
+                for end in range(2, len(s) + 1):
+                    for n in range(1, min(order, end) + 1):
+                        raw[s[end - n : end]] += 1
+        before = Counter(g[1:] for g in raw if len(g) > 1)
+        self.a = {g: c if len(g) == order or g[0] == kneser_ney.BOS else before.get(g, c) for g, c in raw.items()}
+        self.followers, self.d = defaultdict(list), {}
+        for g in self.a:
+            self.followers[g[:-1]].append(g)
+        for n in range(1, order + 1):
+            k = [sum(len(g) == n and c == i for g, c in self.a.items()) for i in range(5)]
+            y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0
+            self.d[n] = [min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.05 * i), 0.95 * i) if k[i] and k[1] else 0.5 * i for i in (1, 2, 3)]
+
+    def off(self, g):
+        return min(self.d[len(g)][min(self.a[g], 3) - 1], self.a[g])
+
+    def p(self, ctx, x):
+        some = self.followers.get(ctx)
+        low = self.p(ctx[1:], x) if ctx else kneser_ney.FLOOR
+        if not some:
+            return low
+        g, total = ctx + x, sum(self.a[f] for f in some)
+        own = self.a[g] - self.off(g) if g in self.a else 0
+        return own / total + sum(map(self.off, some)) / total * low
+
+
+def test_model_and_perplexity_against_a_plain_one(spark):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 40), "xx", "a") for i in range(120)] + [(200, "unseen: qwé kalo", "xx", "a"), (200, "unseen: qwé kalo", "xx", "a"), (0, None, "xx", "a")]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    trained = {r["doc_id"] for r in kneser_ney.trusted_ids(labels, kneser_ney.TRAIN_DOCS)[0].collect()}
+    model = PlainKneserNey([t for i, t, *_ in rows if i in trained and t], kneser_ney.ORDER)
+    want = []
+    for i, t, *_ in rows:
+        total = n = 0
+        for w in (t or "").split():
+            s = f"{kneser_ney.BOS}{w}{kneser_ney.EOS}"
+            for at in range(1, len(s)):
+                total, n = total + np.log10(model.p(s[max(0, at - kneser_ney.ORDER + 1) : at], s[at])), n + 1
+        want.append((i, n, round(float(total), 6)))
+    for most in (10**6, 0):  # the model sent, and joins only: one row for each row, repeated ones too
+        got = [(r["id"], r["tokens"] or 0, round(r["log10"] or 0, 6)) for r in kneser_ney.figures(docs, labels, max_grams=most)[0].collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_probabilities_sum_to_one(spark):
     rng = random.Random(6)
     docs = spark.createDataFrame([("l", prose(rng, 400))], "lang string, text string")

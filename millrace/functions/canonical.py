@@ -1,11 +1,13 @@
 """Canonical values and hashes: equal across engines wherever the values mean the same.
 
 Text loses trailing spaces (CHAR padding), a date is the timestamp of its midnight, true is 1, floats are rounded to six
-digits; a null differs from empty text. Fields are length-prefixed, so no two rows share an encoding.
+digits, from ``BIG`` on they have ten digits and an exponent; NaN, the infinities and null all differ; a null differs from
+empty text. Fields are length-prefixed, so no two rows share an encoding.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 #: Types that a checksum leaves out by default, because engines hand them over by reference.
 LARGE = (T.BinaryType,)
+BIG = 1e15
 
 
 def canonical(col: Column, kind: T.DataType) -> Column:
@@ -21,7 +24,10 @@ def canonical(col: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
         return col.cast("int").cast("string")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.round(col, 6).cast("decimal(38,6)").cast("string")
+        x = col.cast("double")
+        plain = F.when(F.abs(x) < BIG, F.round(x, 6)).cast("decimal(38,6)").cast("string")
+        odd = F.when(F.isnan(x), "NaN").when(F.abs(x) == math.inf, F.when(x > 0, "Infinity").otherwise("-Infinity"))
+        return F.when(x.isNotNull(), F.coalesce(odd, plain, F.format_string("%.9e", x)))
     if isinstance(kind, T.DecimalType):
         return F.regexp_replace(F.regexp_replace(col.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):

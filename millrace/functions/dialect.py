@@ -5,25 +5,29 @@ Where Spark has the function with the same meaning, use Spark's. Here are those
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Date parts and their aliases. Fixed values.
-PARTS = {p: unit for unit, names in {"YEAR": "year yy yyyy", "QUARTER": "quarter qq q", "MONTH": "month mm m", "DAY": "day dd d", "WEEK": "week wk ww", "HOUR": "hour hh", "MINUTE": "minute mi n", "SECOND": "second ss s"}.items() for p in names.split()}
-#: Tokens of date masks and their patterns, longest first. Fixed values.
-MASKS = [("YYYY", "yyyy"), ("MONTH", "MMMM"), ("HH24", "HH"), ("HH12", "hh"), ("MON", "MMM"), ("DAY", "EEEE"), ("DDD", "DDD"), ("YY", "yy"), ("MM", "MM"), ("DD", "dd"), ("HH", "hh"), ("MI", "mm"), ("SS", "ss"), ("DY", "EEE"), ("AM", "a"), ("PM", "a")]
+PARTS = {
+    "year": "YEAR", "yy": "YEAR", "yyyy": "YEAR", "quarter": "QUARTER", "qq": "QUARTER", "q": "QUARTER", "month": "MONTH", "mm": "MONTH", "m": "MONTH",
+    "dayofyear": "DAYOFYEAR", "dy": "DAYOFYEAR", "y": "DAYOFYEAR", "day": "DAY", "dd": "DAY", "d": "DAY", "week": "WEEK", "wk": "WEEK", "ww": "WEEK",
+    "weekday": "DAYOFWEEK", "dw": "DAYOFWEEK", "hour": "HOUR", "hh": "HOUR", "minute": "MINUTE", "mi": "MINUTE", "n": "MINUTE", "second": "SECOND", "ss": "SECOND", "s": "SECOND",
+    "millisecond": "MILLISECOND", "ms": "MILLISECOND", "microsecond": "MICROSECOND", "mcs": "MICROSECOND",
+}
+#: Tokens of date masks and their patterns. Fixed values.
+MASKS = {
+    "YYYY": "yyyy", "RRRR": "yyyy", "YY": "yy", "RR": "yy", "MONTH": "MMMM", "MON": "MMM", "MM": "MM", "DAY": "EEEE", "DY": "EEE", "DDD": "DDD", "DD": "dd",
+    "HH24": "HH", "HH12": "hh", "HH": "hh", "MI": "mm", "SS": "ss", "AM": "a", "PM": "a",
+}
+TOKEN = re.compile("|".join(sorted(MASKS, key=len, reverse=True)) + "|[A-Z]", re.IGNORECASE)
 
 
 def pattern(mask: str) -> str:
-    """A date mask as a date pattern."""
-    out, i = "", 0
-    while i < len(mask):
-        found = next(((m, p) for m, p in MASKS if mask[i : i + len(m)].upper() == m), None)
-        if found:
-            out, i = out + found[1], i + len(found[0])
-        else:
-            out, i = out + (f"'{mask[i]}'" if mask[i].isalpha() else mask[i]), i + 1
-    return out
+    """A date mask as a date pattern; letters that are no token stand for themselves."""
+    return TOKEN.sub(lambda m: MASKS.get(m[0].upper(), f"'{m[0]}'"), mask)
 
 
 def decode(value: Column, *pairs: Column) -> Column:
@@ -35,7 +39,12 @@ def decode(value: Column, *pairs: Column) -> Column:
 
 
 def instr(text: Column, part: Column, start: int = 1, nth: int = 1) -> Column:
-    """The place of the nth occurrence at or after start, else 0."""
+    """The place of the nth occurrence at or after start, else 0; a start below 0 counts from the end and searches backwards."""
+    if start < 0:
+        at = F.call_function("locate", F.reverse(part), F.reverse(text), F.greatest(F.lit(1), F.lit(1 - start) - F.char_length(part)))
+        for _ in range(nth - 1):
+            at = F.when(at > 0, F.call_function("locate", F.reverse(part), F.reverse(text), at + 1)).otherwise(0)
+        return F.when(at > 0, F.char_length(text) - at - F.char_length(part) + 2).otherwise(at)
     at = F.call_function("locate", part, text, F.lit(start))
     for _ in range(nth - 1):
         at = F.when(at > 0, F.call_function("locate", part, text, at + 1)).otherwise(0)
@@ -61,8 +70,10 @@ def choose(index: Column, *values: Column) -> Column:
 
 
 def trunc_number(x: Column, digits: int = 0) -> Column:
-    """Towards zero at so many decimals."""
-    return F.signum(x) * F.floor(F.abs(x) * 10**digits) / 10**digits
+    """Towards zero at so many decimals, cut from the decimal digits; numbers too large for them have no decimals to cut."""
+    exact = x.try_cast("decimal(38,15)")
+    cut = F.when(exact < 0, F.ceil(exact, F.lit(digits))).otherwise(F.floor(exact, F.lit(digits)))
+    return F.coalesce(cut.cast("double"), x.cast("double"))
 
 
 def add_months(d: Column, n: int) -> Column:
@@ -79,22 +90,32 @@ def date_diff(part: str, a: Column, b: Column) -> Column:
         n = 3 if unit == "QUARTER" else 1
         per = F.quarter if unit == "QUARTER" else F.month
         return (F.year(b) - F.year(a)) * (12 // n) + per(b) - per(a)
-    if unit == "DAY":
+    if unit in ("DAY", "DAYOFYEAR", "DAYOFWEEK"):
         return F.datediff(b.cast("date"), a.cast("date"))
     if unit == "WEEK":  # weeks begin on Sunday
         sunday = lambda d: F.date_sub(d.cast("date"), F.dayofweek(d) - 1)
         return (F.datediff(sunday(b), sunday(a)) / 7).cast("int")
+    if unit in ("MILLISECOND", "MICROSECOND"):
+        micros = lambda d: F.unix_micros(d.cast("timestamp"))
+        n = 1000 if unit == "MILLISECOND" else 1
+        return F.floor(micros(b) / n).cast("long") - F.floor(micros(a) / n).cast("long") if n > 1 else micros(b) - micros(a)
     seconds = {"HOUR": 3600, "MINUTE": 60, "SECOND": 1}[unit]
     at = lambda d: F.unix_seconds(F.date_trunc(unit, d).cast("timestamp"))
     return ((at(b) - at(a)) / seconds).cast("long")
 
 
 def date_add(part: str, n: int, d: Column) -> Column:
-    return F.timestamp_add(PARTS[part.lower()], F.lit(n), d)
+    unit = PARTS[part.lower()]
+    return F.timestamp_add("DAY" if unit in ("DAYOFYEAR", "DAYOFWEEK") else unit, F.lit(n), d)
 
 
 def date_part(part: str, d: Column) -> Column:
-    return F.extract(F.lit(PARTS[part.lower()]), d)
+    """A part of a date; weekdays count from Sunday, 1, and fractions of a second are those beyond it."""
+    unit = PARTS[part.lower()]
+    if unit in ("MILLISECOND", "MICROSECOND"):
+        micros = F.pmod(F.unix_micros(d.cast("timestamp")), F.lit(1_000_000))
+        return F.floor(micros / 1000).cast("long") if unit == "MILLISECOND" else micros
+    return F.extract(F.lit({"DAYOFYEAR": "DOY", "DAYOFWEEK": "DAYOFWEEK"}.get(unit, unit)), d)
 
 
 def to_char(d: Column, mask: str) -> Column:

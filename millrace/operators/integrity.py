@@ -37,18 +37,25 @@ def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
 
 
 def diagnose(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
-    """One row: orphans, child and parent rows, and whether the parent looks as if it was never loaded."""
-    lost = orphans(child, parent, fk).agg(F.count("*").alias("orphan_rows"))
-    out = lost.join(child.agg(F.count("*").alias("child_rows"))).join(parent.agg(F.count("*").alias("parent_rows")))  # one row each
+    """One row: orphans, child and parent rows, and whether the parent looks as if it was never loaded.
+
+    The child is counted by key before it meets the parents, so it is read once and a frequent or null key is one row.
+    """
+    counts = child.groupBy(*fk.child).agg(F.count("*").alias("__n"))
+    keys = parent.select(*(F.col(p).alias(f"__p{i}") for i, p in enumerate(fk.parent))).distinct()
+    met = counts.join(keys, [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(fk.child)], "left")
+    lost = F.sum(F.when(F.col("__p0").isNull() & _whole(fk), F.col("__n")).otherwise(0))
+    out = met.agg(F.coalesce(lost, F.lit(0)).alias("orphan_rows"), F.coalesce(F.sum("__n"), F.lit(0)).alias("child_rows")).join(parent.agg(F.count("*").alias("parent_rows")))  # one row each
     return out.select(F.lit(fk.name).alias("fk"), "orphan_rows", "child_rows", "parent_rows", ((F.col("parent_rows") == 0) & (F.col("child_rows") > 0)).alias("parent_looks_empty"))
 
 
 def null_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
-    """child with every key column of its orphans set to null."""
+    """child with every key column of its orphans set to null. Rows with a null in the key take no part in the join."""
     keys = parent.select(*(F.col(p).alias(f"__p{i}") for i, p in enumerate(fk.parent))).distinct()
     on = [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(fk.child)]
-    lost = F.col("__p0").isNull() & _whole(fk)
-    return child.join(keys, on, "left").select(*(F.when(lost, None).otherwise(F.col(c)).alias(c) if c in fk.child else F.col(c) for c in child.columns))
+    lost = F.col("__p0").isNull()
+    met = child.filter(_whole(fk)).join(keys, on, "left").select(*(F.when(lost, None).otherwise(F.col(c)).alias(c) if c in fk.child else F.col(c) for c in child.columns))
+    return met.unionByName(child.filter(~_whole(fk)))
 
 
 def delete_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:

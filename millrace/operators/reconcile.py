@@ -14,15 +14,19 @@ from pyspark.sql import types as T
 from ..functions.canonical import LARGE, canonical, row_hash
 
 
-def checksum(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[Column | str] = ()) -> DataFrame:
-    """Rows, XOR and sum of the row hashes, of df or by group. Shards' figures combine by sum, XOR and sum.
+def hashed_columns(df: DataFrame) -> list[str]:
+    """The columns that a checksum covers by default."""
+    return [f.name for f in df.schema if not isinstance(f.dataType, LARGE)]
+
+
+def totals(hash_: str = "__h") -> list[Column]:
+    """Rows, XOR and sum of row hashes. XOR alone would miss a pair of equal rows, hence the sum beside it."""
+    return [F.count("*").alias("row_count"), F.coalesce(F.bit_xor(hash_), F.lit(0)).alias("hash_xor"), F.coalesce(F.sum(F.col(hash_) % (1 << 31)), F.lit(0)).alias("hash_sum")]
 
-    XOR alone would miss a pair of equal rows, hence the sum beside it.
-    """
-    names = columns or [f.name for f in df.schema if not isinstance(f.dataType, LARGE)]
-    hashed = df.withColumn("__h", row_hash(df, names))
-    total = [F.count("*").alias("row_count"), F.coalesce(F.bit_xor("__h"), F.lit(0)).alias("hash_xor"), F.coalesce(F.sum(F.col("__h") % (1 << 31)), F.lit(0)).alias("hash_sum")]
-    return hashed.groupBy(*by).agg(*total)
+
+def checksum(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[Column | str] = ()) -> DataFrame:
+    """Rows, XOR and sum of the row hashes, of df or by group. Shards' figures combine by sum, XOR and sum."""
+    return df.withColumn("__h", row_hash(df, columns or hashed_columns(df))).groupBy(*by).agg(*totals())
 
 
 def combine_checksums(shards: DataFrame, by: Sequence[str] = (), ok: str | None = None) -> DataFrame:
@@ -54,26 +58,25 @@ def _met(a: str, b: str, keys: Sequence[str]) -> Column:
     return out
 
 
-def diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """The keys of rows to insert, update or delete in target, with the action. Null keys meet null keys."""
+def diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, deletes: bool = True) -> DataFrame:
+    """The keys of rows to insert, update or (with deletes) delete in target, with the action. Null keys meet null keys."""
     names = list(columns or source.columns)
     s = _keyed(source.withColumn("__h", row_hash(source, names)), keys).withColumn("__here", F.lit(1)).alias("s")
     t = _keyed(target.withColumn("__h", row_hash(target, names)), keys).withColumn("__here", F.lit(1)).alias("t")
-    both = s.join(t, _met("s", "t", keys), "full")
+    both = s.join(t, _met("s", "t", keys), "full" if deletes else "left")
     action = F.when(F.col("t.__here").isNull(), "insert").when(F.col("s.__here").isNull(), "delete").when(F.col("s.__h") != F.col("t.__h"), "update")
     return both.select(*(F.coalesce(F.col(f"s.`{k}`"), F.col(f"t.`{k}`")).alias(k) for k in keys), action.alias("action")).filter("action is not null")
 
 
 def apply_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], deletes: bool = True) -> DataFrame:
-    """target after its synchronisation with source: the next snapshot."""
-    s, t = _keyed(source, keys).withColumn("__here", F.lit(1)).alias("s"), _keyed(target, keys).alias("t")
-    out = s.join(t, _met("s", "t", keys), "left" if deletes else "full")
-    return out.select(*(F.when(F.col("s.__here") == 1, F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) for c in target.columns))
+    """target after its synchronisation with source: the next snapshot. With deletes that is the source; without, also the rows of keys that it lacks."""
+    fresh = source.select(*(F.col(f"`{c}`") for c in target.columns))
+    return fresh if deletes else fresh.unionByName(keys_missing(target, source, keys))
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """target with the rows of changes put in by key; with key columns only, existing rows stay as they are."""
-    return apply_diff(changes.select(*target.columns), target, keys, deletes=False)
+    """target with the rows of changes put in by key, in place of all rows of that key; with key columns only, existing rows stay as they are."""
+    return apply_diff(changes, target, keys, deletes=False)
 
 
 def keys_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:

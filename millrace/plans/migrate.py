@@ -7,10 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.reconcile import validate
+from ..functions.canonical import row_hash
+from ..operators.reconcile import checksum, hashed_columns, totals
 from ..operators.schemas import missing_columns, waves
 from ..sources.tables import append
 
@@ -35,15 +36,20 @@ def dry_run(source: DataFrame, target: DataFrame | None, table: str) -> DataFram
 
 
 def migrate(source: DataFrame, path: str, table: str, convert: Mapping[str, Column] | None = None, kind: str = "parquet") -> Moved:
-    """Copies a table, reads it back and compares counts and checksums with the source."""
+    """Copies a table, reads it back and compares counts and checksums; the source's are taken while it is written, in one scan."""
     df = source.withColumns(dict(convert)) if convert else source
-    before = append(df, path, kind)
+    seen = Observation()
+    names = hashed_columns(df)
+    watched = df.withColumn("__h", row_hash(df, names)).observe(seen, *totals()).drop("__h")
+    before = append(watched, path, kind)
     there = df.sparkSession.read.format(kind).load(path)
+    mine = seen.get
     if before:
         n = there.count()
-        return Moved(table, n - before, before, n - before == df.count(), "rows were added to others: counts are compared")
-    r = validate(df, there.select(*df.columns)).first()
-    return Moved(table, r["target_row_count"], 0, r["same_content"], "" if r["same_content"] else "counts or checksums differ")
+        return Moved(table, n - before, before, n - before == mine["row_count"], "rows were added to others: counts are compared")
+    r = checksum(there.select(*df.columns), names).first().asDict()
+    same = all(r[k] == mine[k] for k in r)
+    return Moved(table, r["row_count"], 0, same, "" if same else "counts or checksums differ")
 
 
 def migrate_schema(spark: SparkSession, tables: Iterable[str], references: Mapping[str, Iterable[str]], read: Callable[[str], DataFrame], path: Callable[[str], str], at_once: int = 4) -> list[Moved]:

@@ -1,6 +1,6 @@
 """A copy in shards that can go on where it was stopped.
 
-A shard is written to a folder of its own, overwritten on a second try, and counts once its line is in the manifest. So a
+Shards are written to folders of their own, overwritten on a second try, and count once their lines are in the manifest. So a
 copy that is run again moves only what is missing. Checksums of another algorithm are dropped, the progress stays.
 """
 
@@ -12,14 +12,19 @@ import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.reconcile import checksum
+from ..operators.reconcile import checksum, hashed_columns
 from ..operators.shards import Shard
 
 ALGORITHM = "md5-60/1"
-ATTEMPTS, FIRST, LONGEST = 3, 0.5, 8.0
+ATTEMPTS, FIRST, LONGEST, AT_ONCE = 3, 0.5, 8.0, 64
 #: Parts of messages of errors that may pass. Fixed values.
-TRANSIENT = ("connection reset", "connection refused", "connection closed", "broken pipe", "timed out", "timeout", "deadlock", "lock wait", "too many connections", "temporarily unavailable", "server closed", "communication link")
+TRANSIENT = (
+    "connection reset", "connection refused", "connection reset by peer", "timeout", "timed out", "deadlock", "lock wait", "try again", "temporary failure", "broken pipe",
+    "server closed the connection", "connection already closed", "could not connect", "network error", "connection is closed", "connection lost", "server has gone away",
+    "communication link failure", "closed the connection", "not connected to database", "dpy-4011", "dpy-1001", "connection is lost",
+)
 
 
 def copy_id(*parts: str) -> str:
@@ -48,19 +53,27 @@ def done(df: DataFrame, path: str) -> dict[str, dict]:
     return {x["shard"]: x for x in (json.loads(r["value"]) for r in lines)}
 
 
-def copy_shards(df: DataFrame, key: str, shards: Sequence[Shard], path: str) -> list[dict]:
-    """Copies the shards that are missing under path and returns the manifest: rows and checksum of each shard."""
+def copy_shards(df: DataFrame, key: str, shards: Sequence[Shard], path: str, at_once: int = AT_ONCE) -> list[dict]:
+    """Copies the shards that are missing under path and returns the manifest: rows and checksum of each shard.
+
+    One scan writes `at_once` shards, each to a folder of its own, and one job checks them; so a stopped copy loses that many.
+    """
     spark, there = df.sparkSession, done(df, path)
-    for i, s in enumerate(shards):
-        if s.name in there:
-            continue
-        part = df.filter(f"({s.predicate(key)})" + (f" OR {key} IS NULL" if i == 0 else ""))
-        folder = f"{path}/shard={i}"
-        retried(lambda part=part, folder=folder: part.write.mode("overwrite").parquet(folder))
-        sums = checksum(spark.read.schema(df.schema).parquet(folder)).first().asDict()
-        line = json.dumps({"shard": s.name, "algorithm": ALGORITHM} | sums)
-        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{path}/_manifest")
-        there[s.name] = json.loads(line)
+    missing = [(i, s) for i, s in enumerate(shards) if s.name not in there]
+    for start in range(0, len(missing), at_once):
+        some = missing[start : start + at_once]
+        index = F.lit(None).cast("int")
+        for i, s in reversed(some):
+            index = F.when(F.expr(f"({s.predicate(key)})" + (f" OR {key} IS NULL" if i == 0 else "")), i).otherwise(index)
+        part = df.withColumn("__shard", index).filter("__shard IS NOT NULL")
+        folder = f"{path}/group={some[0][0]}-{some[-1][0]}"
+        retried(lambda part=part, folder=folder: part.write.mode("overwrite").partitionBy("__shard").parquet(folder))
+        wrote = spark.read.schema(part.schema).parquet(folder)
+        sums = {r["__shard"]: r.asDict() for r in checksum(wrote, hashed_columns(df), ["__shard"]).collect()}  # a row for each shard
+        none = {"row_count": 0, "hash_xor": 0, "hash_sum": 0}
+        lines = [{"shard": s.name, "folder": f"{folder}/__shard={i}", "algorithm": ALGORITHM} | {k: sums.get(i, none)[k] for k in none} for i, s in some]
+        spark.createDataFrame([(json.dumps(x),) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{path}/_manifest")
+        there |= {x["shard"]: x for x in lines}
     return [x if x["algorithm"] == ALGORITHM else {k: v for k, v in x.items() if not k.startswith("hash_")} for x in there.values()]
 
 

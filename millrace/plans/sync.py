@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.reconcile import apply_diff, diff, keys_missing, next_mark, since, upsert
+from ..session import kept
 
 #: Names of columns that hold the time of the last change, the most trusted first.
 CHANGE_NAMES = [
@@ -61,11 +62,11 @@ def sync(source: DataFrame, target: DataFrame, plan: SyncPlan, mark: str | None
         new = spark.createDataFrame([(mark,)], "mark string")
     else:
         fresh = since(source, plan.change, mark)
-        changes = diff(fresh, target, plan.keys).filter("action <> 'delete'")
+        changes = diff(fresh, target, plan.keys, deletes=False)
         after = upsert(target, fresh, plan.keys)
         if deletes:
-            gone = keys_missing(target, source, plan.keys)
-            changes = changes.unionByName(gone.select(*plan.keys, F.lit("delete").alias("action")))
+            gone = kept(keys_missing(target, source, plan.keys).select(*plan.keys), "gone")
+            changes = changes.unionByName(gone.withColumn("action", F.lit("delete")))
             after = keys_missing(after, gone, plan.keys)
         new = next_mark(fresh, plan.change, mark)
     return after, changes.groupBy("action").agg(F.count("*").alias("row_count")), new

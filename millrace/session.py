@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +17,10 @@ def session(name: str = "millrace", **settings: str) -> SparkSession:
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -26,5 +30,22 @@ def folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads all see the same rows."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if SCOPES:
+        SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables kept within the block are deleted at its end; what is to outlive it must be written elsewhere by then."""
+    SCOPES.append([])
+    try:
+        yield
+    finally:
+        conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        for p in map(path, SCOPES.pop()):
+            p.getFileSystem(conf).delete(p, True)

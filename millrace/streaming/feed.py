@@ -12,26 +12,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..operators.reconcile import delete_by_keys, latest, next_mark, upsert
 
 
-def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column], op: str | None = None, delete: str = "d") -> DataFrame:
-    """target after a set of changes: the last of each key counts, deletes remove."""
+def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column], op: str | None = None, delete: str = "d", change: str | None = None) -> DataFrame:
+    """target after a set of changes: the last of each key counts, deletes remove.
+
+    With `change`, a column of both, a late change does not overwrite a row of the target that is newer. A row that was
+    deleted keeps no time, so a change that comes after its deletion brings it back.
+    """
     last = latest(changes, keys, *order)
+    if change:
+        newer = target.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.max(change).alias("__at"))
+        met = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        last = last.join(newer, [*met, F.col("__at") > F.col(change)], "left_anti")
     if op is None:
         return upsert(target, last.select(*target.columns), keys)
     gone = last.filter(F.col(op) == delete)
     return upsert(delete_by_keys(target, gone, keys), last.filter(F.col(op) != delete), keys)
 
 
-def captured(messages: DataFrame, row: str, value: str = "value") -> DataFrame:
-    """Change messages (JSON with before, after, op and ts_ms) as rows: the row's columns, op (i, u or d) and ts."""
+def captured(messages: DataFrame, row: str, value: str = "value", place: str | None = None) -> DataFrame:
+    """Change messages (JSON with before, after, op and ts_ms) as rows: the row's columns, op (i, u or d) and ts.
+
+    place: a column with the message's position, such as its offset; kept, it orders changes of one millisecond.
+    """
     m = F.from_json(F.col(value).cast("string"), f"before struct<{row}>, after struct<{row}>, op string, ts_ms bigint")
-    parts = messages.select(m.alias("m")).filter("m.op is not null").select(F.when(F.col("m.op") == "d", F.col("m.before")).otherwise(F.col("m.after")).alias("r"), "m.op", "m.ts_ms")
-    return parts.select("r.*", F.when(F.col("op") == "d", "d").when(F.col("op") == "u", "u").otherwise("i").alias("op"), F.timestamp_millis("ts_ms").cast("timestamp_ntz").alias("ts"))
+    parts = messages.select(m.alias("m")).filter("m.op is not null").select(F.when(F.col("m.op") == "d", F.col("m.before")).otherwise(F.col("m.after")).alias("r"), "m.op", "m.ts_ms", *([place] if place else []))
+    return parts.select("r.*", *([place] if place else []), F.when(F.col("op") == "d", "d").when(F.col("op") == "u", "u").otherwise("i").alias("op"), F.timestamp_millis("ts_ms").cast("timestamp_ntz").alias("ts"))
 
 
 def lag(df: DataFrame, change: str, now: Column | None = None) -> DataFrame:
@@ -41,10 +53,13 @@ def lag(df: DataFrame, change: str, now: Column | None = None) -> DataFrame:
 
 
 class Snapshots:
-    """Versions of a table under one folder; a version counts once its pointer is written."""
+    """Versions of a table under one folder, in buckets of keys; a version counts once its pointer is written.
+
+    A commit writes only the buckets that changed; the pointer names the folder of each bucket.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _pointers(self) -> list[dict]:
         files = self.spark.read.option("pathGlobFilter", "*").text(f"{self.path}/_versions")
@@ -58,29 +73,45 @@ class Snapshots:
                 return None
             raise
 
-    def read(self) -> DataFrame | None:
-        now = self.current()
-        return self.spark.read.parquet(f"{self.path}/{now['folder']}") if now else None
+    def bucket(self, keys: Sequence[str]) -> Column:
+        """Keys of one value are in one bucket, whatever their integral type."""
+        return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(self.buckets)).cast("int")
 
-    def commit(self, df: DataFrame, batch: int, mark: str | None) -> None:
-        folder = f"v{batch:012d}"
-        df.write.mode("overwrite").parquet(f"{self.path}/{folder}")
-        pointer = json.dumps({"batch": batch, "folder": folder, "mark": mark})
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame | None:
+        """The current version, or some of its buckets; None if nothing was ever committed."""
+        now = self.current()
+        if not now:
+            return None
+        schema = T.StructType.fromJson(now["schema"])
+        paths = [f"{self.path}/{f}/__bucket={b}" for b, f in now["folders"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def commit(self, df: DataFrame, batch: int, mark: str | None, keys: Sequence[str], touched: Sequence[int] | None = None) -> None:
+        """df holds the rows of the touched buckets (None: of all)."""
+        now, folder = self.current(), f"v{batch:012d}"
+        df.withColumn("__bucket", self.bucket(keys)).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        schema = T.StructType([*df.schema.fields, T.StructField("__bucket", T.IntegerType())])
+        full = {r[0] for r in self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").select("__bucket").distinct().collect()}  # a row for each bucket
+        old = {b: f for b, f in (now["folders"] if now else {}).items() if touched is not None and int(b) not in touched}
+        pointer = json.dumps({"batch": batch, "folders": old | {str(b): folder for b in sorted(full)}, "mark": mark, "schema": df.schema.jsonValue()})
         self.spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_versions")
 
 
-def run_feed(stream: DataFrame, snapshots: Snapshots, keys: Sequence[str], change: str, checkpoint: str, op: str | None = None) -> DataStreamWriter:
-    """A writer that applies each micro-batch; start it with a trigger of choice."""
+def run_feed(stream: DataFrame, snapshots: Snapshots, keys: Sequence[str], change: str, checkpoint: str, op: str | None = None, place: str | None = None) -> DataStreamWriter:
+    """A writer that applies each micro-batch; start it with a trigger of choice. Changes are ordered by `change`, then `place`."""
 
     def step(batch: DataFrame, number: int) -> None:
         now = snapshots.current()
         if now and now["batch"] >= number:  # a restart after the commit
             return
-        before = snapshots.read()
-        base = before if before is not None else batch.drop(*([op] if op else [])).limit(0)
-        mark = next_mark(batch, change, now["mark"] if now else None).first()["mark"]
+        touched = [r[0] for r in batch.select(snapshots.bucket(keys)).distinct().collect()]  # a row for each bucket
+        before = snapshots.read(touched)
+        base = before if before is not None else batch.drop(*filter(None, (op, place))).limit(0)
         old = now["mark"] if now else None
-        snapshots.commit(apply_changes(base, batch, keys, [F.col(change)], op), number, max(filter(None, (mark, old)), default=None))
+        mark = next_mark(batch, change, old).first()["mark"]
+        order = [F.col(c) for c in (change, place) if c]
+        after = apply_changes(base, batch, keys, order, op, change=change)
+        snapshots.commit(after, number, max(filter(None, (mark, old)), default=None), keys, touched)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 

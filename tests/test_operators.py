@@ -283,3 +283,93 @@ def test_feed_applies_each_change_once(spark, tmp_path):
     run()
     assert {(r.id, r.v) for r in out.read().collect()} == {(1, "b"), (3, "y"), (4, "z")}
     assert out.current()["mark"] == "2024-01-05 00:00:00"
+
+
+def test_checksums_tell_odd_numbers_apart(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), None, 0.0, 1e33, -1e33, 1.7e308, 2e15, 12.3456785]
+    frames = [spark.createDataFrame([(v,)], "x double") for v in odd]
+    assert len({one(reconcile.checksum(f))["hash_xor"] for f in frames}) == len(odd)
+    assert one(reconcile.validate(frames[0], frames[3]))["same_content"] is False
+
+
+def test_repeated_target_keys_are_replaced_once(spark):
+    target = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "id int, v string")
+    new = spark.createDataFrame([(1, "x"), (3, "y")], "id long, v string")
+    got = sorted((r.id or 0, r.v) for r in reconcile.upsert(target, new, ["id"]).collect())
+    assert got == [(0, "d"), (1, "x"), (2, "c"), (3, "y")]
+    assert sorted((r.id, r.v) for r in reconcile.apply_diff(new, target, ["id"]).collect()) == [(1, "x"), (3, "y")]
+
+
+def test_numbers_are_cut_in_decimals(spark):
+    rows = spark.createDataFrame([(4.35,), (0.29,), (-4.359,), (1e30,), (None,)], "x double")
+    assert [r[0] for r in rows.select(dialect.trunc_number(F.col("x"), 2)).collect()] == [4.35, 0.29, -4.35, 1e30, None]
+    assert rows.limit(1).select(dialect.trunc_number(F.lit(1234.5), -2)).first()[0] == 1200.0
+
+
+@given(st.text("AB", max_size=8), st.text("AB", min_size=1, max_size=2), st.integers(-6, -1), st.integers(1, 3))
+@settings(max_examples=12, deadline=None)
+def test_instr_backwards(spark, text, part, start, nth):
+    got = spark.range(1).select(dialect.instr(F.lit(text), F.lit(part), start, nth)).first()[0]
+    places = [p for p in range(len(text) + start + 1, 0, -1) if text[p - 1 : p - 1 + len(part)] == part]
+    assert got == (places[nth - 1] if len(places) >= nth else 0)
+
+
+def test_date_parts_and_masks(spark):
+    t = F.lit("2024-03-10 11:12:13.456789").cast("timestamp_ntz")
+    parts = spark.range(1).select(*(dialect.date_part(p, t).cast("long").alias(p) for p in ("dy", "dw", "ms", "mcs", "qq", "wk"))).first().asDict()
+    assert parts == {"dy": 70, "dw": 1, "ms": 456, "mcs": 456789, "qq": 1, "wk": 10}
+    later = spark.range(1).select(dialect.date_add("ms", 5, t).cast("string"), dialect.date_add("dy", 1, t).cast("string"), dialect.date_diff("mcs", t, dialect.date_add("ms", 5, t))).first()
+    assert tuple(later) == ("2024-03-10 11:12:13.461789", "2024-03-11 11:12:13.456789", 5000)
+    assert dialect.pattern("RRRR-MM-DD HH24:MI:SS") == "yyyy-MM-dd HH:mm:ss" and dialect.pattern("ddTmonth") == "dd'T'MMMM"
+
+
+def test_late_changes_and_ties_in_a_feed(spark):
+    cols = "id int, v string, ts timestamp_ntz"
+    day = lambda d: dt.datetime(2024, 1, d)
+    target = spark.createDataFrame([(1, "new", day(9)), (2, "old", day(1))], cols)
+    changes = spark.createDataFrame([(1, "late", day(5), "u", 1), (2, "b", day(3), "u", 7), (2, "a", day(3), "u", 6), (3, "z", day(2), "i", 2)], f"{cols}, op string, place long")
+    got = feed.apply_changes(target, changes, ["id"], [F.col("ts"), F.col("place")], "op", change="ts")
+    assert sorted((r.id, r.v) for r in got.collect()) == [(1, "new"), (2, "b"), (3, "z")]
+    message = spark.createDataFrame([('{"op": "c", "after": {"id": 1}, "ts_ms": 5}', 42)], "value string, offset long")
+    assert one(feed.captured(message, "id int", place="offset"))["offset"] == 42
+
+
+def test_snapshots_rewrite_touched_buckets_only(spark, tmp_path):
+    snapshots = feed.Snapshots(spark, str(tmp_path / "s"), buckets=8)
+    rows = spark.range(40).select("id", F.lit("a").alias("v"))
+    snapshots.commit(rows, 0, None, ["id"])
+    hit = one(spark.range(1).select(snapshots.bucket(["id"]).alias("b")))["b"]
+    before = snapshots.current()["folders"]
+    snapshots.commit(snapshots.read([hit]).filter("id <> 0"), 1, None, ["id"], [hit])
+    after = snapshots.current()["folders"]
+    assert {b for b in after if after[b] != before.get(b)} <= {str(hit)}
+    assert sorted(r.id for r in snapshots.read().collect()) == list(range(1, 40))
+
+
+def test_tables_of_a_scope_are_deleted(spark):
+    import os
+
+    from millrace.session import kept, scratch
+
+    with scratch(spark):
+        path = kept(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_jdbc_options_and_predicates(spark, monkeypatch):
+    from pyspark.sql import DataFrameReader, DataFrameWriter
+
+    calls = []
+    monkeypatch.setattr(DataFrameReader, "jdbc", lambda self, url, table, **kw: calls.append((url, table, kw)) or spark.range(1))
+    monkeypatch.setattr(DataFrameWriter, "jdbc", lambda self, url, table, **kw: calls.append((url, table, kw)))
+    cut, _ = shards.plan_shards(2_000_000, ["id"], ["number"], (1, 2_000_000), 2)
+    tables.read_jdbc(spark, "jdbc:postgresql://h/d", "t", "id", cut, user="u")
+    _, _, kw = calls[-1]
+    assert len(kw["predicates"]) == len(cut) and kw["predicates"][0].endswith("OR id IS NULL") and kw["properties"] == {"fetchsize": "5000", "user": "u"}
+    tables.read_jdbc(spark, "jdbc:mysql://h/d", "t")
+    assert "predicates" not in calls[-1][2]
+    with pytest.raises(ValueError):
+        tables.read_jdbc(spark, "jdbc:h2:mem", "t")
+    tables.write_jdbc(spark.range(1), "jdbc:mysql://h/d", "t", "mysql")
+    assert calls[-1][2]["mode"] == "append" and calls[-1][2]["properties"]["batchsize"] == "5000"

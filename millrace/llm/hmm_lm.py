@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import chosen, chunks, read, saved
 
 STATES, HEAD, TURNS, SAMPLE_TURNS, SAMPLE_DOCS = 8, 65_536, 2, 8, 2_000
-MIX, BLOCK, FLUSH = 0.02, 2_048, 400_000
+MIX, BLOCK, FLUSH, FAN = 0.02, 2_048, 400_000, 64
 LANES = 500_000  # tokens worked on at a time
 
 
@@ -117,7 +117,7 @@ def expected(model: Model, symbols: np.ndarray, first: np.ndarray) -> tuple[np.n
 
 
 def reestimated(corpus: DataFrame, model: Model, share: np.ndarray) -> tuple[Model, float]:
-    """One Baum-Welch turn. corpus: (symbols array<int>)."""
+    """One Baum-Welch turn, and the tokens it saw. corpus: (symbols array<int>)."""
     k, v = model.states, len(model.emit)
     sent = corpus.sparkSession.sparkContext.broadcast(model)
 
@@ -140,9 +140,12 @@ def reestimated(corpus: DataFrame, model: Model, share: np.ndarray) -> tuple[Mod
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.list_(pa.float64()))], names=["block", "x"])
 
     def total(part):
-        return pa.table({"block": part["block"][:1], "x": pa.array([np.sum([x.values.to_numpy() for x in part["x"]], axis=0)], pa.list_(pa.float64()))})
+        return pa.table({"block": part["block"][:1], "salt": part["salt"][:1], "x": pa.array([np.sum([x.values.to_numpy() for x in part["x"]], axis=0)], pa.list_(pa.float64()))})
 
-    got = {r["block"]: np.array(r["x"]) for r in corpus.mapInArrow(run, "block int, x array<double>").groupBy("block").applyInArrow(total, "block int, x array<double>").collect()}  # the model's size
+    # sums of sums: a block's parts, one from each task, meet in groups of FAN, then those sums meet
+    parts, schema = corpus.mapInArrow(run, "block int, x array<double>").withColumn("salt", F.spark_partition_id()), "block int, salt int, x array<double>"
+    sums = parts.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("block", "salt").applyInArrow(total, schema)
+    got = {r["block"]: np.array(r["x"]) for r in sums.groupBy("block").applyInArrow(total, schema).collect()}  # the model's size
     if not got:
         return model, 0.0
     head = got[-1].reshape(k + 1, k) + 1e-3
@@ -208,13 +211,14 @@ def head_words(counts: DataFrame, head: int) -> list:
     return [] if least is None else sorted(counts.filter(step >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
 
 
-ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, base double, symbols array<int>, tail array<struct<w: binary, k: int, n: int>>"
+ENCODED = "rid long, doc_id {}, held_out boolean, n_tokens long, head_known long, base double, symbols array<int>, tail array<struct<w: binary, k: int, n: int>>"
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = STATES, head: int = HEAD, turns: int = TURNS, sample_turns: int = SAMPLE_TURNS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (crc % 5 == 1).alias("held_out"), F.col(text).alias("text"))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), (crc % 5 == 1).alias("held_out"), F.col(text).alias("text"))
+    kind_of_id = docs.schema[doc_id].dataType.simpleString()
     counts = saved(word_counts(keyed), "counts")
     kind = F.when(F.col("word").cast("string").rlike("^[A-Za-z]+$"), 0).otherwise(1)
     words, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -255,9 +259,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), tail), strict=True)]
                 yield pa.RecordBatch.from_arrays([cols[0], part.column("doc_id"), part.column("held_out"), *cols[1:]], names=["rid", "doc_id", "held_out", "n_tokens", "head_known", "base", "symbols", "tail"])
 
-    coded = saved(keyed.mapInArrow(encode, ENCODED), "coded")
+    coded = saved(keyed.mapInArrow(encode, ENCODED.format(kind_of_id)), "coded")
     train = coded.filter("not held_out").select("symbols")
-    sample = saved(chosen(coded.filter("not held_out").select("rid", "symbols"), sample_docs, "rid", total=ends).select("symbols"), "sample").repartition(8)
+    sample = saved(chosen(coded.filter("not held_out").select("doc_id", "symbols"), sample_docs, "doc_id", "symbols", total=ends).select("symbols"), "sample").repartition(8)
     model = first_guess([np.array(r["symbols"], np.int32) for r in sample.limit(400).collect()], share, states)
     for corpus, times in ((sample, sample_turns), (train, turns)):
         for _ in range(times):
@@ -273,7 +277,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states:
                 out[some] = forward(m, symbols, first, False)[0]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "head_known", "base")] + [pa.array(out)], names=["rid", "doc_id", "held_out", "n_tokens", "head_known", "base", "chain"])
 
-    judged = coded.drop("tail").mapInArrow(judge, "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, base double, chain double")
+    judged = coded.drop("tail").mapInArrow(judge, f"rid long, doc_id {kind_of_id}, held_out boolean, n_tokens long, head_known long, base double, chain double")
     rare = coded.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.w").alias("word"), F.col("t.k").alias("k"), F.col("t.n").alias("m"))
     met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     within = F.lit(0.0)

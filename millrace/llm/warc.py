@@ -1,8 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards by cuts in their id range (quantiles of a bounded sample chosen by the ids' own hashes, so
-equal input gives equal cuts), sorted within a shard, and written as one gzip member each; a file rolls once its
-compressed size passes ``roll_bytes``. HTTP and WARC headers, record ids and digests are regenerated from the data, and
+Records are dealt to shards by cuts in their order (id, then digest), sorted within a shard, and written as one gzip member
+each; a file rolls once its compressed size passes ``roll_bytes``. The cuts are taken from a bounded sample chosen by the
+ids' own hashes, so equal input gives equal cuts; all rows between two neighbours of the sample are counted and weighed,
+and neighbours make a shard up to ``shard_rows`` rows or ``shard_bytes`` bytes. So pages of many megabytes side by side
+are several shards, and so are different payloads under one id. HTTP and WARC headers, record ids and digests are regenerated from the data, and
 the date is a parameter, so equal input gives equal files, byte for byte.
 
 Commit: a task attempt writes to names of its own under ``_tmp`` and returns manifest rows. The manifest is committed as a
@@ -21,18 +23,19 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chosen, read, saved, shared_dir
 
-ROLL_BYTES, MIN_REVISIT, SHARD_ROWS, MAX_SAMPLE, NULL_SHARDS = 64 << 20, 100, 5_000, 200_000, 16
+ROLL_BYTES, MIN_REVISIT, SHARD_ROWS, SHARD_BYTES, MAX_SAMPLE, NULL_SHARDS = 64 << 20, 100, 5_000, 32 << 20, 200_000, 16
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = pa.schema([("name", pa.string()), ("temp", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
@@ -94,32 +97,54 @@ class Roller:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, MANIFEST, strict=True)], schema=MANIFEST)
 
 
-def cuts_of(pages: DataFrame, page_id: str, shard_rows: int) -> np.ndarray:
-    n = pages.count()
-    shards = max(1, -(-n // shard_rows))
-    if shards == 1:
-        return np.zeros(0, np.int64)
-    sample = chosen(pages.select(page_id).filter(F.col(page_id).isNotNull()), min(20 * shards, MAX_SAMPLE), page_id, total=n)
-    ids = np.sort(np.array([r[0] for r in sample.collect()], np.int64))
-    return np.unique(ids[np.linspace(0, len(ids), shards, endpoint=False).astype(int)[1:]]) if len(ids) else ids
+def place_of(cuts: list[tuple[int, str]], ids: np.ndarray, digests: Sequence[str]) -> np.ndarray:
+    """How many cuts are at or before each (id, digest)."""
+    keys = np.array([c[0] for c in cuts], np.int64)
+    low, high = np.searchsorted(keys, ids, side="left"), np.searchsorted(keys, ids, side="right")
+    for i in np.flatnonzero(low < high).tolist():  # ids that are a cut: the digest decides
+        high[i] = bisect_right(cuts, (int(ids[i]), digests[i]))
+    return high
 
 
-def write_archives(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def placed(cuts: list[tuple[int, str]]) -> Column:
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series(place_of(cuts, ids.fillna(0).astype("int64").to_numpy(), digests.tolist()).astype("int32"))
+
+    return place("page_id", "digest")
+
+
+def cuts_of(rows: DataFrame, shard_rows: int, shard_bytes: int) -> list[tuple[int, str]]:
+    """The first (id, digest) of each shard but the first. rows: (page_id, digest, bytes)."""
+    some = rows.filter(F.col("page_id").isNotNull())
+    n, size = some.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    shards = max(-(-n // shard_rows), -(-size // shard_bytes))
+    if shards <= 1:
+        return []
+    marks = sorted({(r["page_id"], r["digest"]) for r in chosen(some.select("page_id", "digest"), min(20 * shards, MAX_SAMPLE), "page_id", "digest", total=n).collect()})
+    held = {r["bin"]: (r["n"], r["size"]) for r in some.groupBy(placed(marks).alias("bin")).agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).collect()}  # a row for each mark
+    cuts, count, weight = [], 0, 0
+    for i in range(len(marks) + 1):
+        more, heavier = held.get(i, (0, 0))
+        if count and (count + more > shard_rows or weight + heavier > shard_bytes):
+            cuts.append(marks[i - 1])
+            count = weight = 0
+        count, weight = count + more, weight + heavier
+    return cuts
+
+
+def write_archives(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the archives under out; returns the manifest."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", F.sha2("payload", 256).alias("digest"), "url", "payload")
-    cuts = cuts_of(rows, "page_id", shard_rows)
-
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="right").astype("int32"))
-
-    small = saved(rows.filter(F.octet_length("payload") >= min_revisit).select("page_id", "digest"), "digests")
+    narrow = saved(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "digests")
+    cuts = cuts_of(narrow, shard_rows, shard_bytes)
+    small = narrow.filter(F.col("bytes") >= min_revisit).select("page_id", "digest")
     firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     refs = small.join(firsts, "digest").groupBy("page_id", "digest").agg(F.first("first").alias("first"))  # ids only; AQE splits a hot digest
     both = rows.withColumns({"first": F.lit(None).cast("long"), "kind": F.lit(1)}).unionByName(refs.select("page_id", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first", F.lit(0).alias("kind")))
-    dealt = both.withColumn("shard", F.when(F.col("page_id").isNull(), len(cuts) + 1 + F.pmod(F.xxhash64("digest"), F.lit(NULL_SHARDS)).cast("int")).otherwise(shard_of("page_id"))).repartitionById(len(cuts) + 1 + NULL_SHARDS, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
+    dealt = both.withColumn("shard", F.when(F.col("page_id").isNull(), len(cuts) + 1 + F.pmod(F.xxhash64("digest"), F.lit(NULL_SHARDS)).cast("int")).otherwise(placed(cuts))).repartitionById(len(cuts) + 1 + NULL_SHARDS, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, known, seen = None, (None, None), None

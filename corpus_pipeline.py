@@ -1,7 +1,14 @@
 """The corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
 
 Sizes for the last stage are those of the texts that arrive there. Its `copies` says how often the mix takes a document;
-documents that it does not take are gone. Further columns pass through; one named copies is replaced.
+documents that it does not take are gone.
+
+Defined results: null and empty texts pass the quality, line and benchmark stages and are classes of their own in near-dedup;
+the mix takes them or not by the share of their source, and they add no words. A text that line dedup empties stays as an
+empty one. Null ids, sources and languages are values like others. Rows that repeat an id and a text share their fate, and
+near-dedup leaves one of them; of a class the row with the smallest id stays, of rows alike in id and text any. Very long
+texts are read whole. Without labels the quality stage keeps all; empty tables give an empty table with the columns of
+documents and `copies`. Further columns pass through; one named copies is replaced.
 """
 
 from __future__ import annotations

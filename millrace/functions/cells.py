@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 STAMP = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?$"
 TIME = r"^[0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?$"
+#: Whole and other numbers. Fixed values.
 INT, FLOAT = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -60,13 +61,16 @@ def combined(kinds: Column) -> Column:
 
 
 def infer(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """A row for each column: kind, conflict, longest text, most digits. One pass with an aggregate of small sets."""
+    """A row for each column: kind, conflict, longest text, most digits. One pass with plain aggregates, a flag for each kind."""
     names = columns or df.columns
+    kinds = ("bool", "int", "float", "datetime", "date", "time", "string")
     figures = []
     for i, c in enumerate(names):
         v = F.col(f"`{c}`").cast("string")
-        figures += [F.collect_set(kind_of(v)).alias(f"k{i}"), F.max(F.char_length(v)).alias(f"w{i}"), F.max(F.char_length(F.regexp_replace(v, "[^0-9]", ""))).alias(f"d{i}")]
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"k{i}").alias("kinds"), F.col(f"w{i}").alias("widest"), F.col(f"d{i}").alias("digits")) for i, c in enumerate(names)))
+        k = kind_of(v)
+        figures += [*(F.max(k == x).alias(f"k{i}_{x}") for x in kinds), F.max(F.char_length(v)).alias(f"w{i}"), F.max(F.char_length(F.regexp_replace(v, "[^0-9]", ""))).alias(f"d{i}")]
+    held = lambda i: F.array_compact(F.array(*(F.when(F.col(f"k{i}_{x}"), F.lit(x)) for x in kinds)))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), held(i).alias("kinds"), F.col(f"w{i}").alias("widest"), F.col(f"d{i}").alias("digits")) for i, c in enumerate(names)))
     out = df.agg(*figures).select(F.explode(rows).alias("x")).select("x.*")
     kind = combined(F.col("kinds"))
     return out.select("column", kind.alias("kind"), ((kind == "string") & (F.size(F.filter("kinds", lambda k: k != "null")) > 1)).alias("conflict"), "widest", "digits")

@@ -128,3 +128,46 @@ def to_date(text: Column, mask: str) -> Column:
 
 def lob_substr(text: Column, amount: int, offset: int = 1) -> Column:
     return F.substring(text, offset, amount)
+
+
+def regexp_instr(text: Column, regex: str, nth: int = 1) -> Column:
+    """The place of the nth match, else 0. Matches do not overlap."""
+    first = F.regexp_instr(text, F.lit(regex))
+    if nth == 1:
+        return first
+    parts = F.split(text, regex, nth + 1)
+    found = F.regexp_extract_all(text, F.lit(f"({regex})"), F.lit(1))
+    before = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.char_length(x))
+    return F.when(F.size(found) >= nth, before(parts, nth) + before(found, nth - 1) + 1).otherwise(F.when(text.isNotNull(), 0))
+
+
+#: Words of defaults that mean the present. Fixed values.
+NOW = ("current_timestamp", "current_timestamp()", "now()", "sysdate", "systimestamp", "getdate()", "sysdatetime()", "localtimestamp")
+TODAY = ("current_date", "current_date()", "curdate()")
+
+
+def default_value(text: str | None, kind: str) -> tuple[Column | None, str]:
+    """A column default's text as a value of a Spark type, for coalesce; (None, the reason) where there is none.
+
+    Known are null, numbers, quoted and bare text, booleans as words, digits or bits, and the present. A date of zeros is no
+    date, and a function that is not known is left out.
+    """
+    raw = (text or "").strip()
+    while raw.startswith("(") and raw.endswith(")"):
+        raw = raw[1:-1].strip()
+    bare = raw[1:-1].replace("''", "'") if len(raw) > 1 and raw[0] == raw[-1] == "'" else re.sub(r"(?i)^[bn]'(.*)'$", r"\1", raw)
+    low, quoted = bare.lower(), bare != raw
+    if text is None or low == "null" and not quoted:
+        return None, "no default"
+    if not quoted and low in NOW + TODAY:
+        return (F.current_date() if low in TODAY else F.current_timestamp()).cast(kind), ""
+    if not quoted and re.search(r"\w\s*\(", raw):
+        return None, f"the function of {raw} is not known"
+    if kind == "boolean":
+        known = {"1": True, "true": True, "t": True, "y": True, "0": False, "false": False, "f": False, "n": False}
+        return (F.lit(known[low]), "") if low in known else (None, f"{raw} is no boolean")
+    if kind.startswith(("date", "timestamp")) and re.match(r"0000-00-00|\d{4}-00|\d{4}-\d\d-00", bare):
+        return None, "a date of zeros"
+    if kind == "string":
+        return F.lit(bare), ""
+    return F.lit(bare).try_cast(kind), ""

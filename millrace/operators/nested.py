@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -75,3 +76,33 @@ def json_leaf(col: Column, kind: T.DataType) -> Column:
 def path_value(json: Column, *path: str) -> Column:
     """The value at a path of a JSON text; null if any step is missing."""
     return F.get_json_object(json, "$" + "".join(f"['{p}']" for p in path))
+
+
+def merged_shape(df: DataFrame, json: str) -> DataFrame:
+    """(path, kind, nullable): the one shape that all documents of a JSON column fit, merged by Spark; [] stands for an array's elements.
+
+    Kinds that exclude each other become VARIANT, numbers the wider one; text that is no JSON has no shape.
+    """
+    shape = df.agg(F.schema_of_variant_agg(F.try_parse_json(json)).alias("s")).first()["s"]  # one type for the table
+    rows: list[tuple[str, str]] = []
+
+    def walk(text: str, at: int, path: str) -> int:
+        """Reads one type of the description from a place on, and returns the place behind it."""
+        name = re.compile(r"[A-Z]+(\([0-9,]+\))?").match(text, at)[0]
+        rows.append((path, name))
+        at += len(name)
+        if name == "ARRAY":
+            return walk(text, at + 1, f"{path}[]") + 1
+        if name == "OBJECT" and text[at : at + 1] == "<":
+            at += 1
+            while text[at] != ">":
+                field = re.compile(r"`((?:[^`]|``)*)`: |([^:>]+): ").match(text, at)
+                key = field[1].replace("``", "`") if field[1] is not None else field[2]
+                at = walk(text, field.end(), f"{path}.{key}" if path else key)
+                at += 2 if text[at : at + 2] == ", " else 0
+            return at + 1
+        return at
+
+    if shape:
+        walk(shape, 0, "")
+    return df.sparkSession.createDataFrame([r for r in rows if r[0]], "path string, kind string")

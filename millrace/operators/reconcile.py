@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from ..functions.canonical import LARGE, canonical, row_hash
 
 
-def hashed_columns(df: DataFrame) -> list[str]:
-    """The columns that a checksum covers by default."""
-    return [f.name for f in df.schema if not isinstance(f.dataType, LARGE)]
+def hashed_columns(df: DataFrame, large: Sequence[str] = ()) -> list[str]:
+    """The columns that a checksum covers by default: all but binary ones and those named as large text of another engine."""
+    return [f.name for f in df.schema if not isinstance(f.dataType, LARGE) and f.name not in large]
 
 
 def totals(hash_: str = "__h") -> list[Column]:

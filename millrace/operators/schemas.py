@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,3 +48,32 @@ def subset(tables: Iterable[str], references: Mapping[str, Iterable[str]], wante
     keep = {w.upper() for w in wanted}
     chosen = [t for t in tables if t.upper() in keep]
     return chosen, [(t, p) for t in chosen for p in references.get(t, ()) if p.upper() not in keep]
+
+
+@dataclass(frozen=True)
+class Dropped:
+    kind: str  # reference, trigger or view
+    name: str
+    reason: str
+
+
+def subset_objects(tables: Iterable[str], references: Mapping[str, Iterable[str]], wanted: Iterable[str], triggers: Mapping[str, str] | None = None, views: Mapping[str, Iterable[str]] | None = None) -> tuple[list[str], list[str], list[str], list[Dropped]]:
+    """(tables, triggers, views, what was dropped and why). triggers: name to table; views: name to the tables and views it reads."""
+    names = list(tables)
+    chosen, lost = subset(names, references, wanted)
+    have, gone = {t.upper() for t in chosen}, {t.upper() for t in names} - {t.upper() for t in chosen}
+    dropped = [Dropped("reference", f"{t} to {p}", f"{p} is left out") for t, p in lost]
+    kept_triggers = []
+    for name, table in (triggers or {}).items():
+        if table.upper() in have:
+            kept_triggers.append(name)
+        else:
+            dropped.append(Dropped("trigger", name, f"{table} is left out"))
+    left = dict(views or {})
+    while True:  # a view of a dropped view goes too
+        bad = {v: next(x for x in reads if x.upper() in gone) for v, reads in left.items() if any(x.upper() in gone for x in reads)}
+        if not bad:
+            return chosen, kept_triggers, list(left), dropped
+        dropped += [Dropped("view", v, f"it reads {x}, which is left out") for v, x in bad.items()]
+        gone |= {v.upper() for v in bad}
+        left = {v: r for v, r in left.items() if v not in bad}

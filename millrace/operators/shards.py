@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -94,6 +95,43 @@ class Bound:
     default: bool = False
 
 
+#: A bound that means the same everywhere: a number, a quoted text, a date given by its mask. Fixed values.
+NUMBER_BOUND, TEXT_BOUND, DATE_BOUND = re.compile(r"-?\d+(\.\d+)?"), re.compile(r"'([^']*)'"), re.compile(r"(?i)to_date\(\s*'\s*([^']*?)\s*'.*\)")
+
+
+def partition_plan(kind: str, columns: Sequence[str], bounds: Mapping[str, str], parts_of_parts: bool = False) -> tuple[list[Bound] | None, str]:
+    """(buckets, ""), or (None, the reason) where a table should stay in one piece. bounds: partition to its bound's text, in order."""
+    if parts_of_parts:
+        return None, "partitions of partitions are not carried over"
+    if kind.upper() not in ("RANGE", "LIST"):
+        return None, f"{kind.upper()} partitions have no bounds to carry over"
+    if len(columns) != 1:
+        return None, f"a key of {len(columns)} columns"
+    out = []
+    for name, text in bounds.items():
+        raw = text.strip()
+        if raw.upper() in ("MAXVALUE", "DEFAULT"):
+            out.append(Bound(name, default=raw.upper() == "DEFAULT"))
+            continue
+        values = [_bound(x) for x in re.findall(r"(?i)to_date\([^)]*\)|'[^']*'|[^,]+", raw)]
+        if None in values or kind.upper() == "RANGE" and len(values) != 1:
+            return None, f"the bound of {name} is not understood: {raw}"
+        out.append(Bound(name, values[0]) if kind.upper() == "RANGE" else Bound(name, values=tuple(values)))
+    if kind.upper() == "RANGE":
+        tops = [b.upper for b in out]
+        if None in tops[:-1] or any(type(a) is not type(b) or a >= b for a, b in zip(tops, tops[1:], strict=False) if b is not None):
+            return None, "the bounds do not rise"
+    return out, ""
+
+
+def _bound(text: str) -> object:
+    raw = text.strip()
+    if NUMBER_BOUND.fullmatch(raw):
+        return float(raw) if "." in raw else int(raw)
+    found = TEXT_BOUND.fullmatch(raw) or DATE_BOUND.fullmatch(raw)
+    return found[1] if found else None
+
+
 def range_bucket(col: Column, bounds: Sequence[Bound]) -> Column:
     out = F.lit(None).cast("string")
     for b in reversed(bounds):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.reconcile import apply_diff, diff, keys_missing, next_mark, since, upsert
+from ..operators.schemas import waves
 from ..session import kept
 
 #: Names of columns that hold the time of the last change, the most trusted first.
@@ -70,3 +71,32 @@ def sync(source: DataFrame, target: DataFrame, plan: SyncPlan, mark: str | None
             after = keys_missing(after, gone, plan.keys)
         new = next_mark(fresh, plan.change, mark)
     return after, changes.groupBy("action").agg(F.count("*").alias("row_count")), new
+
+
+@dataclass
+class Synced:
+    table: str
+    ok: bool
+    mark: str | None
+    counts: dict[str, int]
+    note: str = ""
+
+
+def sync_schema(tables: Mapping[str, SyncPlan], references: Mapping[str, Iterable[str]], read: Callable[[str], DataFrame], target: Callable[[str], DataFrame], write: Callable[[str, DataFrame], None], marks: Mapping[str, str | None], deletes: bool = True) -> list[Synced]:
+    """Synchronises several tables, parents first, each from its own mark. A table that fails keeps its mark and stops no other.
+
+    write(table, rows) commits a table's next state; it must not overwrite what `target` reads from.
+    """
+    out = []
+    for table in (t for wave in waves(list(tables), references) for t in wave):
+        mark = marks.get(table)
+        try:
+            after, counts, new = sync(read(table), target(table), tables[table], mark, deletes)
+            found = {r["action"]: r["row_count"] for r in counts.collect()}  # a row for each action
+            next_ = new.first()["mark"]
+            if tables[table].strategy != "SKIP":
+                write(table, after)
+            out.append(Synced(table, True, next_, found, tables[table].reason))
+        except Exception as e:  # noqa: BLE001
+            out.append(Synced(table, False, mark, {}, str(e).splitlines()[0][:300]))
+    return out

@@ -12,6 +12,7 @@ from .functions import cells, dialect, names, pivot
 from .operators import hierarchy, integrity, nested, profile, reconcile, schemas, shards
 from .plans import migrate, resume, sync
 from .session import folder
+from .sources import tables
 from .streaming import feed
 
 QUERIES, ORACLES = {}, {}
@@ -116,6 +117,16 @@ def key_bounds_orders(spark, sf):
     return shards.key_bounds(table(spark, sf, "orders"), "o_orderkey")
 
 
+@query("SELECT count(*) AS row_count FROM lineitem")
+def footer_count_lineitem(spark, sf):
+    return tables.footer_counts(spark, f"{sf}/lineitem.parquet").agg(F.sum("row_count").alias("row_count"))
+
+
+@query("SELECT DISTINCT key AS path, CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' ELSE json_type(props, '$.' || key) END AS kind FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)")
+def merged_shape_events(spark, sf):
+    return nested.merged_shape(table(spark, sf, "events"), "props")
+
+
 @query("SELECT count(*) AS row_count FROM lineitem")
 def count_lineitem(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count("*").alias("row_count"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +56,27 @@ def tables_of(spark: SparkSession, database: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "table string, column string, type string, nullable boolean, is_partition boolean")
 
 
+def footer_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_count) from the footers of Parquet files, a task for some files; no page is read."""
+    files = spark.createDataFrame([(f,) for f in spark.read.parquet(path).inputFiles()], "file string")  # names only
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = []
+            for uri in batch.column("file").to_pylist():
+                fs, name = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+                with fs.open_input_file(name) as f:
+                    n.append(pq.ParquetFile(f).metadata.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(n, pa.int64())], names=["file", "row_count"])
+
+    return files.mapInArrow(count, "file string, row_count long")
+
+
+def sampled_count(df: DataFrame, fraction: float = 0.01) -> DataFrame:
+    """One row: an estimate of the number of rows from a sample, for sources without footers."""
+    return df.sample(fraction, seed=1).agg((F.count("*") / F.lit(fraction)).cast("long").alias("row_count"))
+
+
 def append(df: DataFrame, path: str, kind: str = "parquet") -> int:
     """Adds the rows of df to a table and returns how many rows it held before. Appending does not replace them."""
     spark = df.sparkSession

@@ -42,7 +42,7 @@ def captured(messages: DataFrame, row: str, value: str = "value", place: str | N
     place: a column with the message's position, such as its offset; kept, it orders changes of one millisecond.
     """
     m = F.from_json(F.col(value).cast("string"), f"before struct<{row}>, after struct<{row}>, op string, ts_ms bigint")
-    parts = messages.select(m.alias("m")).filter("m.op is not null").select(F.when(F.col("m.op") == "d", F.col("m.before")).otherwise(F.col("m.after")).alias("r"), "m.op", "m.ts_ms", *([place] if place else []))
+    parts = messages.select(m.alias("m"), *([place] if place else [])).filter("m.op is not null").select(F.when(F.col("m.op") == "d", F.col("m.before")).otherwise(F.col("m.after")).alias("r"), "m.op", "m.ts_ms", *([place] if place else []))
     return parts.select("r.*", *([place] if place else []), F.when(F.col("op") == "d", "d").when(F.col("op") == "u", "u").otherwise("i").alias("op"), F.timestamp_millis("ts_ms").cast("timestamp_ntz").alias("ts"))
 
 

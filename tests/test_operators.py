@@ -363,7 +363,7 @@ def test_jdbc_options_and_predicates(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(DataFrameReader, "jdbc", lambda self, url, table, **kw: calls.append((url, table, kw)) or spark.range(1))
     monkeypatch.setattr(DataFrameWriter, "jdbc", lambda self, url, table, **kw: calls.append((url, table, kw)))
-    cut, _ = shards.plan_shards(2_000_000, ["id"], ["number"], (1, 2_000_000), 2)
+    cut = shards.shards_of(1, 2_000_000, 2)
     tables.read_jdbc(spark, "jdbc:postgresql://h/d", "t", "id", cut, user="u")
     _, _, kw = calls[-1]
     assert len(kw["predicates"]) == len(cut) and kw["predicates"][0].endswith("OR id IS NULL") and kw["properties"] == {"fetchsize": "5000", "user": "u"}
@@ -373,3 +373,66 @@ def test_jdbc_options_and_predicates(spark, monkeypatch):
         tables.read_jdbc(spark, "jdbc:h2:mem", "t")
     tables.write_jdbc(spark.range(1), "jdbc:mysql://h/d", "t", "mysql")
     assert calls[-1][2]["mode"] == "append" and calls[-1][2]["properties"]["batchsize"] == "5000"
+
+
+def test_schemas_are_synchronised_in_waves_with_marks(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    cols, state = "id int, v string, updated_at timestamp_ntz", {}
+    source = {"parent": [(1, "a", day(1)), (2, "b", day(5))], "child": [(1, "x", day(3))], "bad": []}
+    target = {"parent": [(1, "old", day(1)), (3, "c", day(1))], "child": [(1, "x", day(3))]}
+    frame = lambda rows: spark.createDataFrame(rows, cols)
+    plans = {t: sync.plan_sync(frame([]).schema, ["id"]) for t in source}
+
+    def read(t):
+        if t == "bad":
+            raise ValueError("no such table")
+        return frame(source[t])
+
+    done = sync.sync_schema(plans, {"child": ["parent"]}, read, lambda t: frame(target[t]), lambda t, df: state.update({t: sorted((r.id, r.v) for r in df.collect())}), {"parent": "2024-01-02 00:00:00", "bad": "2020-01-01 00:00:00"})
+    assert [x.table for x in done].index("parent") < [x.table for x in done].index("child")
+    by = {x.table: x for x in done}
+    assert state == {"parent": [(1, "old"), (2, "b")], "child": [(1, "x")]}
+    assert by["parent"].mark == "2024-01-05 00:00:00" and by["parent"].counts == {"insert": 1, "delete": 1}
+    assert not by["bad"].ok and by["bad"].mark == "2020-01-01 00:00:00"
+
+
+def test_shapes_are_merged(spark):
+    docs = spark.createDataFrame([('{"a": 1, "b": {"c": "x"}}',), ('{"a": 2.5, "d": [{"e": 1}, {"f": true}]}',), ("no json",), (None,), ('{"b": {"c": null, "odd key: >": 1}}',)], "j string")
+    got = {r.path: r.kind for r in nested.merged_shape(docs, "j").collect()}
+    assert got["b.c"] == "STRING" and got["d"] == "ARRAY" and got["d[]"] == "OBJECT" and got["d[].e"] == "BIGINT" and got["d[].f"] == "BOOLEAN" and got["b.odd key: >"] == "BIGINT" and got["a"].startswith(("DECIMAL", "DOUBLE"))
+    assert nested.merged_shape(docs.limit(0), "j").count() == 0
+
+
+def test_footers_are_counted(spark, tmp_path):
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "f"))
+    assert tables.footer_counts(spark, str(tmp_path / "f")).agg(F.sum("row_count")).first()[0] == 1000
+    assert 700 < tables.sampled_count(spark.range(10_000), 0.1).first()[0] < 13_000
+
+
+def test_partition_plans_have_buckets_or_reasons():
+    plan, why = shards.partition_plan("RANGE", ["d"], {"p1": "TO_DATE(' 2020-01-01 00:00:00', 'SYYYY-MM-DD HH24:MI:SS')", "p2": "MAXVALUE"})
+    assert why == "" and [(b.name, b.upper) for b in plan] == [("p1", "2020-01-01 00:00:00"), ("p2", None)]
+    plan, _ = shards.partition_plan("LIST", ["c"], {"a": "'x, y', 'z'", "rest": "DEFAULT"})
+    assert plan[0].values == ("x, y", "z") and plan[1].default
+    for args, word in ((("HASH", ["c"], {}), "HASH"), (("RANGE", ["a", "b"], {}), "2 columns"), (("RANGE", ["a"], {"p": "f(x)"}), "not understood"), (("RANGE", ["a"], {"p": "5", "q": "3"}), "rise"), (("RANGE", ["a"], {}, True), "partitions of")):
+        plan, why = shards.partition_plan(*args)
+        assert plan is None and word in why
+
+
+def test_subsets_drop_what_leads_outside():
+    t, triggers, views, dropped = schemas.subset_objects(["a", "b", "c"], {"a": ["c", "b"]}, ["A", "b"], {"t1": "a", "t2": "C"}, {"v": ["a"], "w": ["c"], "u": ["W", "a"]})
+    assert (t, triggers, views) == (["a", "b"], ["t1"], ["v"])
+    assert {(d.kind, d.name) for d in dropped} == {("reference", "a to c"), ("trigger", "t2"), ("view", "w"), ("view", "u")}
+
+
+def test_defaults_and_regexp_places(spark):
+    row = spark.range(1)
+    for text, kind, want in (("'it''s'", "string", "it's"), ("Active", "string", "Active"), ("((0))", "int", 0), ("b'1'", "boolean", True), ("'n'", "boolean", False), ("1.5", "double", 1.5)):
+        value, why = dialect.default_value(text, kind)
+        assert why == "" and row.select(value).first()[0] == want
+    assert row.select(dialect.default_value("getdate()", "timestamp")[0]).first()[0] is not None
+    for text, kind, word in ((None, "int", "no default"), ("NULL", "int", "no default"), ("0000-00-00 00:00:00", "timestamp", "zeros"), ("newid()", "string", "not known"), ("maybe", "boolean", "no boolean")):
+        value, why = dialect.default_value(text, kind)
+        assert value is None and word in why
+    places = row.select(*(dialect.regexp_instr(F.lit("ab12cd345e6"), "[0-9]+", n).alias(str(n)) for n in (1, 2, 3, 4))).first()
+    assert tuple(places) == (3, 7, 11, 0)

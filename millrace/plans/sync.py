@@ -22,6 +22,7 @@ CHANGE_NAMES = [
     r"^(last_)?changed(_at|_on)?$",
     r"^row_version$|^rowversion$|^version_ts$",
 ]
+#: A fixed value too: parts of such names.
 LOOSE = "updat|modif|chang"
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 

@@ -54,16 +54,19 @@ def test_quality(spark, stages):
 
 
 def test_lines(stages):
-    sites = defaultdict(set)
+    sites, texts, whole, want = defaultdict(set), defaultdict(set), defaultdict(list), {}
     for r in stages[1]:
         for x in r["text"].split("\n"):
             sites[x.strip(" ")].add(r["source"])
-    bad = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES and len(x) >= line_dedup.MIN_CHARS}
-    want = {}
+            texts[x.strip(" ")].add(r["text"])
+    spread = {x for x in sites if x and min(len(sites[x]), len(texts[x])) >= line_dedup.MIN_SITES}
+    for r in stages[1]:
+        held = [x for x in r["text"].split("\n") if x.strip(" ") in spread]
+        for x in {x.strip(" ") for x in held}:
+            whole[x].append(3 * sum(map(len, held)) > len(r["text"]))
+    bad = {x for x in spread if 2 * sum(whole[x]) <= len(whole[x])}
     for i, t in by_id(stages[1]).items():
-        parts = t.split("\n")
-        gone = [x for x in parts if x.strip(" ") in bad]
-        want[i] = "\n".join(x for x in parts if x.strip(" ") not in bad) if sum(map(len, gone)) <= line_dedup.MAX_SHARE * len(t) else t
+        want[i] = "\n".join(x for x in t.split("\n") if x.strip(" ") not in bad)
     assert by_id(stages[2]) == want and bad
 
 
@@ -128,7 +131,8 @@ def test_hard_tables(spark, tmp_path):
 
     some = read(spark, SF, "documents").limit(40)
     null = some.limit(3).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in some.schema))
-    docs = some.unionByName(some.limit(5)).unionByName(null).unionByName(some.limit(2).withColumn("text", F.lit(""))).withColumns({"copies": F.lit("x"), "size": F.lit(1), "k1": F.lit(2), "label": F.lit("y")})
+    long = some.limit(1).withColumns({"doc_id": F.lit(999_999).cast(some.schema["doc_id"].dataType), "text": F.repeat(F.concat("text", F.lit("\n")), 2000)})
+    docs = some.unionByName(some.limit(5)).unionByName(null).unionByName(long).unionByName(some.limit(2).withColumn("text", F.lit(""))).withColumns({"copies": F.lit("x"), "size": F.lit(1), "k1": F.lit(2), "label": F.lit("y")})
     for name in ("documents", "labels", "benchmark"):
         (docs if name == "documents" else read(spark, SF, name)).write.parquet(f"{tmp_path}/a/{name}.parquet")
         (docs if name == "documents" else read(spark, SF, name)).limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")

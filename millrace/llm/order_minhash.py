@@ -250,8 +250,8 @@ def linked(buckets: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     pairs = few.join(other, [few["band"] == other["band"], few["h"] == other["h"], F.col("node") < F.col("b"), F.col("label") != F.col("l")]).select(F.col("node").alias("a"), "b")
     rest = many.filter("label <> head_label")
     order = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("node", "band"), "node"))
-    kin = many.filter("label = head_label and node <> head").withColumn("i", order).filter(F.col("i") <= KIN).select(*key, F.col("node").alias("head"))
-    pairs = pairs.unionByName(rest.drop("head").join(kin, key).select(*pair))
+    kin = many.filter("label = head_label and node <> head").withColumn("i", order).filter(F.col("i") <= KIN).select(*key, F.col("node").alias("head"), F.explode(F.sequence(F.lit(0), spread)).alias("s"))
+    pairs = pairs.unionByName(rest.drop("head").withColumn("s", F.pmod(F.xxhash64("node"), spread + 1).cast("int")).join(kin, [*key, "s"]).select(*pair))
     new = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(saved(verified(new, words, threshold), "links"))
     labels = components(links)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import folder as shared_dir
 from ..session import kept as saved
 
-__all__ = ["WORD", "WORD_BREAK", "chosen", "chunks", "components", "read", "saved", "shared_dir", "text_key"]
+__all__ = ["WORD", "WORD_BREAK", "chosen", "chunks", "components", "read", "saved", "shared_dir", "small", "text_key"]
 
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -47,6 +47,12 @@ def chosen(df: DataFrame, n: int, *cols: str, total: int | None = None) -> DataF
     return df.orderBy(F.xxhash64(*cols), *cols).limit(n)
 
 
+def small(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
+    """df as a table, to be broadcast if it has `most` rows at most; larger ones are joined as the optimizer sees fit."""
+    kept = saved(df, name)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of each node of edges (a, b); the label is the smallest node of the component."""
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")

@@ -1,29 +1,28 @@
 """Applying a change feed with Structured Streaming.
 
-A micro-batch is reduced to the last change of each key and put into the next snapshot of the target; the high-water mark
-is part of the snapshot's commit. Applying a batch again changes nothing, so a restart is safe.
+A micro-batch is reduced to the last change of each key and committed to the target's snapshots with its number and the
+high-water mark. Applying a batch again changes nothing, so a restart is safe.
 """
 
 from __future__ import annotations
 
-import json
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from ..operators.reconcile import delete_by_keys, latest, next_mark, upsert
+from ..operators.reconcile import delete_by_keys, latest, upsert
+from ..sources.snapshots import Snapshots
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column], op: str | None = None, delete: str = "d", change: str | None = None) -> DataFrame:
     """target after a set of changes: the last of each key counts, deletes remove.
 
-    With `change`, a column of both, a late change does not overwrite a row of the target that is newer. A row that was
-    deleted keeps no time, so a change that comes after its deletion brings it back.
+    With `change`, a column of both, a late change does not overwrite a row of the target that is newer. A plain table keeps no
+    time of what was deleted; `Snapshots` does.
     """
     last = latest(changes, keys, *order)
     if change:
@@ -52,70 +51,35 @@ def lag(df: DataFrame, change: str, now: Column | None = None) -> DataFrame:
     return df.agg((at - F.unix_seconds(F.max(change).cast("timestamp"))).alias("lag_seconds"))
 
 
-class Snapshots:
-    """Versions of a table under one folder, in buckets of keys; a version counts once its pointer is written.
+def run_feed(stream: DataFrame, snapshots: Snapshots, order: Sequence[str], checkpoint: str, op: str | None = None, delete: str = "d") -> DataStreamWriter:
+    """A writer that applies each micro-batch; start it with a trigger of choice.
 
-    A commit writes only the buckets that changed; the pointer names the folder of each bucket.
+    order: the columns that make up a change's position, in the order of the snapshots' own. The first is the mark. A batch that
+    was committed before a restart is not applied again; applying it would change nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _pointers(self) -> list[dict]:
-        files = self.spark.read.option("pathGlobFilter", "*").text(f"{self.path}/_versions")
-        return [json.loads(r["value"]) for r in files.collect()]  # a line for each batch
-
-    def current(self) -> dict | None:
-        try:
-            return max(self._pointers(), key=lambda p: p["batch"], default=None)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-
-    def bucket(self, keys: Sequence[str]) -> Column:
-        """Keys of one value are in one bucket, whatever their integral type."""
-        return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(self.buckets)).cast("int")
-
-    def read(self, buckets: Sequence[int] | None = None) -> DataFrame | None:
-        """The current version, or some of its buckets; None if nothing was ever committed."""
-        now = self.current()
-        if not now:
-            return None
-        schema = T.StructType.fromJson(now["schema"])
-        paths = [f"{self.path}/{f}/__bucket={b}" for b, f in now["folders"].items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def commit(self, df: DataFrame, batch: int, mark: str | None, keys: Sequence[str], touched: Sequence[int] | None = None) -> None:
-        """df holds the rows of the touched buckets (None: of all)."""
-        now, folder = self.current(), f"v{batch:012d}"
-        df.withColumn("__bucket", self.bucket(keys)).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/{folder}")
-        schema = T.StructType([*df.schema.fields, T.StructField("__bucket", T.IntegerType())])
-        full = {r[0] for r in self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").select("__bucket").distinct().collect()}  # a row for each bucket
-        old = {b: f for b, f in (now["folders"] if now else {}).items() if touched is not None and int(b) not in touched}
-        pointer = json.dumps({"batch": batch, "folders": old | {str(b): folder for b in sorted(full)}, "mark": mark, "schema": df.schema.jsonValue()})
-        self.spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_versions")
-
-
-def run_feed(stream: DataFrame, snapshots: Snapshots, keys: Sequence[str], change: str, checkpoint: str, op: str | None = None, place: str | None = None) -> DataStreamWriter:
-    """A writer that applies each micro-batch; start it with a trigger of choice. Changes are ordered by `change`, then `place`."""
-
     def step(batch: DataFrame, number: int) -> None:
         now = snapshots.current()
-        if now and now["batch"] >= number:  # a restart after the commit
+        if now and now["batch"] is not None and now["batch"] >= number:
             return
-        touched = [r[0] for r in batch.select(snapshots.bucket(keys)).distinct().collect()]  # a row for each bucket
-        before = snapshots.read(touched)
-        base = before if before is not None else batch.drop(*filter(None, (op, place))).limit(0)
         old = now["mark"] if now else None
-        mark = next_mark(batch, change, old).first()["mark"]
-        order = [F.col(c) for c in (change, place) if c]
-        after = apply_changes(base, batch, keys, order, op, change=change)
-        snapshots.commit(after, number, max(filter(None, (mark, old)), default=None), keys, touched)
+        mark = batch.agg(F.max(order[0]).cast("string").alias("mark")).first()["mark"]
+        gone = F.col(op) == delete if op else None
+        keep = [c for c in batch.columns if c != op and (c not in order or c in snapshots.keys or order.index(c) == 0)]
+        rows = batch.select(*keep, *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), *([gone.alias("__g")] if op else []))
+        snapshots.apply(rows, [F.col(f"__o{i}") for i in range(len(order))], F.col("__g") if op else None, batch=number, mark=max(filter(None, (mark, old)), default=None))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+def every(spark: SparkSession, minutes: float, tick: Callable[[], object], checkpoint: str) -> DataStreamWriter:
+    """A writer that calls tick at this interval, 1 minute to a day. A tick that takes longer delays the next; two never overlap in one query."""
+    if not 1 <= minutes <= 1440:
+        raise ValueError("the interval is 1 to 1440 minutes")
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda batch, number: tick()).trigger(processingTime=f"{round(minutes * 60)} seconds").option("checkpointLocation", checkpoint)
+
+
 def deduplicated(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     """Each key once within the delay, in bounded state. Late data is an addition of this library."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))

@@ -219,13 +219,6 @@ def test_dialect_dates(spark):
     assert dialect.pattern("YYYY-MM-DD HH24:MI:SS") == "yyyy-MM-dd HH:mm:ss" and v(dialect.trunc_number(F.lit(-1.29), 1)) == -1.2
 
 
-def test_hierarchy(spark):
-    e = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 4)], "id int, boss int")
-    assert {(r.id, r.level) for r in hierarchy.connect_by(e, "id", "boss", "boss IS NULL").collect()} == {(1, 1), (2, 2), (3, 3)}
-    loop = spark.createDataFrame([(1, 2), (2, 1)], "id int, boss int")
-    assert hierarchy.connect_by(loop, "id", "boss", "id = 1").count() == 2
-
-
 def test_schemas_and_profiles(spark):
     w = schemas.waves(["a", "b", "c", "d", "e"], {"b": ["A", "b", "outside"], "c": ["b"], "d": ["e"], "e": ["d"]})
     assert w == [["a"], ["b"], ["c"], ["d", "e"]]
@@ -265,14 +258,14 @@ def test_migration(spark, conformance, tmp_path):
 
 
 def test_feed_applies_each_change_once(spark, tmp_path):
-    src, out = tmp_path / "in", feed.Snapshots(spark, str(tmp_path / "out"))
+    src, out = tmp_path / "in", feed.Snapshots(spark, str(tmp_path / "out"), ["id"], "ts timestamp_ntz")
     schema = "id int, v string, ts timestamp_ntz, op string"
 
     def put(rows):
         spark.createDataFrame([(i, v, dt.datetime(2024, 1, d), op) for i, v, d, op in rows], schema).coalesce(1).write.mode("append").parquet(str(src))
 
     def run():
-        q = feed.run_feed(spark.readStream.schema(schema).parquet(str(src)), out, ["id"], "ts", str(tmp_path / "cp"), "op").trigger(availableNow=True).start()
+        q = feed.run_feed(spark.readStream.schema(schema).parquet(str(src)), out, ["ts"], str(tmp_path / "cp"), "op").trigger(availableNow=True).start()
         q.awaitTermination(120)
 
     put([(1, "a", 1, "i"), (1, "b", 3, "u"), (2, "x", 1, "i"), (3, "y", 2, "i")])
@@ -334,18 +327,6 @@ def test_late_changes_and_ties_in_a_feed(spark):
     assert one(feed.captured(message, "id int", place="offset"))["offset"] == 42
 
 
-def test_snapshots_rewrite_touched_buckets_only(spark, tmp_path):
-    snapshots = feed.Snapshots(spark, str(tmp_path / "s"), buckets=8)
-    rows = spark.range(40).select("id", F.lit("a").alias("v"))
-    snapshots.commit(rows, 0, None, ["id"])
-    hit = one(spark.range(1).select(snapshots.bucket(["id"]).alias("b")))["b"]
-    before = snapshots.current()["folders"]
-    snapshots.commit(snapshots.read([hit]).filter("id <> 0"), 1, None, ["id"], [hit])
-    after = snapshots.current()["folders"]
-    assert {b for b in after if after[b] != before.get(b)} <= {str(hit)}
-    assert sorted(r.id for r in snapshots.read().collect()) == list(range(1, 40))
-
-
 def test_tables_of_a_scope_are_deleted(spark):
     import os
 

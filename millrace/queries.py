@@ -13,6 +13,8 @@ from .operators import hierarchy, integrity, nested, profile, reconcile, schemas
 from .plans import migrate, resume, sync
 from .session import folder
 from .sources import tables
+from .sources.files import Lease
+from .sources.snapshots import Snapshots
 from .streaming import feed
 
 QUERIES, ORACLES = {}, {}
@@ -387,6 +389,24 @@ def hierarchy_nation(spark, sf):
     return hierarchy.connect_by(n, "n_nationkey", "parent", "parent IS NULL")
 
 
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 50 <> 1 THEN (c_custkey + 2) // 4 END AS parent FROM customer),
+t AS (SELECT id, name, 1 AS level, name AS root, '/' || id AS path FROM n WHERE parent IS NULL
+UNION ALL SELECT n.id, n.name, t.level + 1, t.root, t.path || '/' || n.id FROM n JOIN t ON n.parent = t.id)
+SELECT id, name, level, root, path, NOT EXISTS (SELECT 1 FROM n WHERE n.parent = t.id) AS is_leaf FROM t""")
+def hierarchy_customer(spark, sf):
+    n = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 50 != 1, F.expr("(c_custkey + 2) div 4")).alias("parent"))
+    return hierarchy.connect_by(n, "id", "parent", "parent IS NULL", root="name", path="id", leaf=True).drop("parent")
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, 1 + (p_partkey * 7 + p_partkey // 3) % (SELECT count(*) FROM part) AS up FROM part),
+w AS (SELECT id AS first, up AS cur, 1 AS length FROM n UNION ALL SELECT w.first, n.up, w.length + 1 FROM w JOIN n ON n.id = w.cur WHERE w.cur <> w.first AND w.length < 300)
+SELECT first AS id, min(length)::BIGINT AS length FROM w WHERE cur = first GROUP BY 1""")
+def cycles_part(spark, sf):
+    p = table(spark, sf, "part")
+    n = p.agg(F.count("*")).first()[0]
+    return hierarchy.cycles(p.select(F.col("p_partkey").alias("id"), (1 + (F.col("p_partkey") * 7 + F.expr("p_partkey div 3")) % n).alias("up")), "id", "up")
+
+
 # --- profiles, schemas, runs ------------------------------------------------------------------------------------------
 
 
@@ -546,6 +566,37 @@ def change_feed_events(spark, sf):
     return feed.apply_changes(changes.select("id", "v").limit(0), changes, ["id"], [F.col("ts")], "op")
 
 
+@query("""WITH c AS (SELECT event_id % 3000 AS id, event_type AS v, event_id % 7 = 0 AS gone, row_number() OVER (PARTITION BY event_id % 3000 ORDER BY event_id DESC) AS rn FROM events)
+SELECT id, v FROM c WHERE rn = 1 AND NOT gone UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT id FROM c)""")
+def load_and_feed_customer(spark, sf):
+    """A load between two halves of a feed that come in the wrong order, then the drain."""
+    store = Snapshots(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}", ["id"], "at long", bucket_rows=100_000)
+    changes = table(spark, sf, "events").select((F.col("event_id") % 3000).alias("id"), F.col("event_type").alias("v"), F.col("event_id").alias("__at"), (F.col("event_id") % 7 == 0).alias("__gone"))
+    store.begin_load({"at": -1})
+    last = F.col("__at") % 2 == 1
+    store.apply(changes.filter(last), [F.col("__at")], F.col("__gone"))
+    store.load(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("v")))
+    store.apply(changes.filter(~last), [F.col("__at")], F.col("__gone"))
+    store.end_load()
+    store.drain({"at": 1 << 60})
+    return store.read()
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, (SELECT strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders) AS mark FROM orders")
+def scheduled_sync_orders(spark, sf):
+    """Two ticks: one while rows are missing, older or to be deleted, one over the source as it is."""
+    path, o = f"{folder(spark)}/ticks-{uuid.uuid4().hex}", table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    before = o.filter("o_orderkey % 11 <> 0").withColumns({"o_totalprice": F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise(F.col("o_totalprice")), "o_orderdate": F.when(F.col("o_orderkey") % 5 == 0, F.lit("1990-01-01").cast("timestamp_ntz")).otherwise(F.col("o_orderdate"))})
+    before = before.unionByName(o.filter("o_orderkey % 13 = 0").withColumn("o_orderkey", -F.col("o_orderkey")))
+    store = Snapshots(spark, f"{path}/orders", ["o_orderkey"], sync.POSITION, bucket_rows=100_000)
+    plan = sync.SyncPlan("COMPARE", ("o_orderkey",), None, "rows are compared")
+    for source, plan_ in ((before, plan), (o, plan), (o, sync.SyncPlan("TIMESTAMP", ("o_orderkey",), "o_orderdate", "rows since the mark"))):
+        done = sync.tick({"orders": store}, {"orders": plan_}, {}, lambda _, source=source: source, Lease(spark, path))
+        if not done[0].ok:
+            raise RuntimeError(done[0].note)
+    return store.read().withColumn("mark", F.lit(store.current()["mark"]))
+
+
 @query("SELECT date_diff('second', max(ts), TIMESTAMP '2030-01-01') AS lag_seconds FROM events")
 def feed_lag_events(spark, sf):
     return feed.lag(table(spark, sf, "events"), "ts", F.lit("2030-01-01").cast("timestamp"))

@@ -339,6 +339,23 @@ def observed_kinds_events(spark, sf):
     return nested.observed(table(spark, sf, "events"), nested.kind_of(value), ["event_type"])
 
 
+@query("""WITH e AS (SELECT event_id AS i, length(event_type) AS w FROM events), t AS (SELECT count(*) AS n FROM e)
+SELECT 'id' AS path, 'scalar' AS shape, 1::BIGINT AS shapes, 'int' AS type, 1::BIGINT AS types, n AS present, 0::BIGINT AS nulls, 0::BIGINT AS absent, false AS nullable, NULL::INT AS widest FROM t
+UNION ALL SELECT 'user', CASE WHEN count(*) FILTER (i % 5 < 2) > count(*) FILTER (i % 5 = 2) THEN 'object' ELSE 'scalar' END, 2, 'string', 1, count(*) FILTER (i % 5 < 4), count(*) FILTER (i % 5 = 3), count(*) FILTER (i % 5 = 4), true, max(w) FILTER (i % 5 = 2) FROM e
+UNION ALL SELECT 'user.name', 'scalar', 1, 'string', 1, count(*), 0, (SELECT count(*) FROM e WHERE i % 5 IN (2, 3)), true, max(w) FROM e WHERE i % 5 < 2
+UNION ALL SELECT 'user.age', 'scalar', 1, 'double', 1, count(*), count(*) FILTER (i % 2 = 0), (SELECT count(*) FROM e WHERE i % 5 IN (0, 2, 3)), true, NULL FROM e WHERE i % 5 = 1
+UNION ALL SELECT 'tags', 'array', 1, NULL, 0, n, 0, 0, false, NULL FROM t
+UNION ALL SELECT 'tags[]', 'scalar', 2, 'string', 2, 2 * n + (SELECT count(*) FROM e WHERE i % 3 = 0), 0, 0, false, (SELECT max(w) FROM e) FROM t
+UNION ALL SELECT 'tags[].x', 'scalar', 1, 'long', 1, count(*), 0, (SELECT 2 * n FROM t), true, NULL FROM e WHERE i % 3 = 0""")
+def path_tree_events(spark, sf):
+    i, name = F.col("event_id"), F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    age = F.when(i % 2 == 0, "null").otherwise("41.5")
+    user = F.when(i % 5 == 0, F.format_string('"user": {"name": %s},', name)).when(i % 5 == 1, F.format_string('"user": {"name": %s, "age": %s},', name, age)).when(i % 5 == 2, F.format_string('"user": %s,', name)).when(i % 5 == 3, '"user": null,').otherwise("")
+    tags = F.concat(name, F.lit(", true"), F.when(i % 3 == 0, ', {"x": 5000000000}').otherwise(""))
+    documents = table(spark, sf, "events").select("event_id", F.concat(F.lit("{"), user, F.lit('"tags": ['), tags, F.lit('], "id": '), i.cast("string"), F.lit("}")).alias("json"))
+    return nested.path_tree(documents, "json", ["event_id"])
+
+
 # --- untyped cells ----------------------------------------------------------------------------------------------------
 
 CELLS = """SELECT p_partkey,

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.reconcile import checksum, hashed_columns
+from ..operators.keyranges import KeyRange
 from ..operators.shards import Shard
 
 ALGORITHM = "md5-60/1"
@@ -53,10 +54,11 @@ def done(df: DataFrame, path: str) -> dict[str, dict]:
     return {x["shard"]: x for x in (json.loads(r["value"]) for r in lines)}
 
 
-def copy_shards(df: DataFrame, key: str, shards: Sequence[Shard], path: str, at_once: int = AT_ONCE) -> list[dict]:
+def copy_shards(df: DataFrame, key: str | None, shards: Sequence[Shard | KeyRange], path: str, at_once: int = AT_ONCE) -> list[dict]:
     """Copies the shards that are missing under path and returns the manifest: rows and checksum of each shard.
 
     One scan writes `at_once` shards, each to a folder of its own, and one job checks them; so a stopped copy loses that many.
+    Shards are ranges of `key`, or ranges of any columns from `keyranges.planned`, which need no key.
     """
     spark, there = df.sparkSession, done(df, path)
     missing = [(i, s) for i, s in enumerate(shards) if s.name not in there]
@@ -64,7 +66,8 @@ def copy_shards(df: DataFrame, key: str, shards: Sequence[Shard], path: str, at_
         some = missing[start : start + at_once]
         index = F.lit(None).cast("int")
         for i, s in reversed(some):
-            index = F.when(F.expr(f"({s.predicate(key)})" + (f" OR {key} IS NULL" if i == 0 else "")), i).otherwise(index)
+            met = s.column() if isinstance(s, KeyRange) else F.expr(f"({s.predicate(key)})" + (f" OR {key} IS NULL" if i == 0 else ""))
+            index = F.when(met, i).otherwise(index)
         part = df.withColumn("__shard", index).filter("__shard IS NOT NULL")
         folder = f"{path}/group={some[0][0]}-{some[-1][0]}"
         retried(lambda part=part, folder=folder: part.write.mode("overwrite").partitionBy("__shard").parquet(folder))

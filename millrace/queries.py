@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells, dialect, names, pivot
-from .operators import hierarchy, integrity, nested, profile, reconcile, schemas, shards
+from .operators import drilldown, hierarchy, integrity, keyranges, nested, profile, reconcile, repair, schemas, shards
 from .plans import migrate, resume, sync
 from .session import folder
 from .sources import tables
@@ -162,6 +162,9 @@ FKS = [
 ]
 
 
+TABLES_ = ["lineitem", "orders", "customer", "nation", "region", "part", "supplier"]
+
+
 def _parents(spark, sf):
     return table(spark, sf, "customer").filter("c_custkey % 7 <> 0")
 
@@ -424,6 +427,45 @@ def cycles_part(spark, sf):
     return hierarchy.cycles(p.select(F.col("p_partkey").alias("id"), (1 + (F.col("p_partkey") * 7 + F.expr("p_partkey div 3")) % n).alias("up")), "id", "up")
 
 
+EDGES = "child string, parent string, child_columns array<string>, parent_columns array<string>"
+HELD = {"region": "r_regionkey <> 1", "customer": "c_custkey % 7 <> 0", "part": "p_partkey % 11 <> 0", "supplier": "s_suppkey % 5 <> 0"}
+
+
+def _repaired(t: str) -> str:
+    """A table's rows after all of its parents' repairs, as nested conditions."""
+    ways = [f"EXISTS (SELECT 1 FROM ({_repaired(p)}) x WHERE x.{pk[0]} = {t}.{ck[0]})" for c, p, ck, pk in FKS if c == t]
+    return f"SELECT * FROM {t} WHERE {' AND '.join([HELD.get(t, 'true'), *ways])}"
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", (SELECT count(*) FROM {t} WHERE {HELD.get(t, 'true')}) AS row_count, (SELECT count(*) FROM {t} WHERE {HELD.get(t, 'true')}) - (SELECT count(*) FROM ({_repaired(t)})) AS deleted""" for t in TABLES_))
+def repair_graph(spark, sf):
+    """Some parents are missing; what is deleted for that, over all keys, until no orphan is left."""
+    edges = spark.createDataFrame([(c, p, ck, pk) for c, p, ck, pk in FKS], EDGES)
+    return repair.repair_all({t: table(spark, sf, t).filter(HELD.get(t, "true")) for t in TABLES_}, edges)[1]
+
+
+@query(f"SELECT 8 AS shards, true AS balanced, {SUMS} FROM (SELECT {_hash('source', 'doc_id::VARCHAR', 'n_chars::VARCHAR')} AS h FROM documents)")
+def key_ranges_documents(spark, sf):
+    """A copy in eight ranges of (source, doc_id), half of it, then the rest by the same cuts."""
+    docs, path = table(spark, sf, "documents").select("source", "doc_id", "n_chars"), f"{folder(spark)}/ranges-{uuid.uuid4().hex}"
+    cut = keyranges.planned(docs, ["source", "doc_id"], 8, f"{path}/plan")
+    resume.copy_shards(docs, None, cut[:4], f"{path}/copy")
+    done = resume.copy_shards(docs, None, keyranges.planned(docs, ["source", "doc_id"], 8, f"{path}/plan"), f"{path}/copy")
+    whole, most = resume.combined(done), max(x["row_count"] for x in done)
+    return spark.createDataFrame([(len(done), most <= 2 * whole["row_count"] / 8, *whole.values())], "shards int, balanced boolean, row_count long, hash_xor long, hash_sum long")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'insert' WHEN o_orderkey % 4 = 1 THEN 'update' ELSE 'delete' END AS action FROM orders
+WHERE (o_orderkey BETWEEN 1000 AND 1300 OR o_orderkey BETWEEN 40000 AND 40100) AND o_orderkey % 4 < 2 UNION ALL SELECT -o_orderkey, 'delete' FROM orders WHERE o_orderkey BETWEEN 1 AND 99""")
+def drill_down_orders(spark, sf):
+    """Differences in two stretches of keys, and rows before all keys of the source, found by key ranges."""
+    o = table(spark, sf, "orders")
+    hit = F.col("o_orderkey").between(1000, 1300) | F.col("o_orderkey").between(40000, 40100)
+    target = o.filter(~(hit & (F.col("o_orderkey") % 4 == 0))).withColumn("o_totalprice", F.when(hit & (F.col("o_orderkey") % 4 == 1), -1.0).otherwise(F.col("o_totalprice")))
+    target = target.unionByName(o.filter("o_orderkey BETWEEN 1 AND 99").withColumn("o_orderkey", -F.col("o_orderkey")))
+    return drilldown.drill_down(o, target, ["o_orderkey"])[0]
+
+
 # --- profiles, schemas, runs ------------------------------------------------------------------------------------------
 
 
@@ -481,17 +523,27 @@ def shape_check_customer(spark, sf):
 
 @query("SELECT * FROM (VALUES ('region', 0), ('part', 0), ('supplier', 0), ('nation', 1), ('customer', 2), ('orders', 3), ('lineitem', 4)) v(name, wave)")
 def dependency_waves(spark, sf):
+    """References are found in the data: of all pairs named by their columns, also the wrong way round, those without an orphan."""
+    tried = [*FKS, *((p, c, pk, ck) for c, p, ck, pk in FKS)]
+    none = [integrity.orphans(table(spark, sf, c), table(spark, sf, p), integrity.ForeignKey("", ck, pk)).agg((F.count("*") == 0).alias("holds")).select(F.lit(c).alias("child"), F.lit(p).alias("parent"), "holds") for c, p, ck, pk in tried]
+    found = functools.reduce(DataFrame.unionByName, none).filter("holds").collect()  # a row for each pair
+    size = {t: table(spark, sf, t).count() for t in TABLES_}
     parents = {}
-    for c, p, *_ in FKS:
-        parents.setdefault(c, []).append(p)
-    found = schemas.waves(["lineitem", "orders", "customer", "nation", "region", "part", "supplier"], parents)
-    return spark.createDataFrame([(t, i) for i, w in enumerate(found) for t in w], "name string, wave int")
+    for e in found:
+        if size[e["child"]] >= size[e["parent"]]:  # where both directions hold, the larger table refers
+            parents.setdefault(e["child"], []).append(e["parent"])
+    return spark.createDataFrame([(t, i) for i, w in enumerate(schemas.waves(TABLES_, parents)) for t in w], "name string, wave int")
 
 
-@query("SELECT * FROM (VALUES ('NUMBER(4)', 'smallint'), ('NUMBER(9)', 'int'), ('NUMBER(18)', 'bigint'), ('NUMBER(20)', 'decimal(20,0)'), ('NUMBER(10,2)', 'decimal(10,2)'), ('NUMBER', 'decimal(38,10)'), ('VARCHAR2(30)', 'string'), ('DATE', 'timestamp_ntz'), ('TIMESTAMP(6)', 'timestamp_ntz'), ('TIMESTAMP WITH TIME ZONE', 'timestamp'), ('BLOB', 'binary'), ('BOOLEAN', 'boolean'), ('BINARY_FLOAT', 'float')) v(pivot_type, spark_type)")
+WHOLE = [("orders", "o_orderkey"), ("orders", "o_custkey"), ("part", "p_size"), ("lineitem", "l_linenumber"), ("events", "event_id"), ("documents", "n_chars")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, 'NUMBER(' || d || ')' AS pivot_type, CASE WHEN d <= 4 THEN 'smallint' WHEN d <= 9 THEN 'int' WHEN d <= 18 THEN 'bigint' ELSE 'decimal(' || d || ',0)' END AS spark_type FROM (SELECT max(length(abs({c})::VARCHAR)) AS d FROM {t})" for t, c in WHOLE))
 def pivot_types(spark, sf):
-    some = ["NUMBER(4)", "NUMBER(9)", "NUMBER(18)", "NUMBER(20)", "NUMBER(10,2)", "NUMBER", "VARCHAR2(30)", "DATE", "TIMESTAMP(6)", "TIMESTAMP WITH TIME ZONE", "BLOB", "BOOLEAN", "BINARY_FLOAT"]
-    return spark.createDataFrame([(p, pivot.to_spark(p)[0].simpleString()) for p in some], "pivot_type string, spark_type string")
+    """The narrowest whole-number type of a column, from its values."""
+    widest = [table(spark, sf, t).agg(F.max(F.length(F.abs(c).cast("string"))).alias("digits")).select(F.lit(c).alias("name"), "digits") for t, c in WHOLE]
+    found = functools.reduce(DataFrame.unionByName, widest).collect()  # a row for each column
+    return spark.createDataFrame([(r["name"], p, pivot.to_spark(p)[0].simpleString()) for r in found for p in [f"NUMBER({r['digits']})"]], "name string, pivot_type string, spark_type string")
 
 
 # --- functions of other dialects ----------------------------------------------------------------------------------------
@@ -560,13 +612,18 @@ def sequence_nation(spark, sf):
     return shards.numbered(table(spark, sf, "nation").select("n_nationkey", "n_name"), ["n_name"]).select("n_nationkey", (100 + 5 * (F.col("row_no") - 1)).alias("seq"))
 
 
-@query("SELECT * FROM (VALUES ('last_updated', true), ('modified_on', true), ('ts_changed', true), ('row_version', true), ('created', false)) v(name, chosen)")
+@query("""SELECT 'orders' AS name, 'modified_on' AS "column", strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS mark FROM orders
+UNION ALL SELECT 'lineitem', 'ship_updated', strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') FROM lineitem UNION ALL SELECT 'part', NULL, NULL""")
 def change_columns(spark, sf):
-    names_ = ["last_updated", "modified_on", "ts_changed", "row_version", "created"]
-    one = spark.createDataFrame([], "x int")
-    return spark.createDataFrame([(n, sync.change_column(one.select(F.lit(None).cast("timestamp").alias(n)).schema) == n) for n in names_], "name string, chosen boolean")
-
-
+    """The column by which each table would be synchronised, and the mark that its rows give."""
+    tables_ = {
+        "orders": table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("modified_on")),
+        "lineitem": table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("updated_by"), F.col("l_shipdate").alias("ship_updated")),
+        "part": table(spark, sf, "part"),
+    }
+    chosen = {t: sync.change_column(df.schema) for t, df in tables_.items()}
+    marks = [reconcile.next_mark(df, c) if (c := chosen[t]) else spark.createDataFrame([(None,)], "mark string") for t, df in tables_.items()]
+    return functools.reduce(DataFrame.unionByName, [m.select(F.lit(t).alias("name"), F.lit(chosen[t]).alias("column"), "mark") for t, m in zip(tables_, marks, strict=True)])
 
 
 # --- change feeds and keys ----------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -39,13 +40,21 @@ def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
 def diagnose(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
     """One row: orphans, child and parent rows, and whether the parent looks as if it was never loaded.
 
-    The child is counted by key before it meets the parents, so it is read once and a frequent or null key is one row.
+    Both tables are counted by key in one aggregate, so each is read once, a frequent or null key is combined before the
+    shuffle, and nothing is joined. Text meets another type by that type.
     """
-    counts = child.groupBy(*fk.child).agg(F.count("*").alias("__n"))
-    keys = parent.select(*(F.col(p).alias(f"__p{i}") for i, p in enumerate(fk.parent))).distinct()
-    met = counts.join(keys, [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(fk.child)], "left")
-    lost = F.sum(F.when(F.col("__p0").isNull() & _whole(fk), F.col("__n")).otherwise(0))
-    out = met.agg(F.coalesce(lost, F.lit(0)).alias("orphan_rows"), F.coalesce(F.sum("__n"), F.lit(0)).alias("child_rows")).join(parent.agg(F.count("*").alias("parent_rows")))  # one row each
+    a, b = ([df.schema[c].dataType for c in cs] for df, cs in ((child, fk.child), (parent, fk.parent)))
+    common = [(y if isinstance(x, T.StringType) else x).simpleString() if isinstance(x, T.StringType) != isinstance(y, T.StringType) else None for x, y in zip(a, b, strict=True)]
+
+    def keys(df: DataFrame, columns: Sequence[str], mine: int) -> DataFrame:
+        return df.select(*((F.col(c).try_cast(k) if k else F.col(c)).alias(f"k{i}") for i, (c, k) in enumerate(zip(columns, common, strict=True))), F.lit(mine).cast("long").alias("c"), F.lit(1 - mine).cast("long").alias("p"))
+
+    names = [f"k{i}" for i in range(len(common))]
+    by = keys(child, fk.child, 1).unionByName(keys(parent, fk.parent, 0)).groupBy(*names).agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(n).isNotNull()
+    out = by.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((F.when(whole & (F.col("p") == 0), F.col("c")).otherwise(0), "orphan_rows"), (F.col("c"), "child_rows"), (F.col("p"), "parent_rows"))))
     return out.select(F.lit(fk.name).alias("fk"), "orphan_rows", "child_rows", "parent_rows", ((F.col("parent_rows") == 0) & (F.col("child_rows") > 0)).alias("parent_looks_empty"))
 
 

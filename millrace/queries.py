@@ -12,7 +12,7 @@ from .functions import cells, dialect, names, pivot
 from .operators import drilldown, hierarchy, integrity, keyranges, nested, profile, reconcile, repair, schemas, shards
 from .plans import migrate, resume, sync
 from .session import folder
-from .sources import tables
+from .sources import sinks, tables
 from .sources.files import Lease
 from .sources.snapshots import Snapshots
 from .streaming import feed
@@ -466,6 +466,14 @@ def drill_down_orders(spark, sf):
     return drilldown.drill_down(o, target, ["o_orderkey"])[0]
 
 
+@query(f"SELECT {SUMS} FROM (SELECT {ORDER_HASH} AS h FROM orders)")
+def committed_copy_orders(spark, sf):
+    """A copy that counts once its manifest is written, read back."""
+    target = sinks.Files(f"{folder(spark)}/sink-{uuid.uuid4().hex}")
+    sinks.write(table(spark, sf, "orders"), target)
+    return reconcile.checksum(target.read(spark))
+
+
 # --- profiles, schemas, runs ------------------------------------------------------------------------------------------
 
 

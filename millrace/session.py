@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -30,22 +31,29 @@ def folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads all see the same rows."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if SCOPES:
-        SCOPES[-1].append(path)
+    if scopes := _scopes():
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SCOPES: list[list[str]] = []
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The scopes open in this thread."""
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables kept within the block are deleted at its end; what is to outlive it must be written elsewhere by then."""
-    SCOPES.append([])
+    """Tables kept within the block, by this thread, are deleted at its end; what is to outlive it must be written elsewhere by then."""
+    _scopes().append([])
     try:
         yield
     finally:
         conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-        for p in map(path, SCOPES.pop()):
+        for p in map(path, _scopes().pop()):
             p.getFileSystem(conf).delete(p, True)

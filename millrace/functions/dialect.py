@@ -25,9 +25,14 @@ MASKS = {
 TOKEN = re.compile("|".join(sorted(MASKS, key=len, reverse=True)) + "|[A-Z]", re.IGNORECASE)
 
 
+def _said(text: str) -> str:
+    """Text that stands for itself in a date pattern."""
+    return re.sub("[A-Za-z']*[A-Za-z][A-Za-z']*", lambda m: "'" + m[0].replace("'", "''") + "'", text) if re.search("[A-Za-z]", text) else text.replace("'", "''")
+
+
 def pattern(mask: str) -> str:
     """A date mask as a date pattern; letters that are no token stand for themselves."""
-    return TOKEN.sub(lambda m: MASKS.get(m[0].upper(), f"'{m[0]}'"), mask)
+    return re.sub("(?<=[A-Za-z])''(?=[A-Za-z])", "", TOKEN.sub(lambda m: MASKS.get(m[0].upper(), f"'{m[0]}'"), mask))
 
 
 def decode(value: Column, *pairs: Column) -> Column:
@@ -171,3 +176,65 @@ def default_value(text: str | None, kind: str) -> tuple[Column | None, str]:
     if kind == "string":
         return F.lit(bare), ""
     return F.lit(bare).try_cast(kind), ""
+
+
+#: Percent tokens of date masks and their date patterns. Fixed values.
+PERCENT = {
+    "Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "I": "hh", "l": "h", "i": "mm", "s": "ss", "S": "ss", "f": "SSSSSS",
+    "p": "a", "M": "MMMM", "b": "MMM", "W": "EEEE", "a": "EEE", "j": "DDD", "T": "HH:mm:ss", "r": "hh:mm:ss a",
+}
+
+
+def percent_pattern(mask: str) -> str:
+    """A date mask with percent tokens as a date pattern; other letters, and unknown tokens' letters, stand for themselves."""
+    out, plain = [], ""
+    for token, other in [*re.findall(r"%(.)|([^%])", mask, flags=re.S), ("", "")]:
+        if other or token and token not in PERCENT:
+            plain += other or token
+            continue
+        out.append(_said(plain) + PERCENT.get(token, ""))
+        plain = ""
+    return "".join(out)
+
+
+def date_format(d: Column, mask: str) -> Column:
+    return F.date_format(d, percent_pattern(mask))
+
+
+def str_to_date(text: Column, mask: str) -> Column:
+    """Null where the text does not fit the mask."""
+    return F.try_to_timestamp(text, F.lit(percent_pattern(mask))).cast("timestamp_ntz")
+
+
+def ceiling(x: Column) -> Column:
+    return F.ceil(x)
+
+
+def to_number(text: Column, mask: str | None = None) -> Column:
+    """Text as a number with ten digits after the point, or by a mask of 9, 0, D, G, S, MI, PR and currency; null where it does not fit."""
+    if mask is None:
+        return F.trim(text).try_cast("decimal(38,10)")
+    return F.try_to_number(F.trim(text), F.lit(re.sub("(?i)^FM", "", mask).upper().replace("L", "$")))
+
+
+#: Type names in conversions and the Spark types that hold them. Fixed values.
+CONVERTED = {
+    "bit": "boolean", "tinyint": "smallint", "smallint": "smallint", "int": "int", "integer": "int", "bigint": "bigint", "real": "float", "float": "double", "money": "decimal(19,4)",
+    "smallmoney": "decimal(10,4)", "date": "date", "datetime": "timestamp_ntz", "datetime2": "timestamp_ntz", "smalldatetime": "timestamp_ntz", "datetimeoffset": "timestamp",
+    "uniqueidentifier": "string", "text": "string", "ntext": "string", "binary": "binary", "varbinary": "binary", "image": "binary",
+}
+UNSIZED = 30  # characters of a conversion to text whose type names no length
+
+
+def convert(type_name: str, x: Column) -> Column:
+    """CONVERT and CAST by another engine's type name; null where the value does not fit. Text is cut to the type's length."""
+    name, _, size = type_name.strip().lower().rstrip(")").partition("(")
+    name = name.strip()
+    if name in ("char", "nchar", "varchar", "nvarchar"):
+        text = x.cast("string")
+        return text if size.strip() == "max" else F.substring(text, 1, int(size or UNSIZED))
+    if name in ("decimal", "numeric", "dec"):
+        return x.try_cast(f"decimal({size or '18,0'})")
+    if name not in CONVERTED:
+        raise ValueError(f"no type for {type_name}")
+    return x.try_cast(CONVERTED[name])

@@ -612,7 +612,21 @@ def dialect_top_n(spark, sf):
 
 @query("SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'unknown') AS segment, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END, 0) AS balance FROM customer")
 def default_values_customer(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("unknown")).alias("segment"), F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")), F.lit(0.0)).alias("balance"))
+    """Missing values by their columns' default texts."""
+    c = table(spark, sf, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("balance"))
+    defaults = {n: dialect.default_value(text, c.schema[n].dataType.simpleString())[0] for n, text in (("segment", "'unknown'"), ("balance", "((0.0))"), ("c_custkey", "NULL"))}
+    return c.select(*(F.coalesce(n, defaults[n]).alias(n) if defaults[n] is not None else n for n in c.columns))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d at %H:%M') AS shown, strftime(o_orderdate, '%-d.%-m.%y') AS short, date_trunc('day', o_orderdate) AS back, ceil(o_totalprice)::BIGINT AS up, substr(o_orderpriority, 1, 3) AS cut,
+CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::INT END AS number, o_orderkey % 3 > 0 AS flag, round(o_totalprice, 2)::DECIMAL(18,2)::VARCHAR AS money FROM orders""")
+def dialect_masks(spark, sf):
+    day, key = F.col("o_orderdate"), F.col("o_orderkey")
+    text = F.when(key % 2 == 0, key.cast("string")).otherwise(F.concat(F.lit("n"), key.cast("string")))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", dialect.date_format(day, "%Y/%m/%d at %H:%i").alias("shown"), dialect.date_format(day, "%e.%c.%y").alias("short"), dialect.str_to_date(dialect.date_format(day, "%d-%m-%Y"), "%d-%m-%Y").alias("back"), dialect.ceiling(F.col("o_totalprice")).alias("up"),
+        dialect.convert("VARCHAR(3)", F.col("o_orderpriority")).alias("cut"), dialect.convert("int", text).alias("number"), dialect.convert("bit", (key % 3).cast("int")).alias("flag"), dialect.to_number(F.format_string("%.2f", "o_totalprice")).cast("decimal(18,2)").cast("string").alias("money"),
+    )
 
 
 @query("SELECT n_nationkey, 100 + 5 * (row_number() OVER (ORDER BY n_name) - 1) AS seq FROM nation")

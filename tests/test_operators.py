@@ -417,3 +417,18 @@ def test_defaults_and_regexp_places(spark):
         assert value is None and word in why
     places = row.select(*(dialect.regexp_instr(F.lit("ab12cd345e6"), "[0-9]+", n).alias(str(n)) for n in (1, 2, 3, 4))).first()
     assert tuple(places) == (3, 7, 11, 0)
+
+
+def test_percent_masks_type_names_and_numbers(spark):
+    assert dialect.percent_pattern("%Y-%m-%dT%H:%i:%s.%f %% at %q o'x") == "yyyy-MM-dd'T'HH:mm:ss.SSSSSS % 'at' 'q' 'o''x'"
+    assert dialect.pattern("DD of YYYY") == "dd 'of' yyyy"
+    t = F.lit("2024-03-09 15:04:05.000678").cast("timestamp_ntz")
+    shown = lambda m: spark.range(1).select(dialect.date_format(t, m)).first()[0]
+    assert shown("%W %a %b %M %e %c %k %l %p %j %T %f") == "Saturday Sat Mar March 9 3 15 3 PM 069 15:04:05 000678"
+    assert tuple(spark.range(1).select(dialect.str_to_date(F.lit("09/03/24"), "%d/%m/%y").cast("string"), dialect.str_to_date(F.lit("x"), "%d")).first()) == ("2024-03-09 00:00:00", None)
+    numbers = [dialect.to_number(F.lit(x), m) for x, m in ((" 12.5 ", None), ("x", None), ("1,234.50", "FM9G999D00"), ("$7", "L9"), ("12", "9"))]
+    assert [None if v is None else float(v) for v in spark.range(1).select(*numbers).first()] == [12.5, None, 1234.5, 7.0, None]
+    made = [dialect.convert(k, F.lit(x)) for k, x in (("nvarchar(max)", "a" * 40), ("varchar", "a" * 40), ("decimal(5, 2)", "1.239"), ("money", "1.5"), ("bit", 1), ("int", "q"), ("NUMERIC", "7.6"))]
+    assert [str(v) for v in spark.range(1).select(*made).first()] == ["a" * 40, "a" * 30, "1.24", "1.5000", "True", "None", "8"]
+    with pytest.raises(ValueError):
+        dialect.convert("geometry", F.lit(1))

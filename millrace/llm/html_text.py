@@ -67,6 +67,7 @@ MUTE_WORDS = frozenset(
     "cookie cookies consent gdpr privacy notice notices notification notifications popup popups modal overlay lightbox toast alert paywall disclaimer newsletter subscribe subscription signup signin "
     "login register search form share sharing social related recommended recommendations trending popular".split()
 )
+ASIDE_WORDS = frozenset("sidebar aside rail widget widgets footer promo promos promoted sponsor sponsored related recommended recommendations trending popular".split())
 COMMENT_WORDS = frozenset("comment comments commentlist commenter disqus respond responses reply replies discussion kommentar kommentare commentaires comentarios".split())
 LAYOUT_WORDS = frozenset("has with without no not layout open closed enabled disabled left right wrapper page body overflow".split())
 HIDDEN_NAMES = frozenset("hidden d-none visually-hidden sr-only screen-reader-text".split())
@@ -77,7 +78,7 @@ COMMENTS_TITLE = re.compile(
     r"(?:related|recommended|more|similar) (?:articles|posts|stories|news|reading)\W*", re.I
 )
 
-NONE, SAID, CLASS, COMMENTS = range(4)  # why an element is muted: not, by tag or role, by class or form, as reader comments
+NONE, SAID, CLASS, COMMENTS, ASIDE = range(5)  # why an element is muted: not, by tag or role, by class or form, as reader comments, by a class of what may hold articles of its own
 
 
 @dataclass(slots=True)
@@ -116,7 +117,7 @@ def _judged(tag: str, rest: str, within: bool) -> tuple[int, bool]:
         if COMMENT_WORDS.intersection(words):
             return (NONE if tag in ("html", "body") else COMMENTS), False
         if not said and (MUTE_WORDS.intersection(words) or "header" in words and not within and not {"article", "post", "entry", "story"}.intersection(words)):
-            why = CLASS
+            why = ASIDE if ASIDE_WORDS.intersection(words) else CLASS
     if tag == "form":
         why = CLASS
     elif tag in MUTE_TAGS or at.get("role", "").lower() in MUTE_ROLES or tag == "header" and not within:
@@ -224,7 +225,7 @@ def _believed(lines: list[Line], nodes: list[Node]) -> None:
     for x in lines:
         by[x.mute] += x.plain
     for k, n in by.items():
-        if k >= 0 and nodes[k].why == CLASS:
+        if k >= 0 and nodes[k].why in (CLASS, ASIDE):
             unended = not nodes[k].ended and 2 * n > total
             if unended or n > MOST * total and n > LARGE:
                 for x in lines:

@@ -141,6 +141,8 @@ PAGES = {
     "quotes": ('<article><p title="a > b" data-x=\'<p>\'>one</p><p>two <a href="x', "one\n\ntwo"),
     "never closed": ("<article><h1>T<p><b>Bold.<br><p>Next</article><footer>no", "T\n\nBold.\n\nNext"),
     "wrapper": (f"<body class='has-sidebar'><div class='modal'><div>{BODY * 4}</div></div>", "\n\n".join([TEXT] * 4)),
+    "teasers": (f"<div class=c><h1>Title</h1>{BODY}</div><div class=related-posts><article><h3>Other</h3><p>{S}</p></article></div>", TITLED),
+    "parts within": (f"<div id=content><h1>Title</h1><p class=advert>{S}</p>{BODY}<ul class=share-buttons><li>Post</ul></div><ol class=comment-list><li>{S * 9}</ol><div role=complementary>{S * 9}</div>", TITLED),
     "no article": ("<nav><a>x</a></nav><footer>y</footer>", ""),
     "text alone": ("just text", "just text"),
     "empty": ("", ""),

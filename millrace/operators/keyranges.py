@@ -63,8 +63,11 @@ class KeyRange:
         for k in self.keys:
             whole = whole & F.col(f"`{k}`").isNotNull()
         cut = lambda c: F.struct(*(F.lit(v).alias(k) for k, v in zip(self.keys, c, strict=True)))
+        if len(self.keys) == 1:  # a plain comparison is compiled, that of structs is not
+            key, cut = F.col(f"`{self.keys[0]}`"), lambda c: F.lit(c[0])
         inside = F.lit(True) if self.low is None else key >= cut(self.low)
         inside = inside & (key < cut(self.high)) if self.high is not None else inside
+        inside = F.coalesce(inside, F.lit(False))
         return (inside | ~whole) if self.low is None else (inside & whole)
 
 

@@ -1,6 +1,7 @@
 """Line dedup, decontamination, near-duplicates, secrets and the classifier on small tables, with hard rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -264,6 +265,80 @@ def test_the_field_finds_secrets_that_the_base_misses(spark):
     assert again == {i: r["spans"] for i, r in by.items()}
 
 
+def test_the_field_finds_kinds_of_secrets_by_shape_and_context(spark):
+    """Kinds beyond the base patterns, some of which no mask makes; texts with odd but harmless words stay."""
+    rng = random.Random(23)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def of(chars, n):
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    kinds = [
+        lambda: "ghp_" + of(alnum, 36),
+        lambda: "sk_live_" + of(alnum, 24),
+        lambda: f"Bearer eyJ{of(alnum, 33)}.eyJ{of(alnum, 60)}.{of(alnum, 43)}",
+        lambda: f"postgres://admin:{of(alnum, 12)}@db.example.com:5432/main",
+        lambda: "password is " + of(alnum, 12),
+        lambda: "passphrase -> " + of(alnum, 14),
+        lambda: of(alnum, 20),
+        lambda: f"xoxb-{of('0123456789', 12)}-{of('0123456789', 12)}-{of(alnum, 24)}",
+        lambda: "-".join(of("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+    ]
+    rows = [(i, f"{words(rng, 30)} token = \"{of('0123456789abcdef', 40)}\" {words(rng, 30)}", "en", "a") for i in range(300)]
+    rows += [(i, words(rng, 80), "en", "a") for i in range(300, 600)]
+    hidden = {1000 + i: kinds[i % 9]() for i in range(180)}
+    rows += [(i, f"{words(rng, 25)} {h} {words(rng, 25)}", "en", "a") for i, h in hidden.items()]
+    odd = ("https://www.example.org/2021/05/how-to-bake?ref=home", "2023-04-05T10:22:31Z", "jane.doe27@company.example.net", "your password is required", "quarterly_report_final_2023.xlsx", "DE" + "1234567890" * 2, "+49-301234567", "internationalisation_of_everything")
+    rows += [(2000 + i, f"{words(rng, 25)} {odd[i % 8]} {words(rng, 25)}", "en", "a") for i in range(160)]
+    texts, by = {i: t for i, t, *_ in rows}, {r["doc_id"]: r for r in secret_crf.scan(frame(spark, rows)).collect()}
+    found = [0] * 9
+    for i, h in hidden.items():
+        value = h.split()[-1]
+        at = texts[i].index(value)
+        found[i % 1000 % 9] += any(k == "crf" and int(a) < at + len(value) and int(b) > at for k, a, b in (x.split(":") for x in by[i]["spans"].split(",") if x))
+    assert min(found) >= 14 and sum(found) >= 162, found
+    assert sum(by[2000 + i]["n_crf"] for i in range(160)) <= 4
+    assert sum(by[i]["n_crf"] for i in range(300, 600)) == 0
+
+
+def test_gradient_and_best_path_against_all_tag_sequences():
+    g = np.random.default_rng(3)
+    weights, move = g.normal(size=(secret_crf.DIM, 3)), g.normal(size=(3, 3))
+    data = [([g.integers(0, secret_crf.DIM, 4) for _ in range(n)], g.integers(0, secret_crf.DIM, 3), g.integers(0, 3, n)) for n in (1, 2, 3, 5, 5)]
+    batch, = secret_crf.batched(data)
+    grad, m, z = secret_crf.gradient(batch, weights, move)
+    at, moves = 0, np.zeros((3, 3))
+    for k, (own, file, tags) in enumerate(data):
+        n = len(tags)
+        score = np.array([weights[f].sum(0) for f in own]) + weights[file].sum(0)
+        paths = list(itertools.product(range(3), repeat=n))
+        of = np.array([score[np.arange(n), p].sum() + sum(move[x, y] for x, y in itertools.pairwise((0, *p, 0))) for p in paths])
+        total = np.logaddexp.reduce(of)
+        assert abs(total - z[k]) < 1e-9
+        for p, chance in zip(paths, np.exp(of - total), strict=True):
+            for t in range(n):
+                grad[at + t, p[t]] += chance
+            for x, y in itertools.pairwise(p):
+                moves[x, y] -= chance
+        for x, y in itertools.pairwise(tags):
+            moves[x, y] += 1
+        assert np.allclose(grad[at : at + n], np.eye(3)[tags])
+        at += n
+        assert tuple(secret_crf.viterbi(score, move)) == paths[int(of.argmax())]
+    assert np.allclose(m, moves)
+
+
+def test_training_raises_the_likelihood():
+    g = np.random.default_rng(4)
+    data = [([g.integers(0, 50, 4) + 50 * t for t in tags], np.array([200, 201, 202]), tags) for tags in (g.integers(0, 3, 6) for _ in range(40))]
+    weights, move, square = np.zeros((secret_crf.DIM, 3)), np.zeros((3, 3)), np.zeros((secret_crf.DIM, 3))
+    parts = secret_crf.batched(data)
+    before = sum(np.abs(secret_crf.gradient(p, weights, move)[0]).sum() for p in parts)
+    for _ in range(20):
+        secret_crf.epoch(parts, weights, move, square)
+    assert sum(np.abs(secret_crf.gradient(p, weights, move)[0]).sum() for p in parts) < 0.1 * before
+
+
 def test_words_of_one_look_have_the_same_features():
     rng = random.Random(22)
     for _ in range(3000):

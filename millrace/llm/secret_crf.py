@@ -10,9 +10,9 @@ all tasks are averaged, for ``rounds`` rounds.
 So that it finds what the base patterns miss, each window with a base match is also learnt from ``COPIES`` masked copies: the
 key word goes, or gives way to a plain word, to another key word or to one that is joined by words or an arrow; the value
 stays, becomes upper case, or is replaced by a made-up one: other characters, a value behind a short prefix, parts between
-dots, a login within a URI, hexadecimals, a short value (which then keeps a key word before it). In such copies the value
+dots, a login or a long key within a URI, hexadecimals, a short value (which then keeps a key word before it). In such copies the value
 alone is the secret. So that not all that looks odd is a secret, windows are also learnt with decoys in place of some plain
-words: addresses, dates, numbers, names of files, numbered codes, compound words, key words before plain words. A window without a base match
+words: addresses, dates, numbers, names of files, numbered codes, hashtags, compound words, key words before plain words. A window without a base match
 that holds a word which might be a secret (``doubtful``) teaches nothing either way and is left out.
 
 Viterbi decoding is exact over the whole text: where "outside" leads by more than changed neighbours could cost, the best
@@ -50,7 +50,7 @@ KINDS = ("assign", "access", "hex", "crf")
 CANDIDATE = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
-DIM, SAMPLE, AROUND, ROUNDS, RATE, MAX_TYPES, MAX_LOOKS, POOL, COPIES, BATCH = 8192, 1_500, 25, 4, 0.1, 300_000, 50_000, 40_000, 3, 8
+DIM, SAMPLE, AROUND, ROUNDS, RATE, MAX_TYPES, MAX_LOOKS, POOL, COPIES, BATCH = 8192, 1_500, 25, 4, 0.1, 300_000, 50_000, 40_000, 6, 8
 OUT, BEGIN, INSIDE = range(3)
 
 
@@ -90,7 +90,7 @@ def features(word: bytes) -> list[str]:
     if n >= LONG:
         out += [f"entropy={min(int(2 * entropy(core)), 10)}", f"hex={re.fullmatch(rb'[0-9a-fA-F]+', core) is not None}", f"mix={mix}&entropy={min(int(2 * entropy(core)), 10)}", f"all={'d' if digits == n else 'a' if digits == 0 else 'm'}"]
     low = core.lower().replace(b"_", b"").replace(b"-", b"")
-    if any(k in low for k in (b"password", b"passwd", b"secret", b"token", b"apikey", b"key", b"auth", b"bearer", b"credential")) or low in (b"pass", b"pwd", b"passphrase", b"login"):
+    if any(k in low for k in (b"password", b"passwd", b"secret", b"token", b"apikey", b"key", b"auth", b"bearer", b"credential", b"kennwort", b"passwort", b"contrase", b"clave")) or low in (b"pass", b"passe", b"pwd", b"passphrase", b"login", b"code"):
         out.append("keyword")
     out += [f"has={c}" for c in "=:@/_-+." if c.encode() in word] + ([f"only={word.decode('latin1')}"] if word in (b"=", b":", b"=>", b":=") else [])
     return out
@@ -110,7 +110,7 @@ LOGIN = re.compile(rb"://[^/@]*:[^/@]+@")
 
 #: Letters and digits by class, other ASCII as it is.
 CLASSES = bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 else 48 if 48 <= c < 58 else c if c < 128 else 127 for c in range(256))
-KEYWORD = re.compile(rb"pass|pwd|login|secret|token|key|auth|bearer|credential", re.IGNORECASE)
+KEYWORD = re.compile(rb"pass|pwd|login|secret|token|key|auth|bearer|credential|code|kennwort|contrase|clave", re.IGNORECASE)
 MIXED = re.compile(rb"(?=.*[0-9]).*[A-Za-z]", re.DOTALL)
 LONG, SHORT = 16, 8
 
@@ -211,8 +211,8 @@ DOUBTFUL = re.compile(rb"""["'`]?(?=[A-Za-z.+/_-]*[0-9])(?=[0-9.+/_-]*[A-Za-z])[
 #: What masked copies and decoys are made of.
 LOWER, DIGIT = b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 ALNUM = LOWER + LOWER.upper() + DIGIT
-CUES = (b"password", b"passphrase", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"login")
-JOINTS = ((), (b"is",), (b"->",), (b"=>",), (b"was",), (b"now",))
+CUES = (b"password", b"passphrase", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"login", b"code", b"Kennwort", b"Passwort", "contraseña".encode(), b"clave", b"passe")
+JOINTS = ((), (b"is",), (b"->",), (b"=>",), (b"was",), (b"now",), (b":",), (b"lautet",), (b"es",), (b"est",))
 
 
 def doubtful(words: list[bytes]) -> bool:
@@ -226,7 +226,7 @@ def made(rng: random.Random, alphabet: bytes, least: int, most: int) -> bytes:
 
 def disguised(value: bytes, rng: random.Random) -> bytes:
     """A value as it is, in upper case, or one of another form in its place."""
-    form = rng.randrange(10)
+    form = rng.randrange(13)
     if form < 2:
         return value.upper() if form else value
     if form == 2:
@@ -242,7 +242,13 @@ def disguised(value: bytes, rng: random.Random) -> bytes:
         return b"%s://%s:%s@%s.%s/%s" % (made(rng, LOWER, 3, 8), made(rng, LOWER, 3, 8), made(rng, ALNUM + b"!$._-", 6, 20), made(rng, LOWER, 3, 9), made(rng, LOWER, 2, 7), made(rng, LOWER, 0, 6))
     if form == 7:
         return made(rng, b"0123456789" + rng.choice((b"ABCDEF", b"abcdef")), 20, 64)
-    return made(rng, (ALNUM + b"!$%&@#", LOWER + DIGIT)[form - 8], SHORT, LONG)
+    if form == 8:
+        return b"https://%s.%s/%s%s%s" % (made(rng, LOWER, 3, 9), made(rng, LOWER, 2, 7), made(rng, LOWER, 3, 8), rng.choice((b"/", b"?%s=" % made(rng, LOWER, 2, 6))), made(rng, ALNUM + b"_-", 24, 48))
+    if form == 9:
+        return made(rng, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", LONG, 52)
+    if form == 10:
+        return b":".join(made(rng, b"0123456789abcdef", 2, 2) for _ in range(rng.choice((16, 20, 32))))
+    return made(rng, (ALNUM + b"!$%&@#", LOWER + DIGIT)[form - 11], SHORT, LONG)
 
 
 def plain(word: bytes) -> bool:
@@ -295,10 +301,12 @@ def decoy(rng: random.Random, word: bytes, other: bytes) -> list[bytes]:
         [b"%s_%s_of_%s" % (low, other.lower(), low)],
         [b"+%d-%s-%s" % (rng.randrange(1, 99), made(rng, DIGIT, 3, 3), made(rng, DIGIT, 4, 7))],
         [(word + other).upper() + b"!!"],
+        [b":".join(made(rng, b"0123456789abcdef", 2, 2) for _ in range(rng.choice((6, 8))))],
+        [b"#%s%s%s" % (word.title(), other.title(), made(rng, DIGIT, 0, 4))],
         [made(rng, LOWER, 2, 3).upper() + made(rng, DIGIT, 8, 24)],
         [rng.choice(CUES), *rng.choice(JOINTS), word],
         [rng.choice(CUES), *rng.choice(JOINTS), (word + other).lower()],
-    ][rng.randrange(16)]
+    ][rng.randrange(18)]
 
 
 def decoyed(words: list[bytes], tags: list[int], copy: int = 0) -> tuple[list[bytes], list[int]]:

@@ -8,11 +8,11 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from millrace.llm import cube_mix, kneser_ney, line_dedup
+from millrace.llm import cube_mix, kneser_ney
 from millrace.llm.common import read, saved
 
 from .test_other_operators import targets
-from .test_text_operators import brute_similarity
+from .test_text_operators import boilerplate, brute_similarity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -54,17 +54,8 @@ def test_quality(spark, stages):
 
 
 def test_lines(stages):
-    sites, texts, whole, want = defaultdict(set), defaultdict(set), defaultdict(list), {}
-    for r in stages[1]:
-        for x in r["text"].split("\n"):
-            sites[x.strip(" ")].add(r["source"])
-            texts[x.strip(" ")].add(r["text"])
-    spread = {x for x in sites if x and min(len(sites[x]), len(texts[x])) >= line_dedup.MIN_SITES}
-    for r in stages[1]:
-        held = [x for x in r["text"].split("\n") if x.strip(" ") in spread]
-        for x in {x.strip(" ") for x in held}:
-            whole[x].append(3 * sum(map(len, held)) > len(r["text"]))
-    bad = {x for x in spread if 2 * sum(whole[x]) <= len(whole[x])}
+    want = {}
+    bad, _ = boilerplate((r["text"], r["source"]) for r in stages[1])
     for i, t in by_id(stages[1]).items():
         want[i] = "\n".join(x for x in t.split("\n") if x.strip(" ") not in bad)
     assert by_id(stages[2]) == want and bad

@@ -28,6 +28,28 @@ def rng():
     return random.Random(3)
 
 
+def boilerplate(rows):
+    """(lines that go, candidates) among rows of text and site, from the definition."""
+    sites, texts = defaultdict(set), defaultdict(set)
+    for t, s in rows:
+        for x in (t or "").split("\n"):
+            sites[x.strip(" ")].add(s)
+            texts[x.strip(" ")].add(t)
+    spread = {x for x in sites if x and min(len(sites[x]), len(texts[x])) >= line_dedup.MIN_SITES}
+
+    def rest(text):
+        first, last = [], []
+        for w in (x.strip(" ").split(" ") for x in text.split("\n") if x.strip(" ") and x.strip(" ") not in spread):
+            starts = w[: max(len(w) - 4, 1)]
+            for out, best in ((first, min(starts)), (last, max(starts))):
+                out.append(" ".join(w[starts.index(best) :][:5]))
+        return (min(first), max(last)) if first else (None, None)
+
+    rests = {t: rest(t) for x in spread for t in texts[x]}
+    kinds = {x: min(len({rests[t][i] for t in texts[x]}) for i in (0, 1)) for x in spread}
+    return {x for x in spread if kinds[x] >= line_dedup.MIN_SITES and 2 * kinds[x] >= len(texts[x])}, spread
+
+
 def test_lines_against_brute_force(spark, rng):
     shared = "this line stands on very many sites"
     few = "this line stands on few sites only"
@@ -40,18 +62,7 @@ def test_lines_against_brute_force(spark, rng):
     docs = frame(spark, rows)
     got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()}
     assert line_dedup.dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
-    sites, texts = defaultdict(set), defaultdict(set)
-    for _, t, _, s in rows:
-        for x in (t or "").split("\n"):
-            sites[x.strip(" ")].add(s)
-            texts[x.strip(" ")].add(t)
-    spread = {x for x in sites if x and min(len(sites[x]), len(texts[x])) >= line_dedup.MIN_SITES}
-    whole = defaultdict(list)
-    for _, t, _, _ in rows:
-        held = [x for x in (t or "").split("\n") if x.strip(" ") in spread]
-        for x in {x.strip(" ") for x in held}:
-            whole[x].append(3 * sum(map(len, held)) > len(t))
-    bad = {x for x in spread if 2 * sum(whole[x]) <= len(whole[x])}
+    bad, spread = boilerplate((t, s) for _, t, _, s in rows)
     assert bad == {shared, "Ok."} and len(spread) > 10  # the lines of the edited copies are spread, but stay
     want = set()
     for i, t, _, _ in rows:
@@ -63,6 +74,26 @@ def test_lines_against_brute_force(spark, rng):
     assert line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("x"))).columns.count("n_lines") == 1
 
 
+@pytest.mark.parametrize("own", [7, 14, 30])
+def test_a_footer_goes_whatever_its_share(spark, rng, own):
+    footer = "all rights to this page belong to the people named below"
+    rows = [(i, f"{words(rng, own, 20_000)}\n{footer}", "en", f"s{i % 50}") for i in range(500)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: t.split("\n")[0] for i, t, _, _ in rows}
+
+
+def test_lines_of_edited_copies_stay_though_a_footer_on_them_goes(spark, rng):
+    base, footer = [words(rng, 40, 20_000).split() for _ in range(10)], "all rights to this page belong to the people named below"
+    rows = []
+    for i in range(60):  # one word in fifty changed
+        copy = [[w if rng.random() > 0.02 else f"changed{rng.randrange(10**6)}" for w in x] for x in base]
+        rows.append((i, "\n".join([" ".join(x) for x in copy] + [footer]), "en", f"s{i % 20}"))
+    rows += [(100 + i, f"{words(rng, 20, 20_000)}\n{footer}", "en", f"s{i % 20}") for i in range(80)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: (t.removesuffix(f"\n{footer}"), 1) for i, t, _, _ in rows}
+    assert boilerplate((t, s) for _, t, _, s in rows)[0] == {footer}
+
+
 def test_lines_near_the_limit_are_counted_exactly(spark):
     rows = [(100 * n + i, f"a line of exactly {n} sites here\n{'pad ' * 30}{n} {i}", "en", f"s{i}") for n in (3, 4, 5, 6, 40) for i in range(n)]
     bad = line_dedup.candidates(frame(spark, rows)).count()

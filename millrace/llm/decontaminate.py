@@ -11,11 +11,16 @@ A window with fewer than ``min_literals`` plain words says too little as a templ
 values included; so arithmetic and very short items are found where they are copied. Where at least half of an item's windows
 are templates, their cover alone suffices.
 
+Items of one text are one item until the end. A leak needs a number of an item's windows, so at least one outside the fewer
+ones that most items share: only by those rarer windows do documents and items meet, and only such pairs meet in all windows.
+So an instruction that many items and documents begin with makes no pairs, unless it covers enough of the items by itself.
+
 The benchmark's window hashes go to the tasks as a filter while there are at most ``MAX_WINDOWS``; beyond that every
 window of the documents takes part in the join.
 
 Defined results: null and empty texts leak nothing, as items they match nothing; items shorter than the width are one
-window of their own length, and those of fewer than ``MIN_WORDS`` words are not checked, since any text may hold them; rows
+window of their own length, and those of fewer than ``MIN_WORDS`` words, since any text may hold them, are met by documents
+of just these words; rows
 are told apart by id and text, so a null or repeated id is no trouble and repeated rows are treated alike; a very long text
 is read whole, and what it repeats counts once; empty tables give empty results; further columns pass through.
 """
@@ -29,13 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, read, saved, text_key
 
 WIDTH, MIN_LITERALS, MIN_WORDS, MIN_COVER, MAX_WINDOWS = 8, 5, 3, 0.3, 4_000_000
-MAX_TYPES, EXACT = 300_000, "="  # the latter begins a window of exact words; words never begin with it
+MAX_TYPES, SALT, EXACT = 300_000, 16, "="  # the last begins a window of exact words; words never begin with it
 #: Units that count as such after a number.
 UNITS = "% mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years dollars euros cents usd eur mph kmh degrees meters metres miles feet inches grams kilograms liters litres".split()
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
@@ -131,11 +136,14 @@ def template_windows(df: DataFrame, widths: list[int] | None, wanted: np.ndarray
                 length = np.bincount(owner, minlength=len(texts))
                 first = np.concatenate([[0], np.cumsum(length)])
                 rows = []
-                for w in widths or sorted({int(min(width, n)) for n in length if n >= MIN_WORDS}):
+                for w in widths or sorted({int(min(width, n)) for n in length if n}):
                     at, h, form = windows(owner, kind, code, exact, w, least)
                     if widths is None:
                         fits = np.minimum(length[owner[at]], width) == w
                         at, h, form = at[fits], h[fits], form[fits]
+                    if w < MIN_WORDS:
+                        alone = length[owner[at]] == w
+                        at, h, form = at[alone], h[alone], form[alone]
                     if wanted is not None and len(wanted):
                         near = np.flatnonzero(probe[(h >> np.uint64(42)).astype(np.int64)])
                         place = np.minimum(np.searchsorted(wanted, h[near]), len(wanted) - 1)
@@ -156,18 +164,28 @@ def template_windows(df: DataFrame, widths: list[int] | None, wanted: np.ndarray
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text", width: int = WIDTH, min_literals: int = MIN_LITERALS, min_cover: float = MIN_COVER, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """(doc_id, k1, k2, item_id, matched, of): documents, with the hashes of their texts, and the items that they leak."""
-    items = benchmark.select(F.col(item_id).alias("id"), *text_key(F.col(item)), F.col(item).alias("text"))
+    members = benchmark.select(F.col(item_id).alias("item_id"), *(c.alias(n) for c, n in zip(text_key(F.col(item)), ("i1", "i2"), strict=True))).distinct()
+    items = benchmark.select(*text_key(F.col(item)), F.col(item).alias("text")).dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("id"), "k1", "k2", "text")
     bench = saved(template_windows(items, None, None, min_literals, width), "items")
     count = bench.count()
     widths = sorted(r[0] for r in bench.select(F.least("words", F.lit(width)).alias("w")).distinct().collect()) or [width]
     wanted = np.unique(bench.select("hash").distinct().toArrow()["hash"].to_numpy().astype(np.int64).view(np.uint64)) if count <= max_windows else None
     shaped = ~F.col("template").startswith(EXACT)
-    of = bench.groupBy("id", "k1", "k2").agg(F.countDistinct("pos").alias("of"), F.countDistinct(F.when(shaped, F.col("pos"))).alias("of_shaped")).withColumnsRenamed({"id": "item_id", "k1": "i1", "k2": "i2"})
+    of = bench.groupBy(F.col("k1").alias("i1"), F.col("k2").alias("i2")).agg(F.count("*").alias("of"), F.count(F.when(shaped, 1)).alias("of_shaped"))
+    need = F.ceil(F.when(2 * F.col("of_shaped") >= F.col("of"), F.least("of", "of_shaped")).otherwise(F.col("of")) * F.lit(float(min_cover)))
     keyed = docs.select(F.col(doc_id).alias("id"), *text_key(F.col(text)), F.col(text).alias("text"))
     hits = saved(template_windows(keyed, widths, wanted, min_literals, width), "hits").withColumnsRenamed({"id": "doc_id", "slots": "d_slots"}).drop("words")
-    its = bench.select(F.col("id").alias("item_id"), F.col("k1").alias("i1"), F.col("k2").alias("i2"), "hash", "template", F.col("pos").alias("at"), "slots")
-    met = hits.join(its, ["hash", "template"]).withColumn("offset", F.col("pos") - F.col("at"))
-    group = ["doc_id", "k1", "k2", "item_id", "i1", "i2"]
+    its = bench.select(F.col("k1").alias("i1"), F.col("k2").alias("i2"), "hash", "template", F.col("pos").alias("at"), "slots")
+    doc, key = ["doc_id", "k1", "k2"], ["i1", "i2"]
+    held = its.join(its.groupBy("hash", "template").agg(F.countDistinct(*key).alias("items")), ["hash", "template"]).join(of, key)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("items"), "at"))
+    rare = held.withColumn("place", place).filter(F.col("place") >= need).select(*key, "hash", "template").distinct()
+    salted = hits.select(*doc, "hash", "template").distinct().withColumn("s", F.pmod(F.xxhash64(*doc), F.lit(SALT)).cast("int"))
+    pairs = salted.join(rare.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["hash", "template", "s"]).select(*doc, *key).distinct()
+    asked, found = pairs.join(its, key).alias("a"), hits.alias("h")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*doc, "hash", "template")]
+    met = asked.join(found, same).select(*(f"a.{c}" for c in (*doc, *key, "template", "at", "slots")), "h.d_slots", (F.col("h.pos") - F.col("a.at")).alias("offset"))
+    group = doc + key
     met = met.withColumn("pairs", F.arrays_zip("slots", "d_slots"))
     lines = met.groupBy(*group, "offset").agg(F.collect_set(F.struct("at", "slots", shaped.alias("shaped"))).alias("wins"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     values = F.col("pairs.slots")
@@ -175,7 +193,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     sound = lines.withColumn("torn", torn).select(*group, F.transform(F.filter("wins", lambda w: ~F.arrays_overlap(w["slots"], F.col("torn"))), lambda w: F.struct(w["at"].alias("at"), w["shaped"].alias("shaped"))).alias("x"))
     matched = sound.select(*group, F.explode("x").alias("x")).groupBy(*group).agg(F.countDistinct("x.at").alias("matched"), F.countDistinct(F.when(F.col("x.shaped"), F.col("x.at"))).alias("shaped"))
     covered = (F.col("matched") >= min_cover * F.col("of")) | ((2 * F.col("of_shaped") >= F.col("of")) & (F.col("shaped") >= min_cover * F.col("of_shaped")))
-    return matched.join(of, [matched[c].eqNullSafe(of[c]) for c in ("item_id", "i1", "i2")]).filter(covered).select("doc_id", "k1", "k2", matched["item_id"], F.col("matched").cast("long").alias("matched"), F.col("of").cast("long").alias("of"))
+    return matched.join(of, key).filter(covered).join(members, key).select(*doc, "item_id", F.col("matched").cast("long").alias("matched"), F.col("of").cast("long").alias("of"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:

@@ -100,6 +100,21 @@ def test_lines_near_the_limit_are_counted_exactly(spark):
     assert bad == 3
 
 
+def test_a_shared_preamble_makes_no_pairs_and_loses_no_leak(spark, rng):
+    preamble = "read the following story with care and then answer the question that stands below it in one word"
+    own = [words(rng, 60, 20_000) for _ in range(40)]
+    items = [(i, f"{preamble} {x}") for i, x in enumerate(own)] + [(100, f"{preamble} {own[0]}"), (101, preamble)]
+    rows = [(i, f"{preamble} {words(rng, 50, 20_000)}", "en", "a") for i in range(40)] + [(50 + i, f"{words(rng, 9)} {own[i]}", "en", "a") for i in range(5)] + [(60, preamble, "en", "a")]
+    pick = own[7].split()
+    rows += [(70, f"{words(rng, 9)} {' '.join(pick[20:44])} end", "en", "a"), (71, f"{words(rng, 9)} {' '.join(pick[20:36])} end", "en", "a")]  # 17 and 9 of 71 windows are too few
+    rows += [(72, f"{preamble} and {' '.join(pick[20:44])}", "en", "a")]  # with the 11 of the preamble enough
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    grams = lambda t: Counter(tuple(w[i : i + 8]) for w in [t.split()] for i in range(len(w) - 7))
+    want = {(d, i) for d, t, _, _ in rows for i, x in items if sum(n for g, n in grams(x).items() if g in grams(t)) >= 0.3 * sum(grams(x).values())}
+    # words with a digit are numbers here, so the items' own parts are matched by their exact words, as in `want`
+    assert found == want and {(0, 101), (72, 7)} <= found and (0, 0) not in found and len(found) < 200
+
+
 def test_decontamination_catches_changed_slots_only_if_consistent(spark, rng):
     item = "a fast train travels along the old coast for 60 km and then how many stops does it make while Anna keeps another 60 km as the longest stretch of the line"
     moved = item.replace("60", "75").replace("Anna", "Boris")
@@ -117,6 +132,9 @@ def test_decontamination_catches_changed_slots_only_if_consistent(spark, rng):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
     short = frame(spark, [(1, "x one two three four five six y", "en", "a")])
     assert decontaminate.leaks(short, bench).count() == 1
+    tiny = frame(spark, [(1, "Yes, indeed!", "en", "a"), (2, "oh yes indeed", "en", "a"), (3, "yes", "en", "a"), (4, "indeed yes", "en", "a"), (5, "Paris.", "en", "a"), (6, "...", "en", "a")])
+    asked = spark.createDataFrame([(1, "yes indeed"), (2, "Paris"), (3, "...")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(tiny, asked).collect()} == {(1, 1), (5, 2)}
 
 
 def test_short_and_slot_heavy_items_are_matched_exactly(spark, rng):

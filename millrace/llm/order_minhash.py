@@ -10,7 +10,7 @@ whose buckets are largest, which of an original and its edited copies is the ori
 pair of a bucket whose ends still lie in two components is tested, bucket by bucket, so no link between candidates is lost:
 in buckets of at most ``SMALL`` nodes as rows of pairs, in larger ones block against block. There the nodes outside the
 component that is the bucket's largest meet all its nodes of a size that a link allows (classes of sizes in steps of the
-threshold), first ``KIN`` of that component as pairs, then blocks of at most ``PART`` nodes or ``PART_WORDS`` words: a task
+threshold), first ``KIN`` of that component as pairs, then blocks of at most ``PART`` nodes or ``PART_WORDS`` words, which are packed before they are copied: a task
 gets two blocks, counts common shingles through an inverted index of one of them, aligns only pairs that share enough, and
 returns a spanning set of links. So no large bucket emits its pairs, no task grows with the bucket, and the largest
 component, such as thousands of edited copies of one text, is never compared with itself.
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -198,10 +197,14 @@ def met_in_blocks(left: list[tuple], right: list[tuple], threshold: float) -> li
     return out
 
 
-def blocked(nodes: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of large buckets between nodes outside and all others. nodes: (band, h, node, label, outside)."""
+def dealt(nodes: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """(band, h, c, i, j, mine, block): each two blocks that meet, as two rows. nodes: (band, h, node, label, outside).
+
+    Nodes meet their words before they are packed, at most four times each; only whole blocks are copied.
+    """
     cell = ["band", "h", "c"]
-    sized = nodes.join(words.select(F.col("rid").alias("node"), F.octet_length("words").alias("bytes")), "node").withColumn("c", F.floor(F.log(F.greatest(F.col("bytes") / 4 - (K - 1), F.lit(1.0))) / F.lit(-1.0001 * math.log(threshold))))
+    size = F.floor(F.log(F.greatest(F.col("bytes") / 4 - (K - 1), F.lit(1.0))) / F.lit(-1.0001 * math.log(threshold)))
+    sized = saved(nodes.join(words.select(F.col("rid").alias("node"), F.octet_length("words").alias("bytes")), "node").withColumn("c", size), "sized")
     parts = F.greatest(F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("bytes") / F.lit(4 * PART_WORDS))).cast("int")
     left = sized.filter("outside").select(*cell, "node", "label", "outside")
     right = sized.select("band", "h", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "node", "label", "outside", "bytes")
@@ -211,17 +214,31 @@ def blocked(nodes: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     left, right = left.withColumn("s", salt), right.withColumn("s", salt)
     rights = right.join(lefts.select(*cell, salts.alias("s")), [*cell, "s"], "left_semi").groupBy(*cell).agg(parts.alias("m"))
     cells = saved(lefts.join(rights, cell), "cells").withColumn("s", salts)
-    dealt_left = left.join(cells, [*cell, "s"]).select(*cell, "node", "label", "outside", F.pmod(row, "n").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-    dealt_right = right.drop("bytes").join(cells, [*cell, "s"]).select(*cell, "node", "label", "outside", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.pmod(row, "m").cast("int").alias("j"))
-    both = dealt_left.withColumn("mine", F.lit(True)).unionByName(dealt_right.withColumn("mine", F.lit(False)))
+    own = ["node", "label", "outside"]
+    mine = left.join(cells, [*cell, "s"]).select(*cell, *own, F.lit(True).alias("mine"), F.pmod(row, "n").cast("int").alias("own"), F.col("m").alias("others"))
+    theirs = right.join(cells, [*cell, "s"]).select(*cell, *own, F.lit(False).alias("mine"), F.pmod(row, "m").cast("int").alias("own"), F.col("n").alias("others"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        block = pa.StructArray.from_arrays([rows[c].combine_chunks() for c in (*own, "words")], names=[*own, "words"])
+        return rows.slice(0, 1).select([*cell, "mine", "own", "others"]).append_column("block", pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), block))
+
+    kinds = {f.name: f.dataType.simpleString() for f in mine.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*cell, "mine", "own", "others")) + ", block array<struct<node: bigint, label: bigint, outside: boolean, words: binary>>"
+    blocks = mine.unionByName(theirs).join(words.withColumnRenamed("rid", "node"), "node").groupBy(*cell, "mine", "own").applyInArrow(pack, schema)
+    copies = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    return copies.select(*cell, F.when(F.col("mine"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("mine"), F.col("other")).otherwise(F.col("own")).alias("j"), "mine", "block")
+
+
+def blocked(nodes: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of large buckets between nodes outside and all others. nodes: (band, h, node, label, outside)."""
 
     def solve(rows: pa.Table) -> pa.Table:
-        one, other = (list(zip(*(rows.filter(side)[c].to_pylist() for c in ("node", "label", "outside", "words")), strict=True)) for side in (rows["mine"], pc.invert(rows["mine"])))
+        two = {m: [tuple(x.values()) for x in block] for m, block in zip(rows["mine"].to_pylist(), rows["block"].to_pylist(), strict=True)}
         with np.errstate(over="ignore"):
-            links = met_in_blocks(one, other, threshold) if one and other else []
+            links = met_in_blocks(two[True], two[False], threshold) if len(two) == 2 else []
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    return both.join(words.withColumnRenamed("rid", "node"), "node").groupBy(*cell, "i", "j").applyInArrow(solve, "a long, b long")
+    return dealt(nodes, words, threshold).groupBy("band", "h", "c", "i", "j").applyInArrow(solve, "a long, b long")
 
 
 def linked(buckets: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:

@@ -227,6 +227,22 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
     assert len({(label[i], got[i]) for i in range(len(rows))}) == len(set(label)) == len(set(got.values()))
 
 
+def test_nodes_are_packed_before_blocks_are_copied(spark, monkeypatch):
+    """Rows of two blocks that meet, not rows of nodes: twice as many nodes make four times as many pairs of blocks, of 16 x 16 nodes."""
+    monkeypatch.setattr(order_minhash, "PART", 16)
+    monkeypatch.setattr(order_minhash, "saved", lambda df, name: df)
+    text = np.arange(50, dtype=np.uint32).tobytes()
+    for n in (160, 320):
+        nodes = spark.createDataFrame([(0, 7, i, i, i > 0) for i in range(n)], "band int, h long, node long, label long, outside boolean")
+        dealt = order_minhash.dealt(nodes, spark.createDataFrame([(i, text) for i in range(n)], "rid long, words binary"), 0.8).collect()
+        by = {}
+        for r in dealt:
+            by.setdefault((r["c"], r["i"], r["j"]), {})[r["mine"]] = {x["node"] for x in r["block"]}
+        assert len(dealt) <= 2 * (n / 16) ** 2
+        met = [(a, b) for x in by.values() if len(x) == 2 for a in x[True] for b in x[False]]
+        assert len(met) == len(set(met)) == (n - 1) * n  # each node outside and each node, once
+
+
 def test_blocks_join_what_links_join():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**32, 200, dtype=np.uint32)

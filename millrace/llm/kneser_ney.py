@@ -5,9 +5,10 @@ n-grams of words are nearly all unseen, while those of characters are dense. Eac
 sharded by n-gram: raw counts of the highest order and of n-grams from a word's start, continuation counts of the others,
 discounts by order, context totals, and one join an order for the interpolated probabilities.
 
-The model is trained on a bounded sample of trusted documents (labelled good and not toxic, ``train_docs`` at most, by the
-ids' hashes), so its size is bounded too. Up to ``MAX_GRAMS`` n-grams it is sent to the tasks; beyond that documents'
-n-grams are joined with it (``score_joined``); both give the same figures.
+Trusted documents are those labelled good and not toxic. All of one half of them, by the ids' hashes, train the model, and
+all of the other half set the thresholds: each serves for one of the two, and no threshold comes from a text that the model
+was trained on. Up to ``MAX_GRAMS`` n-grams the model is sent to the tasks; beyond that documents' n-grams are joined with it
+(``score_joined``); both give the same figures.
 
 A document has two figures: its perplexity, and its sharpest word, the lowest mean log10 probability of a word's three
 least likely letters (words of letters only), which finds single foreign words in otherwise normal text. A document goes
@@ -16,7 +17,7 @@ times ``slack``, or its sharpest word under their quantile ``q_word``, less ``sl
 such documents.
 
 Those limits come from trusted documents alone. A language with at least ``LEAST_GOOD`` trusted and ``LEAST_BAD`` rejected
-labelled documents outside the training samples also has limits from both kinds, for the two figures and for its
+labelled documents outside the training half also has limits from both kinds, for the two figures and for its
 freshness (the share of distinct words in blocks of ``SPAN`` words, which a repeated word or phrase brings down). Each is that of the quantiles ``INWARD`` of trusted documents which catches most rejected ones, a trusted one lost counting ``COST`` times.
 
 Defined results: null and empty texts have no perplexity and stay; a document in a language without a model or threshold
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BREAK, chosen, chunks, read, saved, small, text_key
 
-ORDER, TRAIN_DOCS, MAX_GRAMS, MAX_TYPES = 5, 10_000, 1_000_000, 200_000
+ORDER, MAX_GRAMS, MAX_TYPES = 5, 1_000_000, 200_000
+TRAIN_DOCS: int | None = None  # all of the training half
 Q, Q_WORD, SLACK, SLACK_WORD, MIN_LETTERS = 0.995, 0.005, 1.02, 0.05, 4
 BOS, EOS, FLOOR = "\x02", "\x03", 1 / 1000  # the last: the uniform share of a character
 INWARD, COST, LEAST_GOOD, LEAST_BAD, SPAN = (0.999, 0.995, 0.99, 0.98, 0.97), 3, 50, 20, 64
@@ -179,25 +181,26 @@ def score_joined(docs: DataFrame, probs: DataFrame, back: DataFrame, order: int
     return met.select(*key, "log10", "tokens", "sharpest", F.when(F.col("tokens") > 0, F.col("fresh")).alias("fresh"))
 
 
-def trusted_ids(labels: DataFrame, train_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Ids of trusted documents: (those to train on, train_docs at most and half of them at most; the others)."""
+def trusted_ids(labels: DataFrame, train_docs: int | None = TRAIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """Ids of trusted documents: (the half to train on, or train_docs of it; the other half)."""
     good = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    train_ids = saved(chosen(good.filter(half == 0), train_docs, "doc_id"), "train")
-    return train_ids, good.filter(half == 1)
+    train_ids = good.filter(half == 0)
+    return saved(train_ids if train_docs is None else chosen(train_ids, train_docs, "doc_id"), "train"), good.filter(half == 1)
 
 
 def held_out(labels: DataFrame) -> DataFrame:
-    """Ids of rejected documents, toxic or of quality 0, of the half that no model is trained on."""
-    bad = labels.filter("(quality = 0 or toxic = 1) and doc_id is not null").select("doc_id").distinct()
-    return bad.filter(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1)
+    """Ids of rejected documents, toxic or of quality 0: all, but for those that another label of theirs puts into the training half."""
+    bad = labels.groupBy("doc_id").agg(F.bool_or(F.expr("quality = 0 or toxic = 1")).alias("bad"), F.coalesce(F.bool_or(F.expr("quality = 1 and toxic = 0")), F.lit(False)).alias("good"))
+    trained = F.col("good") & (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0)
+    return bad.filter("bad and doc_id is not null").filter(~trained).select("doc_id")
 
 
-def figures(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", order: int = ORDER, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> tuple[DataFrame, DataFrame]:
+def figures(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", order: int = ORDER, train_docs: int | None = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> tuple[DataFrame, DataFrame]:
     """(id, k1, k2, lang, log10, tokens, sharpest, fresh) of each row, and the trusted ids to take thresholds from."""
     train_ids, others = trusted_ids(labels, train_docs)
     keyed = docs.select(F.col(doc_id).alias("id"), *text_key(F.col(text)), lang_of(F.col(lang)).alias("lang"), F.col(text).alias("text"))
-    trusted = keyed.join(F.broadcast(train_ids.withColumnRenamed("doc_id", "id")), "id", "left_semi")  # train_docs ids at most
+    trusted = keyed.join(train_ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     probs, back = train(saved(trusted.select("lang", "text"), "trusted"), order)
     probs = saved(probs, "model")
     score = score_sent if probs.count() <= max_grams else score_joined

@@ -511,6 +511,15 @@ def test_model_and_perplexity_against_a_plain_one(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_all_labels_train_or_set_limits(spark):
+    """No trusted document is left out, however many there are; no rejected one but those that are trained on."""
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").union(spark.range(30_000, 30_400).selectExpr("id", "cast(id % 2 AS int)", "1"))
+    twice = labels.union(spark.range(100).selectExpr("id", "0", "0")).union(spark.createDataFrame([(None, 1, 0), (None, 0, 0), (40_000, None, 0)], "doc_id long, quality int, toxic int"))
+    train, others = ({r[0] for r in x.collect()} for x in kneser_ney.trusted_ids(twice, kneser_ney.TRAIN_DOCS))
+    assert not train & others and train | others == set(range(30_000)) and min(len(train), len(others)) > 14_000
+    assert sorted(r[0] for r in kneser_ney.held_out(twice).collect()) == sorted({*range(100)} - train) + list(range(30_000, 30_400))
+
+
 def test_probabilities_sum_to_one(spark):
     rng = random.Random(6)
     docs = spark.createDataFrame([("l", prose(rng, 400))], "lang string, text string")

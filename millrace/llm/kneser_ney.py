@@ -7,8 +7,9 @@ discounts by order, context totals, and one join an order for the interpolated p
 
 Trusted documents are those labelled good and not toxic. All of one half of them, by the ids' hashes, train the model, and
 all of the other half set the thresholds: each serves for one of the two, and no threshold comes from a text that the model
-was trained on. Up to ``MAX_GRAMS`` n-grams the model is sent to the tasks; beyond that documents' n-grams are joined with it
-(``score_joined``); both give the same figures.
+was trained on. The model is sent to the tasks as sorted arrays, which take 24 bytes an n-gram at most, and a batch's new words
+are looked up together. Languages go in groups of up to ``MAX_GRAMS`` n-grams, each scored in a scan of its own; documents'
+n-grams are joined with the model (``score_joined``) only for a language that is larger by itself. All give the same figures.
 
 A document has two figures: its perplexity, and its sharpest word, the lowest mean log10 probability of a word's three
 least likely letters (words of letters only), which finds single foreign words in otherwise normal text. A document goes
@@ -27,11 +28,13 @@ empty table; further columns pass through.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BREAK, chosen, chunks, read, saved, small, text_key
 
-ORDER, MAX_GRAMS, MAX_TYPES = 5, 1_000_000, 200_000
+ORDER, MAX_GRAMS, MAX_TYPES, PIECE = 5, 4_000_000, 600_000, 1 << 16
 TRAIN_DOCS: int | None = None  # all of the training half
 Q, Q_WORD, SLACK, SLACK_WORD, MIN_LETTERS = 0.995, 0.005, 1.02, 0.05, 4
 BOS, EOS, FLOOR = "\x02", "\x03", 1 / 1000  # the last: the uniform share of a character
@@ -78,78 +81,164 @@ def train(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
     return probs, back.select("lang", "ctx", "g")
 
 
+class Letters:
+    """A language's model as sorted arrays, a level for each length: a gram's key is its beginning's place in the level before and its last character."""
+
+    def __init__(self, grams: pa.Table, contexts: pa.Table, order: int):
+        self.order, self.levels, self.g = order, [], 0.0
+        for n in range(order + 1):
+            held = []
+            for table in (grams, contexts):
+                table = table.filter(pc.equal(pc.utf8_length(table[0]), n))
+                joined = pc.binary_join(pa.ListArray.from_arrays([0, len(table)], table[0].combine_chunks()), "")[0].as_py()
+                points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+                held.append((self.keys(points.reshape(len(table), n)) if n else points, table[1].to_numpy()))
+            (own, p), (as_context, g) = held
+            if n == 0:
+                self.g = float(g[0]) if len(g) else 0.0
+                continue
+            keys = np.union1d(own, as_context)
+            self.levels.append((keys, np.full(len(keys), np.nan), np.zeros(len(keys) if n < order else 0)))  # the longest grams are no contexts
+            self.levels[-1][1][np.searchsorted(keys, own)] = p
+            self.levels[-1][2][np.searchsorted(keys, as_context)] = g
+
+    def keys(self, points: np.ndarray) -> np.ndarray:
+        """The keys of grams, a row each, of one character more than there are levels."""
+        key = points[:, 0].astype(np.int64)
+        for (level, *_), last in zip(self.levels, points.T[1:], strict=True):
+            key = (np.searchsorted(level, key) << 21) + last  # a gram's beginning is a gram or a context
+        return key
+
+    def find(self, n: int, key: np.ndarray) -> np.ndarray:
+        """Their places in the level of length n; -1 for what is not there."""
+        level = self.levels[n - 1][0]
+        if not len(level):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(level, key), len(level) - 1)
+        return np.where(level[at] == key, at, -1)
+
+    def logs(self, marked: str, first: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the characters of marked words, one after the other; 0 for those at `first`, the start marks."""
+        points, starts, out = np.frombuffer(marked.encode("utf-32-le"), np.uint32), np.zeros(len(marked), bool), np.zeros(len(marked))
+        starts[first] = True
+        for a in range(0, len(points), PIECE):
+            low = max(0, a - self.order + 1)  # what a piece's first characters depend on
+            out[a : a + PIECE] = self.piece(points[low : a + PIECE].astype(np.int64), starts[low : a + PIECE])[a - low :]
+        return out
+
+    def piece(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        places = [self.find(1, points)]
+        for n in range(2, self.order + 1):
+            before = np.r_[-1, places[-1][:-1]]  # the place of what ends one character earlier
+            some = np.flatnonzero((before >= 0) & ~starts)
+            places.append(np.full(len(points), -1))
+            places[-1][some] = self.find(n, (before[some] << 21) + points[some])
+        out, off, left = np.zeros(len(points)), np.zeros(len(points)), np.flatnonzero(~starts)
+        for n in range(self.order, 0, -1):  # the longest gram that is known, after the weights of longer contexts
+            p = self.value(n, 1, places[n - 1][left], np.nan)
+            got = ~np.isnan(p)
+            out[left[got]] = off[left[got]] + p[got]
+            left = left[~got]
+            off[left] += self.value(n - 1, 2, places[n - 2][left - 1], 0.0) if n > 1 else self.g
+        out[left] = off[left] + math.log10(FLOOR)
+        return out
+
+    def value(self, n: int, which: int, place: np.ndarray, none: float) -> np.ndarray:
+        values = self.levels[n - 1][which]
+        return np.where(place >= 0, values[place], none) if len(values) else np.full(len(place), none)
+
+
+class Numbers(dict):
+    """Words' numbers; a new word gets the next one and waits to be scored."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Scorer:
-    """Of one language: a word's log10 probability, its number of predictions, and the mean of its three least likely letters."""
-
-    def __init__(self, p: dict[str, float], g: dict[str, float], order: int):
-        self.p, self.g, self.order, self.known, self.seen = p, g, order, {}, {}
-
-    def __call__(self, raw: bytes) -> tuple[float, int, float]:
-        found = self.known.get(raw)
-        if found is None:
-            seen, back, logs = self.seen, self.order - 1, []
-            if len(self.known) > MAX_TYPES:
-                self.known.clear()
-            if len(seen) > MAX_TYPES:
-                seen.clear()
-            word = raw.decode()
-            s = f"{BOS}{word}{EOS}"
-            for i in range(1, len(s)):
-                gram = s[i - back if i > back else 0 : i + 1]
-                x = seen.get(gram)
-                if x is None:
-                    x = seen[gram] = self.one(s, i)
-                logs.append(x)
-            bare = word.strip(EDGES)
-            mean = 0.0
-            if len(bare) >= MIN_LETTERS and bare.isalpha():
-                at = word.index(bare)
-                mean = sum(sorted(logs[at : at + len(bare)])[:3]) / 3
-            found = self.known[raw] = (sum(logs), len(logs), mean)
-        return found
-
-    def one(self, s: str, i: int) -> float:
-        p, off = self.p, 0.0
-        for j in range(max(0, i - self.order + 1), i + 1):
-            x = p.get(s[j : i + 1])
-            if x is not None:
-                return off + x
-            off += self.g.get(s[j:i], 0.0)
-        return off + math.log10(FLOOR)
+    """Of one language: by words' numbers, their log10 probability, number of predictions, and mean of the three least likely letters."""
+
+    def __init__(self, model: Letters):
+        self.model, self.numbers, self.known = model, Numbers(), np.zeros((3, 0))
+
+    def learn(self) -> None:
+        """Scores what is new."""
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            self.known = np.concatenate([self.known, self.scored([w.decode() for w in new])], axis=1)
+
+    def scored(self, words: list[str]) -> np.ndarray:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(sizes + 2) - sizes - 2
+        logs = self.model.logs(f"{BOS}{f'{EOS}{BOS}'.join(words)}{EOS}", first)
+        bare = [w.strip(EDGES) for w in words]
+        some = np.array([i for i, x in enumerate(bare) if len(x) >= MIN_LETTERS and x.isalpha()], np.int64)
+        sharp = np.zeros(len(words))
+        if len(some):
+            size = np.fromiter((len(bare[i]) for i in some), np.int64, len(some))
+            start = np.cumsum(size) - size
+            at = first[some] + 1 + np.fromiter((words[i].index(bare[i]) for i in some), np.int64, len(some))
+            letters = logs[np.repeat(at - start, size) + np.arange(size.sum())]
+            letters = letters[np.lexsort((letters, np.repeat(np.arange(len(some)), size)))]
+            sharp[some] = (letters[start] + letters[start + 1] + letters[start + 2]) / 3
+        return np.stack([np.add.reduceat(logs, first), sizes + 1, sharp])
+
+    def texts(self, held: list[np.ndarray]) -> np.ndarray:
+        """log10, tokens, sharpest and fresh of texts, each given as its words' numbers."""
+        self.learn()
+        words, sizes = np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
+        at = np.cumsum(sizes) - sizes
+        blocks = -(-sizes // SPAN)
+        block = np.repeat(np.cumsum(blocks) - blocks, sizes) + (np.arange(len(words)) - np.repeat(at, sizes)) // SPAN
+        each = np.sort((block << 32) + words)
+        log10, tokens, sharp = self.known[:, words]
+        distinct = np.add.reduceat(np.r_[1, (each[1:] != each[:-1]).astype(np.int64)], at)
+        return np.stack([np.add.reduceat(log10, at), np.add.reduceat(tokens, at), np.minimum.reduceat(sharp, at), distinct / sizes])
+
+    def forget(self) -> None:
+        self.numbers, self.known = Numbers(), np.zeros((3, 0))
 
 
 SCORERS: dict[str, dict[str, Scorer]] = {}
 FIGURES = "id {}, k1 long, k2 long, lang string, log10 double, tokens long, sharpest double, fresh double"
 
 
-def score_sent(docs: DataFrame, probs: DataFrame, back: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model goes to the tasks. docs: (id, k1, k2, lang, text)."""
+def score_sent(docs: DataFrame, probs: DataFrame, back: DataFrame, order: int = ORDER, langs: list[str] | None = None) -> DataFrame:
+    """The model goes to the tasks, of some languages only if they are given. docs: (id, k1, k2, lang, text)."""
     held = {}
-    for name, df in (("gram", probs.select("lang", "gram", F.log10("p").alias("x"))), ("ctx", back.select("lang", "ctx", F.when(F.col("g") > 0, F.log10("g")).otherwise(-99.0).alias("x")))):
-        table = df.toArrow()  # columns, not rows: max_grams bounds it
-        for lang in pc.unique(table["lang"]).to_pylist():
-            part = table.filter(pc.equal(table["lang"], lang))
-            held.setdefault(lang, {})[name] = (part[name].combine_chunks(), part["x"].combine_chunks())
+    for lang in [r[0] for r in probs.select("lang").distinct().collect()] if langs is None else langs:  # columns, not rows, and a language at a time
+        grams = probs.filter(F.col("lang") == lang).select("gram", F.log10("p").alias("x"))
+        contexts = back.filter(F.col("lang") == lang).select("ctx", F.when(F.col("g") > 0, F.log10("g")).otherwise(-99.0).alias("x"))
+        held[lang] = Letters(grams.toArrow(), contexts.toArrow(), order)
     sent, mark = docs.sparkSession.sparkContext.broadcast(held), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in SCORERS:  # once for each Python worker
             SCORERS.clear()
-            SCORERS[mark] = {k: Scorer(*(dict(zip(*(x.to_pylist() for x in m[n]), strict=True)) for n in ("gram", "ctx")), order) for k, m in sent.value.items()}
+            SCORERS[mark] = {k: Scorer(m) for k, m in sent.value.items()}
         by = SCORERS[mark]
         for batch in batches:
             for start, texts in chunks(batch):
                 part = batch.slice(start, len(texts))
-                rows = []
-                for lang, t in zip(part.column("lang").to_pylist(), texts, strict=True):
+                at: dict[str, list[int]] = {}
+                numbers: dict[str, list[np.ndarray]] = {}
+                for i, (lang, t) in enumerate(zip(part.column("lang").to_pylist(), texts, strict=True)):
                     words = t.split() if t and lang in by else []
                     if words:
-                        total, n, sharp = zip(*map(by[lang], words), strict=True)
-                        distinct = sum(len(set(words[i : i + SPAN])) for i in range(0, len(words), SPAN))
-                        rows.append((math.fsum(total), sum(n), min(sharp), distinct / len(words)))
-                    else:
-                        rows.append((None,) * 4)
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.float64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                        at.setdefault(lang, []).append(i)
+                        numbers.setdefault(lang, []).append(np.fromiter(map(by[lang].numbers.__getitem__, words), np.int64, len(words)))
+                out, without = np.zeros((4, len(texts))), np.full(len(texts), True)
+                for lang, rows in at.items():
+                    out[:, rows], without[rows] = by[lang].texts(numbers[lang]), False
+                if sum(len(x.numbers) for x in by.values()) > MAX_TYPES:
+                    for x in by.values():
+                        x.forget()
+                cols = [pa.array(x.astype(t), mask=without) for x, t in zip(out, (np.float64, np.int64, np.float64, np.float64), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("id", "k1", "k2", "lang")] + cols, names=["id", "k1", "k2", "lang", "log10", "tokens", "sharpest", "fresh"])
 
     return docs.mapInArrow(run, FIGURES.format(docs.schema["id"].dataType.simpleString()))
@@ -196,6 +285,23 @@ def held_out(labels: DataFrame) -> DataFrame:
     return bad.filter("bad and doc_id is not null").filter(~trained).select("doc_id")
 
 
+def grouped(sizes: dict[str, int], most: int) -> tuple[list[list[str]], list[str]]:
+    """Languages in groups whose models have `most` n-grams together at most, one group at least if all fit; those that are larger by themselves."""
+    groups, held = [], most + 1
+    for lang, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if n <= most:
+            if held + n > most:
+                groups.append([])
+                held = 0
+            groups[-1].append(lang)
+            held += n
+    return groups or ([] if sizes else [[]]), [lang for lang, n in sizes.items() if n > most]
+
+
+def only(df: DataFrame, langs: list[str]) -> DataFrame:
+    return df.filter(F.col("lang").isin(langs))
+
+
 def figures(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", order: int = ORDER, train_docs: int | None = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> tuple[DataFrame, DataFrame]:
     """(id, k1, k2, lang, log10, tokens, sharpest, fresh) of each row, and the trusted ids to take thresholds from."""
     train_ids, others = trusted_ids(labels, train_docs)
@@ -203,8 +309,13 @@ def figures(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang: st
     trusted = keyed.join(train_ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     probs, back = train(saved(trusted.select("lang", "text"), "trusted"), order)
     probs = saved(probs, "model")
-    score = score_sent if probs.count() <= max_grams else score_joined
-    return saved(score(keyed, probs, back, order), "figures"), others
+    sizes = dict(probs.groupBy("lang").count().collect())  # a row for a language
+    groups, large = grouped(sizes, max_grams)
+    scored = [score_joined(only(keyed, large) if groups else keyed, only(probs, large), only(back, large), order)] if large else []
+    for k, group in enumerate(groups):  # what has no model goes with the first
+        docs = only(keyed, group) if k else keyed.filter(~F.col("lang").isin([x for x in sizes if x not in group])) if len(group) < len(sizes) else keyed
+        scored.append(score_sent(docs, probs, back, order, group))
+    return saved(functools.reduce(DataFrame.unionByName, scored), "figures"), others
 
 
 def both_limits(good: DataFrame, bad: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -511,6 +512,60 @@ def test_model_and_perplexity_against_a_plain_one(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_models_go_by_languages_and_only_a_larger_language_is_joined(spark, monkeypatch):
+    """A model over the bound used to be joined with all documents' words, which took more disk and time than allowed at 6 GB."""
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choices("abcdeé𝒜\x02.", k=rng.randrange(1, 9))) for _ in range(n))
+    rows = [(i, words(30 * (1 + i % 3)), ("aa", "bb", None, "none")[i % 4], "a") for i in range(160)]
+    rows += [(500, "é" * 2_000 + " ab", "aa", "a"), (501, None, "aa", "a"), (502, " ", "bb", "a"), (4, rows[4][1], "aa", "a")]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, 1, 0) for i in range(160) if i % 4 < 3], "doc_id long, quality int, toxic int")
+    sizes, grouped = {}, kneser_ney.grouped
+    with monkeypatch.context() as m:
+        m.setattr(kneser_ney, "grouped", lambda x, most: sizes.update(x) or grouped(x, most))
+        at_once = kneser_ney.figures(docs, labels)[0]
+    small, _, large = sorted(sizes.values())
+    joined, calls = kneser_ney.score_joined, []
+
+    def watched(d, *rest):
+        calls.append({r[0] for r in d.select("lang").distinct().collect()})
+        return joined(d, *rest)
+
+    monkeypatch.setattr(kneser_ney, "score_joined", watched)
+    plain = lambda df: sorted((r["id"], r["lang"], r["tokens"] or 0, round(r["log10"] or 0, 6), round(r["sharpest"] or 0, 9), r["fresh"] or 0) for r in df.collect())
+    want = plain(at_once)
+    assert len(want) == len(rows) and sum(x[2] > 0 for x in want) == 122
+    assert plain(kneser_ney.figures(docs, labels, max_grams=large)[0]) == want and not calls  # three models, one after the other
+    assert plain(kneser_ney.figures(docs, labels, max_grams=large - 1)[0]) == want and [len(x) for x in calls] == [1]
+    assert plain(kneser_ney.figures(docs, labels, max_grams=small - 1)[0]) == want and len(calls[1]) == 4
+    assert kneser_ney.grouped({"a": 3, "b": 9, "c": 2, "d": 2}, 5) == ([["a", "c"], ["d"]], ["b"]) and kneser_ney.grouped({}, 5) == ([[]], [])
+
+
+def test_a_sent_model_is_small_and_its_pieces_meet(spark, monkeypatch):
+    """Texts of over a million n-grams: arrays of at most 24 bytes for each, the same figures in pieces of any size."""
+    rng = random.Random(22)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(150_000)]
+    probs, back = (x.toArrow() for x in kneser_ney.train(spark.createDataFrame([("l", " ".join(words))], "lang string, text string")))
+    p, g = dict(zip(probs["gram"].to_pylist(), np.log10(probs["p"].to_numpy()), strict=True)), dict(zip(back["ctx"].to_pylist(), np.log10(back["g"].to_numpy()), strict=True))
+    model = kneser_ney.Letters(pa.table({"gram": list(p), "x": list(p.values())}), pa.table({"ctx": list(g), "x": list(g.values())}), kneser_ney.ORDER)
+    assert len(p) > 1_000_000 and sum(x.nbytes for level in model.levels for x in level) <= 24 * (len(p) + 1)
+
+    def plain(s, i):
+        off = 0.0
+        for j in range(max(0, i - 4), i + 1):
+            if s[j : i + 1] in p:
+                return off + p[s[j : i + 1]]
+            off += g.get(s[j:i], 0.0)
+        return off - 3
+
+    some = [*words[:40], *("".join(rng.choices("abcxyzé𝒜", k=rng.randrange(1, 12))) for _ in range(60))]
+    marked = [f"{kneser_ney.BOS}{w}{kneser_ney.EOS}" for w in some]
+    want = [0.0 if not i else plain(s, i) for s in marked for i in range(len(s))]
+    first = np.cumsum([0, *map(len, marked)])[:-1]
+    for piece in (1, 3, 5, 64, 1 << 16):
+        monkeypatch.setattr(kneser_ney, "PIECE", piece)
+        assert np.allclose(model.logs("".join(marked), first), want, rtol=0, atol=1e-12)
+
+
 def test_all_labels_train_or_set_limits(spark):
     """No trusted document is left out, however many there are; no rejected one but those that are trained on."""
     labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").union(spark.range(30_000, 30_400).selectExpr("id", "cast(id % 2 AS int)", "1"))

@@ -53,6 +53,15 @@ def test_quality(spark, stages):
     assert set(by_id(stages[1])) == set(by_id(stages[0])) - gone and gone
 
 
+def test_quality_of_a_large_model_joins_no_words(spark, stages, monkeypatch):
+    """Of models that are too large together, each language's is sent; none is joined with all documents' words, which took the disk at 6 GB."""
+    sizes, grouped = {}, kneser_ney.grouped
+    monkeypatch.setattr(kneser_ney, "grouped", lambda x, most: sizes.update(x) or grouped(x, max(x.values())))
+    monkeypatch.setattr(kneser_ney, "score_joined", None)
+    kept = corpus_pipeline.quality(spark, read(spark, SF, "documents"), SF).collect()
+    assert len(grouped(sizes, max(sizes.values()))[0]) > 1 and Counter(map(tuple, kept)) == Counter(map(tuple, stages[1]))
+
+
 def test_lines(stages):
     want = {}
     bad, _ = boilerplate((r["text"], r["source"]) for r in stages[1])
